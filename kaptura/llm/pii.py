@@ -95,11 +95,11 @@ SHAPES = {
     "area joined": r"\(9{2,4}\)-?9[9.-]+",
     "pair": r"9{3,4}-9{3,4}",
     "triple": r"9{3}[-.]9{3}[-.]9{4}",
+    "date": r"9{4}-9{2}-9{2}|9{1,2}[/.]9{1,2}[/.]9{2,4}",
     "groups": r"9{4}(?:-9{2,7}){2,4}",
     "quad": r"9{1,3}(?:\.9{1,3}){3}",
     "quad port": r"9{1,3}(?:\.9{1,3}){3}:9+",
     "decimal": r"9+\.9+",
-    "date": r"9{4}-9{2}-9{2}|9{1,2}[/.]9{1,2}[/.]9{2,4}",
     "version": r"x*9+\.9+\.9+(?:\.x\w*)?",
     "email": r"[x9._%+-]+@[x9-]+(?:\.[x9-]+)+",
     "at": r"[\[(]xx[\])]",
@@ -192,11 +192,13 @@ class Field:
     def __init__(self, emit: np.ndarray, step: np.ndarray):
         self.emit, self.step = emit, step
         word, edge = _AT["word"], _AT["edge"]
-        swing = 2 * (step.max() - step.min())
         self.cuts = True
         for a, b in itertools.product((word, edge), repeat=2):
             s = emit[0, a] + emit[1, word] + emit[2, b]
-            self.cuts &= bool(s[0] - s[1:].max() > swing)
+            # What one word loses by another label than "outside", whatever stands on its sides.
+            for k in range(1, len(LABELS)):
+                gain = (step[:, k] - step[:, 0]).max() + (step[k] - step[0]).max()
+                self.cuts &= bool(s[0] - s[k] > gain)
 
     def scores(self, shapes: np.ndarray) -> np.ndarray:
         """For rows of padded shapes with one neighbour before and one behind."""
@@ -235,8 +237,9 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
 
 
-def train(table: list[tuple[list[str], list[int]]], rounds: int = 250, rate: float = 0.1, decay: float = 1e-4) -> Field:
-    """Gradient ascent (with running moments of the gradient) on the mean log-likelihood."""
+def train(table: list[tuple[list[str], list[int]]], rounds: int = 250, rate: float = 0.1, decay: tuple[float, float] = (1e-5, 3e-3)) -> Field:
+    """Gradient ascent (with running moments of the gradient) on the mean log-likelihood, less
+    squared weights: ``decay`` of scores and, more, of transitions."""
     k, edge = len(LABELS), _AT["edge"]
     params = [np.zeros((3, len(_NAMES), k)), np.zeros((k, k))]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
@@ -272,8 +275,8 @@ def train(table: list[tuple[list[str], list[int]]], rounds: int = 250, rate: flo
                 pair = np.exp(ahead[:, t - 1, :, None] + step[None] + (scores[:, t] + behind[:, t])[:, None, :] - log_z[:, None, None])
                 np.add.at(d_step, (y[:, t - 1], y[:, t]), 1.0)
                 d_step -= pair.sum(axis=0)
-        for p, g, (m, v) in zip(params, (d_emit, d_step), moments, strict=True):
-            g = g / total - decay * p
+        for p, g, (m, v), less in zip(params, (d_emit, d_step), moments, decay, strict=True):
+            g = g / total - less * p
             m *= 0.9
             m += 0.1 * g
             v *= 0.99

@@ -154,14 +154,14 @@ def keep_good(docs: DataFrame, host: str = "source", most: float = 0.5, few_host
 #: The same in DuckDB SQL, over the view ``documents``.
 ORACLE = """
 with d as (select doc_id, source host, coalesce(text, '') t from documents),
-w as (select doc_id, host, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), x -> x <> '') ws from d),
+w as (select doc_id, host, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws from d),
 win as (select doc_id, i, array_to_string(ws[i:i + 7], ' ') x from (select doc_id, ws, unnest(range(1, len(ws) - 6)) i from w)),
 twice as (select doc_id, i from win qualify count(*) over (partition by doc_id, x) > 1),
 rep as (select doc_id, sum(least(8, coalesce(nxt - i, 8))) n from (select doc_id, i, lead(i) over (partition by doc_id order by i) nxt from twice) group by doc_id),
 m as (select w.doc_id, host, len(ws)::bigint n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::bigint word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint n_symbols,
-  len(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')))::bigint n_lines,
-  len(list_distinct(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]'))))::bigint n_own,
+  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))::bigint n_lines,
+  len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))))::bigint n_own,
   coalesce(rep.n, 0)::bigint n_repeat_words from w left join rep on rep.doc_id = w.doc_id),
 f as (select *, n_lines - n_own n_dup_lines, n_words < 20 short, 100 * n_repeat_words > 30 * n_words repeats, 2 * n_symbols > n_words symbols, n_lines > n_own and 2 * (n_lines - n_own) > n_lines lines from m),
 h as (select host, count(*) n, count(*) filter (short) a, count(*) filter (repeats) b, count(*) filter (symbols) c, count(*) filter (lines) e from f group by host),
