@@ -1,13 +1,464 @@
+"""Queries over the driver's tables, one for each operator or a few that belong together, and
+the same in DuckDB SQL where SQL can say it."""
+
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kaptura.functions import lexicon as lex
+from kaptura.functions import spoken
+from kaptura.functions import text as tx
+from kaptura.operators import acoustic, align, classic, correct, guard, lines, tasks
+from kaptura.plans import captions
+from kaptura.session import table
+from kaptura.sources import sinks, srt, transcripts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+#: Mixed-script samples: the tables hold no CJK.
+SAMPLES = ["TCP 协议", "在TCP中12个", "讲t c p协议", "a b", "he led us", "八零二点幺幺", "二八二", "一百二十八微秒", "一千零二十四字节", "**重点**是IP地址", "，好的。", "“引号”（括号）…—", "", "  空 格  ", "第3章TCP/IP"]
+PAIRS = [("你好", ""), ("你好", "你好"), ("你好", "你好。"), ("自自己", "自己"), ("二百", "三百"), ("今天天气很好我们出去玩", "好"), ("好好好的啊", "好的啊"), ("泛红", "泛洪"), ("mac地址", "MAC地址"), ("", "x"), ("。。", "，"), ("一百千赫", "100kHz")]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def values(rows: list[tuple], names: str) -> str:
+    """Rows as SQL that Spark and DuckDB both read."""
+    quoted = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    return f"(select * from (values {quoted}) as v({names}))"
+
+
+def samples_sql() -> str:
+    return values([(-i, s) for i, s in enumerate(SAMPLES, 1)], "doc_id, text")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and the samples."""
+    own = spark.createDataFrame([(-i, s) for i, s in enumerate(SAMPLES, 1)], "doc_id long, text string")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(own)
+
+
+TEXTS = f"(select doc_id, text from documents union all select * from {samples_sql()})"
+_WIDE = f"[一-鿿{lex.WIDE_PUNCTUATION}]"
+_TRIM = "[\\s\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{3000}}]".replace("{{", "{").replace("}}", "}")
+
+
+def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
+    return captions.captions(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------------------- text
+
+
+@query("select doc_id, (row_number() over (partition by doc_id order by pos))::int id, line text from (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) pos from documents) where trim(line) <> ''")
+def line_explode(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("p", "text"))
+    return rows.select("doc_id", (F.col("p") + 1).alias("id"), "text")
+
+
+@query(f"select doc_id, (2 * length(text) - length(regexp_replace(text, '{_WIDE}', '', 'g')))::int columns from {TEXTS}")
+def visual_length(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", tx.visual_length(F.col("text")).cast("int").alias("columns"))
+
+
+@query(
+    f"select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([一-龥])([a-zA-Z0-9])', '\\1 \\2', 'g'), '([a-zA-Z0-9])([一-龥])', '\\1 \\2', 'g'), ' +', ' ', 'g'), '^{_TRIM}+', ''), '{_TRIM}+$', '') spaced from {TEXTS}"
+)
+def mixed_spacing(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", tx.spaced(F.col("text")).alias("spaced"))
+
+
+@query(f"select doc_id, regexp_replace(text, '[*_~`]+', '', 'g') plain from {TEXTS}")
+def mark_strip(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", tx.without_marks(F.col("text")).alias("plain"))
+
+
+@query(
+    f"""select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '([一-龥])([a-zA-Z0-9])', '\\1 \\2', 'g'), '([a-zA-Z0-9])([一-龥])', '\\1 \\2', 'g'), ' +', ' ', 'g'), '^{_TRIM}+', ''), '{_TRIM}+$', '') line
+from (select doc_id, regexp_replace(regexp_replace(text, '^[\\s，。、；：·"''　.,;:]+', ''), '[\\s，。、；：·"''　.,;:]+$', '') t from {TEXTS})"""
+)
+def outer_punctuation_strip(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", tx.without_outer_punctuation(F.col("text")).alias("line"))
+
+
+@query(f"select doc_id, regexp_replace(translate(text, '{''.join(lex.CN_DIGITS)}', '{''.join(lex.CN_DIGITS.values())}'), '[^\\p{{Nd}}]', '', 'g') digits from {TEXTS}")
+def digit_extract(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", tx.digits(F.col("text")).alias("digits"))
+
+
+@query(
+    "select doc_id, case when length(text) <= 2500 then text else '【采样片段一 (前段)】' || chr(10) || substring(text, floor(length(text) * 0.10::double)::int + 1, 833) || chr(10) || chr(10) || '【采样片段二 (中段)】' || chr(10) || substring(text, floor(length(text) * 0.45::double)::int + 1, 833) || chr(10) || chr(10) || '【采样片段三 (后段)】' || chr(10) || substring(text, floor(length(text) * 0.75::double)::int + 1, 833) end sample from documents"
+)
+def text_three_slices(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.three_slices(F.col("text")).alias("sample"))
+
+
+_MS = "round(greatest(value, 0) * 1000)::bigint"
+
+
+@query(f"select event_id, printf('%02d:%02d:%02d,%03d', {_MS} // 3600000, {_MS} // 60000 % 60, {_MS} // 1000 % 60, {_MS} % 1000) t from (select event_id, event_id * 1.25 value from events)")
+def srt_time_format(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", tx.srt_time(F.col("event_id") * 1.25).alias("t"))
+
+
+@query("select event_id, round(event_id % 100 * 3600 + event_id % 60 * 60 + event_id % 59 + event_id % 1000 / 1000.0, 3)::double as seconds from events")
+def srt_time_parse(spark, sf_dir):
+    e = F.col("event_id")
+    text = F.format_string("%02d:%02d:%02d,%03d", e % 100, e % 60, e % 59, e % 1000)
+    return table(spark, sf_dir, "events").select("event_id", F.round(tx.srt_seconds(text), 3).alias("seconds"))
+
+
+@query()
+def spoken_normalise(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", spoken.normalised(F.col("text")).alias("normal"), spoken.letters_joined(F.col("text")).alias("joined"))
+
+
+@query(f"select doc_id, text in ({', '.join(repr(x) for x in lex.BOUND_PARTICLES + lex.BOUND_CLASSIFIERS)}) bound, text in ({', '.join(repr(x) for x in lex.OPEN_PREPOSITIONS + lex.OPEN_COMPOUNDS)}) open_end from {values([(i, w) for i, w in enumerate(('的', '得', '得去', '在', '现在', '关于', '个', '个人', 'x'))], 'doc_id, text')}")
+def word_predicates(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate(("的", "得", "得去", "在", "现在", "关于", "个", "个人", "x"))), "doc_id int, text string")
+    return rows.select("doc_id", tx.bad_start(F.col("text")).alias("bound"), tx.open_end(F.col("text")).alias("open_end"))
+
+
+# ---------------------------------------------------------------------------- tokens
+
+
+def event_tokens(spark, sf_dir) -> DataFrame:
+    """Events of a user as tokens in order: half-hour units of time as seconds."""
+    e = table(spark, sf_dir, "events")
+    start = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000 * 1800.0)
+    return e.select("user_id", "event_id", F.substring("event_type", 1, 1).alias("text"), start.alias("start"), (start + F.round(F.col("value") % 7, 2) / 10).alias("end"))
+
+
+TOKENS = "(select user_id, event_id, substring(event_type, 1, 1) text, epoch_us(ts) / (1000000 * 1800.0::double) start, epoch_us(ts) / (1000000 * 1800.0::double) + round(value % 7, 2) / 10 stop from events)"
+
+
+@query(f"select user_id, event_id, round(lead(start) over (partition by user_id order by start, event_id) - stop, 6) pause from {TOKENS}")
+def pause_gap(spark, sf_dir):
+    found = acoustic.pauses(event_tokens(spark, sf_dir), "user_id", ["start", "event_id"])
+    return found.select("user_id", "event_id", F.round("pause", 6).alias("pause"))
+
+
+_CLAUSES = f"(select *, sum(cut) over (partition by user_id order by start, event_id rows unbounded preceding)::bigint clause from (select *, case when start - lag(stop) over (partition by user_id order by start, event_id) >= 0.38 then 1 else 0 end cut from {TOKENS}))"
+
+
+@query(f"select user_id, event_id, clause from {_CLAUSES}")
+def breath_clauses(spark, sf_dir):
+    return acoustic.breath_clauses(event_tokens(spark, sf_dir), "user_id", ["start", "event_id"]).select("user_id", "event_id", "clause")
+
+
+@query(f"select user_id, clause, count(*) n, string_agg(text, '' order by start, event_id) text, round(min(start), 6) start, round(max(stop), 6) stop from {_CLAUSES} group by user_id, clause")
+def clause_rollup(spark, sf_dir):
+    rows = acoustic.breath_clauses(event_tokens(spark, sf_dir), "user_id", ["start", "event_id"])
+    parts = F.array_sort(F.collect_list(F.struct("start", "event_id", "text")))
+    return rows.groupBy("user_id", "clause").agg(F.count("*").alias("n"), F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"), F.round(F.min("start"), 6).alias("start"), F.round(F.max("end"), 6).alias("stop"))
+
+
+@query(
+    """with w as (select doc_id, pos, t, regexp_full_match(t, '[A-Za-z0-9]') s from (select doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) t, generate_subscripts(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), 1) pos from documents)),
+r as (select *, sum(case when s and coalesce(p, false) then 0 else 1 end) over (partition by doc_id order by pos rows unbounded preceding)::bigint run from (select *, lag(s) over (partition by doc_id order by pos) p from w))
+select doc_id, run, string_agg(t, '' order by pos) text from r group by doc_id, run"""
+)
+def letter_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("pos", "text"))
+    return acoustic.letter_runs(words.withColumn("start", F.lit(0.0)).withColumn("end", F.lit(0.0)), ["doc_id"], "pos").select("doc_id", "run", "text")
+
+
+@query("select event_id, case when b < a then a + 0.05 else b end stop from (select event_id, value a, 300.0::double - value b from events)")
+def token_end_fix(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", acoustic.ordered_end(F.col("value"), 300.0 - F.col("value")).alias("stop"))
+
+
+@query(
+    """with l as (select conv_id, turn, turn * 3.0::double s, turn * 3.0::double + length(text) / 40.0 e, length(text) v from conversations),
+n as (select *, lead(s) over (partition by conv_id order by turn) nx from l)
+select conv_id, turn, s start_time, round(case when coalesce(nx, s + 3600) > s + 0.1 then least(i, coalesce(nx, s + 3600) - 0.05) else i end, 3) end_time
+from (select *, least(greatest(e + 0.25, s + greatest(1.0, v / 12.0)), s + 4.8) i from n)"""
+)
+def caption_timing(spark, sf_dir):
+    s, v = F.col("turn") * 3.0, F.char_length("text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", s.alias("s"), (s + v / 40.0).alias("e"), v.alias("v"))
+    nx = F.coalesce(F.lead("s").over(Window.partitionBy("conv_id").orderBy("turn")), F.col("s") + 3600.0)
+    ideal = F.least(F.greatest(F.col("e") + 0.25, F.col("s") + F.greatest(F.lit(1.0), F.col("v") / 12.0)), F.col("s") + 4.8)
+    return rows.select("conv_id", "turn", F.col("s").alias("start_time"), F.round(F.when(nx > F.col("s") + 0.1, F.least(ideal, nx - 0.05)).otherwise(ideal), 3).alias("end_time"))
+
+
+@query()
+def token_repair(spark, sf_dir):
+    tokens = event_tokens(spark, sf_dir).groupBy(F.col("user_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("event_id", "text", "start", "end"))).alias("t"))
+    docs = tokens.select("doc_id", F.transform("t", lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"))).alias("tokens"))
+    return transcripts.exploded(acoustic.repaired(docs))
+
+
+@query()
+def punctuation_alignment(spark, sf_dir):
+    """Every turn's words without their marks, aligned to the turn itself."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+    docs = transcripts.from_lines(turns, "turn_id", "text").withColumn("tokens", F.transform("tokens", lambda t: F.struct(F.regexp_replace(t["text"], r"[,.;:!?]", "").alias("text"), t["start"].alias("start"), t["end"].alias("end"))))
+    docs = docs.withColumn("tokens", F.filter("tokens", lambda t: t["text"] != ""))
+    return transcripts.exploded(align.punctuated(acoustic.repaired(docs))).select("doc_id", "pos", "text", "punctuation", "sentence_end", "clause_end")
+
+
+@query("select vec_id, (argmin - 1)::int quietest, round(e, 6) energy from (select vec_id, list_position(w, list_min(w)) argmin, list_min(w) e from (select vec_id, list_transform(range(1, len(embedding) - 6), lambda i: list_sum(list_transform(embedding[i:i + 7], lambda x: abs(x::double))) / 8) w from embeddings))")
+def quietest_window(spark, sf_dir):
+    level = lambda i: F.aggregate(F.slice("embedding", i, 8), F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))) / 8
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(1), F.size("embedding") - 7), level).alias("w"))
+    return rows.select("vec_id", (F.array_position("w", F.array_min("w")) - 1).cast("int").alias("quietest"), F.round(F.array_min("w"), 6).alias("energy"))
+
+
+@query()
+def audio_chunks(spark, sf_dir):
+    media = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") % 2000).cast("double").alias("duration"))
+    return acoustic.chunks(media)
+
+
+# ---------------------------------------------------------------------------- captions
+
+
+@query()
+def caption_lines(spark, sf_dir):
+    return captions.captions(table(spark, sf_dir, "documents"))
+
+
+@query()
+def classic_caption_lines(spark, sf_dir):
+    return captions.classic_captions(table(spark, sf_dir, "documents"))
+
+
+@query()
+def srt_round_trip(spark, sf_dir):
+    """Captions written as SRT and read back."""
+    docs = lines.captioned(transcripts.from_lines(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return srt.entries(docs.select("doc_id", sinks.lines_srt(F.col("lines")).alias("value")), "doc_id")
+
+
+@query()
+def document_exports(spark, sf_dir):
+    docs = lines.captioned(transcripts.from_lines(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    finished = classic.finished(docs)
+    return finished.select("doc_id", sinks.lines_text(F.col("lines")).alias("txt"), sinks.lines_json(F.lit("English"), F.col("full_text"), F.col("lines"), F.col("tokens")).alias("json"))
+
+
+@query()
+def transcript_peek(spark, sf_dir):
+    """The documents as transcript JSON, peeked at and parsed again."""
+    docs = transcripts.from_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.to_json(F.struct("full_text", F.transform("tokens", lambda t: F.struct(t["text"].alias("word"), t["start"].alias("start"), t["end"].alias("end"))).alias("words"))).alias("value"))
+    return transcripts.peeked(files).join(transcripts.documents(files).select("path", F.size("tokens").alias("n_tokens")), "path")
+
+
+# ---------------------------------------------------------------------------- guard and correction
+
+
+def pairs(spark) -> DataFrame:
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(PAIRS)], "pair_id int, original string, corrected string")
+
+
+_CLEAN = "[\\s,，.。、；;：:!！?？\"''“”‘’()（）\\[\\]【】《》<>—\\-…~～/\\\\_#@*&^%+=|`]+"
+
+
+@query(
+    f"""select pair_id, case when b0 = '' then 'empty_output' when a0 = b0 then 'identical'
+when length(a) > 0 and (length(b) / greatest(length(a), 1) < case when length(a) <= 5 then 0.40 else 0.55 end or length(b) / greatest(length(a), 1) > case when length(a) <= 5 then 2.0 else 1.65 end) then 'length_ratio_' || printf('%.2f', length(b) / greatest(length(a), 1))
+when length(a) = 0 and length(b) = 0 then 'accepted_punctuation_only' when a = b then 'accepted_formatting_only' end reason
+from (select pair_id, trim(original) a0, trim(corrected) b0, regexp_replace(trim(original), '{_CLEAN}', '', 'g') a, regexp_replace(trim(corrected), '{_CLEAN}', '', 'g') b from {values([(i, a, b) for i, (a, b) in enumerate(PAIRS)], 'pair_id, original, corrected')})"""
+)
+def guard_cheap_layers(spark, sf_dir):
+    return pairs(spark).select("pair_id", guard.cheap_reason(F.col("original"), F.col("corrected")).alias("reason"))
+
+
+@query()
+def guard_verdicts(spark, sf_dir):
+    rows = pairs(spark)
+    for variant in ("service", "cli"):
+        rows = rows.withColumn(variant, guard.verified(F.col("original"), F.col("corrected"), variant=variant))
+    return rows.select("pair_id", F.col("service.accepted").alias("service_accepted"), F.col("service.reason").alias("service_reason"), F.col("cli.accepted").alias("cli_accepted"), F.col("cli.reason").alias("cli_reason"))
+
+
+@query()
+def guard_documents(spark, sf_dir):
+    """Every line of every document against itself with repeated words taken out."""
+    rows = line_explode(spark, sf_dir).withColumn("corrected", F.regexp_replace("text", r"\b(\w+) \1\b", "$1"))
+    return rows.withColumn("g", guard.verified(F.col("text"), F.col("corrected"))).select("doc_id", "id", "g.accepted", "g.reason")
+
+
+def turns(spark, sf_dir) -> DataFrame:
+    t = table(spark, sf_dir, "conversations")
+    return t.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("id"), "text")
+
+
+def turn_cache(spark, sf_dir) -> DataFrame:
+    """Candidates of every third turn: the turn behind a star."""
+    rows = turns(spark, sf_dir).filter("(doc_id + id) % 3 = 0")
+    return rows.groupBy("doc_id", "text").agg(F.max(F.concat(F.lit("* "), F.col("text"))).alias("candidate"))
+
+
+_TURNS = "(select conv_id doc_id, (turn + 1)::int id, text from conversations)"
+_CACHE = f"(select doc_id, text, max('* ' || text) candidate from {_TURNS} where (doc_id + id) % 3 = 0 group by doc_id, text)"
+
+
+@query(f"select t.doc_id, t.id, c.candidate from {_TURNS} t left join {_CACHE} c on t.doc_id = c.doc_id and t.text = c.text")
+def cache_lookup(spark, sf_dir):
+    return correct.with_cached(turns(spark, sf_dir), turn_cache(spark, sf_dir)).select("doc_id", "id", "candidate")
+
+
+@query(f"select doc_id, id from {_TURNS} t where not exists (select 1 from {_CACHE} c where t.doc_id = c.doc_id and t.text = c.text)")
+def cache_misses(spark, sf_dir):
+    return correct.uncached(turns(spark, sf_dir), turn_cache(spark, sf_dir)).select("doc_id", "id")
+
+
+@query(f"select t.doc_id, count(*) n_lines, count(c.candidate) hits, round(count(c.candidate) / count(*), 4) rate from {_TURNS} t left join {_CACHE} c on t.doc_id = c.doc_id and t.text = c.text group by t.doc_id")
+def cache_hit_rate(spark, sf_dir):
+    return correct.hit_rate(turns(spark, sf_dir), turn_cache(spark, sf_dir))
+
+
+@query("select doc_id, id, ((row_number() over (partition by doc_id order by id) - 1) // 25)::int batch from (select source doc_id, doc_id id from documents)")
+def batch_numbers(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("id"))
+    return correct.batched(rows)
+
+
+@query("select d.doc_id, coalesce(l.quality, -1)::int quality from documents d left join labels l on d.doc_id = l.doc_id")
+def merge_back_default(spark, sf_dir):
+    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return d.select("doc_id").join(l.select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).cast("int").alias("quality"))
+
+
+ANSWERS = [(1, "[1] alpha\n2. beta\n3：gamma\nfoo\n[1] alpha2\n[9] none"), (2, "noise\n\n[2] **bold** text\n1: x"), (3, "")]
+
+
+@query(
+    f"""with a as (select doc_id, unnest(string_split(answer, chr(10))) raw, generate_subscripts(string_split(answer, chr(10)), 1) pos from {values(ANSWERS, 'doc_id, answer')}),
+m as (select doc_id, pos, coalesce(nullif(regexp_extract(trim(raw), '^(?:\\[(\\d+)\\]|(\\d+)[.:：\\s])\\s*(.*)$', 1), ''), nullif(regexp_extract(trim(raw), '^(?:\\[(\\d+)\\]|(\\d+)[.:：\\s])\\s*(.*)$', 2), '')) id, trim(regexp_replace(regexp_extract(trim(raw), '^(?:\\[(\\d+)\\]|(\\d+)[.:：\\s])\\s*(.*)$', 3), '[*_~`]+', '', 'g')) c from a)
+select doc_id, id::int id, max_by(c, pos) candidate from m where id in ('1', '2', '3') and c <> '' group by doc_id, id"""
+)
+def answer_lines(spark, sf_dir):
+    answers = spark.createDataFrame(ANSWERS, "doc_id int, answer string")
+    known = answers.select("doc_id", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("id"), F.lit("").alias("text"))
+    return correct.answered_lines(answers, known, bounded=False)
+
+
+@query()
+def correction_run(spark, sf_dir):
+    """All turns corrected by a provider that gives them back, with a part in the cache."""
+    done = correct.correct_lines(turns(spark, sf_dir), correct.IdentityProvider(), turn_cache(spark, sf_dir))
+    return done.lines.select("doc_id", "id", "corrected", "accepted", "reason", "source")
+
+
+# ---------------------------------------------------------------------------- tasks
+
+
+def page_files(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    path = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^https?://", "")
+    return p.select("page_id", path.alias("path"), F.split(path, "/")[0].alias("folder"), F.element_at(F.split(path, "/"), -1).alias("name"), (F.char_length("html") / 100.0).alias("duration"))
+
+
+_FILES = "(select page_id, path, string_split(path, '/')[1] folder, string_split(path, '/')[-1] as name, length(html) / 100.0 duration from (select page_id, html, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://', '') path from pages))"
+
+
+@query(f"select folder, count(*) n_files, round(sum(duration), 2)::double duration_sec from {_FILES} group by folder")
+def folder_rollup(spark, sf_dir):
+    return tasks.folder_rollup(page_files(spark, sf_dir))
+
+
+@query(f"select folder, count(*) n_files, round(sum(duration), 2)::double duration_sec, grouping(folder)::int is_total from {_FILES} group by rollup(folder)")
+def folder_totals(spark, sf_dir):
+    return tasks.folders_and_totals(page_files(spark, sf_dir))
+
+
+@query(f"select count(*) n_files, round(sum(duration), 2)::double total_sec, round(sum(duration) / 60, 1)::double total_min from {_FILES}")
+def file_totals(spark, sf_dir):
+    return tasks.totals(page_files(spark, sf_dir))
+
+
+@query(f"select 'fg_' || (row_number() over (order by folder) - 1) folder_id, folder from (select distinct folder from {_FILES})")
+def folder_numbers(spark, sf_dir):
+    return tasks.folder_numbers(page_files(spark, sf_dir).select("folder").distinct())
+
+
+@query(f"select path, min(page_id) page_id from {_FILES} where not regexp_matches('/' || path, '/\\.') and lower(regexp_extract(path, '(\\.[^./]+)$', 1)) <> '.html' group by path")
+def path_dedup(spark, sf_dir):
+    rows = page_files(spark, sf_dir).filter(~tasks.ignored(F.col("path")) & (tasks.suffix(F.col("path")) != ".html"))
+    return tasks.first_of_each(rows, ["path"], ["page_id"]).select("path", "page_id")
+
+
+def task_files(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_id") % 7 == 0, "failed").when(F.col("event_id") % 5 == 0, "skipped").when(F.col("user_id") % 2 == 0, "completed").otherwise("running")
+    return e.select(F.col("user_id").alias("task_id"), "event_id", (F.col("event_id") % 101).cast("double").alias("progress"), status.alias("status"), (F.col("event_id") % 50).cast("double").alias("processed"), (F.col("event_id") % 20).cast("double").alias("elapsed"))
+
+
+_TASKS = "(select user_id task_id, event_id, (event_id % 101)::double progress, case when event_id % 7 = 0 then 'failed' when event_id % 5 = 0 then 'skipped' when user_id % 2 = 0 then 'completed' else 'running' end status, (event_id % 50)::double processed, (event_id % 20)::double elapsed from events)"
+
+
+@query(f"select task_id, round(case when bool_and(status in ('completed', 'failed', 'skipped')) then 100.0 else least(99.0, avg(progress)) end, 2)::double progress from {_TASKS} group by task_id")
+def task_progress(spark, sf_dir):
+    return tasks.progress(task_files(spark, sf_dir))
+
+
+@query(f"select task_id, round(sum(processed) / nullif(max(elapsed), 0), 2)::double rtf from {_TASKS} group by task_id")
+def task_rtf(spark, sf_dir):
+    return tasks.real_time_factor(task_files(spark, sf_dir))
+
+
+@query(f"select task_id, case when d and f then 'partial' when d then 'completed' when f then 'failed' else 'pending' end status from (select task_id, bool_or(status in ('completed', 'skipped')) d, bool_or(status = 'failed') f from {_TASKS} group by task_id)")
+def task_status(spark, sf_dir):
+    return tasks.final_status(task_files(spark, sf_dir))
+
+
+@query("select o_orderkey, o_orderdate::varchar created from orders order by o_orderdate desc, o_orderkey limit 30")
+def recent_tasks(spark, sf_dir):
+    return tasks.recent(table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey").select("o_orderkey", F.col("o_orderdate").cast("string").alias("created"))
+
+
+@query("select user_id, event_id, place::int place from (select user_id, event_id, row_number() over (partition by user_id order by event_id desc) place from events) where place <= 12")
+def last_corrections(spark, sf_dir):
+    return tasks.last_of_each(table(spark, sf_dir, "events"), ["user_id"], [F.desc("event_id")], 12).select("user_id", "event_id", F.col("place").cast("int").alias("place"))
+
+
+_PACKAGE = "(select (doc_id % 300)::varchar as name, doc_id::varchar path, n_chars size, 0 rank from documents where doc_id % 2 = 0 union all select (page_id % 400)::varchar, url, length(html), 1 from pages)"
+
+
+@query(f"select name, path, size::bigint size from (select *, row_number() over (partition by name order by rank, path) n from {_PACKAGE} where size > 0) where n = 1")
+def package_files(spark, sf_dir):
+    d, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    own = d.filter("doc_id % 2 = 0").select((F.col("doc_id") % 300).cast("string").alias("name"), F.col("doc_id").cast("string").alias("path"), F.col("n_chars").cast("long").alias("size"))
+    others = p.select((F.col("page_id") % 400).cast("string").alias("name"), F.col("url").alias("path"), F.char_length("html").cast("long").alias("size"))
+    return tasks.packaged(own, others)
+
+
+@query("select doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
+def orphans(spark, sf_dir):
+    return tasks.without_tasks(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
 
-def entry(spark):
-    raise NotImplementedError
+@query(
+    """select source, doc_id, place::int place from (select source, doc_id, row_number() over (partition by source order by doc_id) place from (
+select *, case when n > 200 then floor(n * 0.04::double) else 0 end lo, case when n > 200 then floor(n * 0.96::double) else n end hi from (select source, doc_id, text, row_number() over (partition by source order by doc_id) - 1 i, count(*) over (partition by source) n from documents))
+where i >= lo and i < hi and (i - lo)::bigint % greatest(1, floor((hi - lo) / 30))::bigint = 0 and length(trim(text)) >= 8) where place <= 28"""
+)
+def even_sampling(spark, sf_dir):
+    rows = tasks.evenly_sampled(table(spark, sf_dir, "documents"), "source", "doc_id", cjk=False)
+    return rows.select("source", "doc_id", F.col("place").cast("int").alias("place"))
 
 
-def queries():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
