@@ -107,7 +107,7 @@ def test_correction_with_cache_and_resume(spark):
     lines = spark.createDataFrame([(1, i, f"line number {i}") for i in range(1, 61)] + [(2, 1, "泛红 a")], "doc_id long, id int, text string")
     cache = spark.createDataFrame([(1, "line number 3", "Line number 3"), (1, "line number 4", "something else entirely")], correct.CACHE)
     provider = correct.ReplayProvider({f"line number {i}": f"LINE number {i}" for i in range(1, 59)} | {"line number 9": "completely other words"})
-    done = correct.correct_lines(lines, provider, cache, store=lambda df: df.localCheckpoint() if False else df.cache())
+    done = correct.correct_lines(lines, provider, cache, store=lambda df: df.cache())
     got = {(r.doc_id, r.id): r for r in done.lines.collect()}
     assert len(got) == 61
     assert (got[1, 3].corrected, got[1, 3].source) == ("Line number 3", "cache")
