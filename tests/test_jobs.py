@@ -47,7 +47,7 @@ def test_transcript_job(spark, tmp_path):
 def test_srt_job(spark, tmp_path):
     (tmp_path / "a.srt").write_text("5\n00:00:01,000 --> 00:00:02,000\n用 t c p 协议\n\n9\n00:00:03,000 --> 00:00:04,000\n自自己\n")
     files = read_files(spark, str(tmp_path))
-    cache = jobs.numbered_documents(files).selectExpr("doc_id", "'用tcp协议' text", "'用TCP协议' candidate")
+    cache = jobs.numbered_documents(files).selectExpr("doc_id", "'用 tcp 协议' text", "'用 TCP 协议' candidate")
     job = jobs.correct_srt(files, correct.ReplayProvider({"自自己": "自己"}), cache)
     assert [r.final for r in job.lines.orderBy("id").collect()] == ["用 TCP 协议", "自己"]
     assert job.outputs.first().srt == "5\n00:00:01,000 --> 00:00:02,000\n用 TCP 协议\n\n9\n00:00:03,000 --> 00:00:04,000\n自己\n\n"
