@@ -39,6 +39,8 @@ def publish(progress: DataFrame, path: str, checkpoint: str, key: str = "file_id
         if number and _exists(spark, old):
             rows = batch.unionByName(spark.read.parquet(old))
         newest(rows, key, order).write.mode("overwrite").parquet(f"{path}/v{number}")
+        if number > 1:  # a batch that runs again needs the version before it, no older one
+            _remove(spark, f"{path}/v{number - 2}")
 
     writer = progress.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
@@ -49,6 +51,11 @@ def _exists(spark, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def _remove(spark, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def snapshot_then_updates(snapshot: DataFrame, path: str) -> DataFrame:
     """What a subscriber sees: the table as it stands, with what has come since."""
     return snapshot.unionByName(snapshot.sparkSession.read.parquet(path)).distinct()
