@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -31,6 +30,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all tables written here; results that still read them must have been written first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/kaptura")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,16 +44,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """More tasks than the scan has, so that a few very long documents do not hold one task."""
-    return df.repartition(shuffle_partitions(df.sparkSession))
-
-
-def lower_ascii(column):
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(column, upper, upper.lower())
-
-
 def open_fs(uri: str):
     """(filesystem, path) for a URI that every executor can reach."""
     from pyarrow import fs
