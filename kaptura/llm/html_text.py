@@ -39,8 +39,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 BOILERPLATE = frozenset("nav header footer aside form button select option textarea input dialog menu head title".split()) | RAW
 #: Words of a class, id or role that mark an element as no part of the article.
 MARKS = frozenset(
-    "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright disclaimer disqus footer form header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent copyright dialog disclaimer disqus footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: With one of these words beside it, "header" is the article's own.
+OWN_HEADER = frozenset("article content entry post story".split())
+#: What may stand in a page's head; anything else ends it.
+HEAD = frozenset("head title meta link base script style noscript template".split())
 #: Containers of the article itself are never boilerplate by their class.
 ARTICLE = frozenset("article main body html".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -57,8 +61,10 @@ def marked(attributes: str) -> tuple[str, bool]:
         value = a or b or c
         if name.lower() == "class":
             classes = ".".join(sorted(_DIGITS.sub("#", x) for x in value.lower().split()))
-        if not MARKS.isdisjoint(_WORD.findall(_NEW_WORD.sub(" ", value).lower())):
-            odd = True
+        found = set(_WORD.findall(_NEW_WORD.sub(" ", value).lower()))
+        if "header" in found and not OWN_HEADER.isdisjoint(found):
+            found.discard("header")
+        odd = odd or not MARKS.isdisjoint(found)
     return classes, odd
 
 
@@ -124,6 +130,8 @@ class Page:
                 if found and not (tag in INLINE and any(t not in INLINE for _, t, _ in stack[found + 1 :])):
                     close(found)
                 continue
+            if tag not in HEAD and any(t == "head" for _, t, _ in stack):
+                close(next(i for i, (_, t, _) in enumerate(stack) if t == "head"))
             if tag in VOID:
                 if tag not in INLINE:
                     if tag in ("br", "hr"):

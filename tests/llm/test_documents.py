@@ -159,7 +159,7 @@ def test_spans_point_into_the_original(spark):
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{}</style><script>var t="</p><p>x";</script></head><body class="layout">
 <header><a href=/>Home</a> Site name</header><nav><ul><li><a href=/a>A</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
-<div class="post post-%d"><h1>Big  title</h1><p>First <b>bold</b>word &lt;tag&gt; &eacute; and some more text to read here.<br>Next<p>Second
+<div class="post post-%d"><div class="post-header"><h1>Big  title</h1></div><p>First <b>bold</b>word &lt;tag&gt; &eacute; and some more text to read here.<br>Next<p>Second
 paragraph, unclosed, long enough to matter for the score <ul><li>point one<li>point two</ul>
 <form>Name <input name=x></form><aside>Related</aside><div class="comments"><p>Nice article, I liked it very much indeed, thank you for it all</div></div>
 <div class="sidebar"><p>Links <a href=/b>b</a></div><footer>&copy; Site</footer></body></html>"""
@@ -167,13 +167,13 @@ WANT = "Big title First boldword <tag> é and some more text to read here. Next
 
 
 def test_main_text(spark):
-    rows = [(i, "https://a.example.com/x", PAGE % i) for i in range(5)] + [(9, None, None), (10, "x", ""), (11, "http://b.example.com", "no tags &amp here"), (12, "http://b.example.com:80/", "<article><p>One</p>"), (12, "http://b.example.com:80/", "<article><p>One</p>")]
+    rows = [(i, "https://a.example.com/x", PAGE % i) for i in range(5)] + [(9, None, None), (10, "x", ""), (11, "http://b.example.com", "no tags &amp here"), (12, "http://b.example.com:80/", "<article><p>One</p>"), (12, "http://b.example.com:80/", "<article><p>One</p>"), (13, "http://c", "<html><head><title>T</title><article><p>No end of head</p><span class=ad>buy</span></article>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     for few in (100, 0):
         got = html_text.extract_text(pages, few).collect()
         assert [r.text for r in got if r.page_id < 9] == [WANT] * 5
         rest = sorted((r.page_id, r.text, r.n_chars) for r in got if r.page_id >= 9)
-        assert rest == [(9, "", 0), (10, "", 0), (11, "no tags & here", 14), (12, "One", 3), (12, "One", 3)]
+        assert rest == [(9, "", 0), (10, "", 0), (11, "no tags & here", 14), (12, "One", 3), (12, "One", 3), (13, "No end of head", 14)]
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
