@@ -87,6 +87,19 @@ def live_captions(tokens: DataFrame, tokenizer: Callable[[str], list[str]] | Non
     return tokens.groupBy("doc_id").applyInPandasWithState(step, LINES, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def normalise_stream(lines: DataFrame, glossary_path: str, sink: Callable[[DataFrame, int], None], checkpoint: str, text: str = "text") -> StreamingQuery:
+    """Lines normalised batch by batch; the glossary is read anew for each, so a change of the
+    file counts from the next batch on, and what it no longer holds counts no more."""
+    from kaptura.functions.spoken import normalised
+    from kaptura.sources.media import glossary
+
+    def each(batch: DataFrame, number: int) -> None:
+        known = glossary(batch.sparkSession, glossary_path)
+        sink(batch.withColumn(text, normalised(F.col(text), known)), number)
+
+    return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def session_clauses(events: DataFrame, key: str, time: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Breath clauses of a stream: sessions of a key; what is still open at the end is held."""
     timed = events.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)

@@ -180,6 +180,21 @@ def test_progress_table(spark, tmp_path):
     assert live.snapshot_then_updates(snapshot, str(tmp_path / "out" / last)).count() == 3
 
 
+def test_glossary_of_each_batch(spark, tmp_path):
+    for n, text in enumerate(("社恐", "社恐")):
+        spark.createDataFrame([(n, text)], "id int, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id int, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen, path = [], tmp_path / "g.json"
+    path.write_text('{"terms": {"社恐": "时隙"}}')
+
+    def sink(batch, number):
+        seen.extend(r.text for r in batch.collect())
+        path.write_text("{}")
+
+    live.normalise_stream(stream, str(path), sink, str(tmp_path / "cp")).awaitTermination(120)
+    assert seen == ["时隙", "社恐"]
+
+
 def test_sessions(spark, sf_dir):
     events = queries.table(spark, sf_dir, "events")
     got = live.session_clauses(events, "user_id", "ts")
