@@ -17,6 +17,7 @@ kept, side by side, by text. Null and empty texts have the end id alone.
 from __future__ import annotations
 
 import bisect
+import os
 import struct
 import uuid
 import zlib
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kaptura.llm.bpe import Bpe
+from kaptura.llm.bpe import Bpe, byte_symbols
 from kaptura.llm.common import open_fs, scratch_path, shuffle_partitions
 
 MAGIC = b"KSST0001"
@@ -175,21 +176,29 @@ class Reader:
 
 
 class LibraryIds:
-    """Ids by the tokenizers library; runs between white space are encoded once and kept."""
+    """Ids by the tokenizers library, which is asked once for a word and not for each place of it.
+
+    Runs between white space are kept; a new one of Latin-1 characters (each a composed one with one
+    lower case) is cut by the vocabulary's own pattern, and words that aren't known go to the
+    library's model. Both caches are of fixed size.
+    """
 
     _kept: dict[str, LibraryIds] = {}
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 800_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are parallel already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         bpe = Bpe(path, 0)
-        self.special, self.cache_words = bpe.special, cache_words
+        self.special, self.pieces, self.cache_words = bpe.special, bpe.pieces, cache_words
+        self.model, self.symbols = self.tokenizer.model, byte_symbols()
         self.size = len(bpe.strings)
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> LibraryIds:
@@ -200,6 +209,28 @@ class LibraryIds:
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.type).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token, by the library's model."""
+        got = self.words.get(word)
+        if got is None:
+            plain = word.isascii() and word.isprintable()
+            shown = word if plain else "".join(map(self.symbols.__getitem__, word.encode()))
+            got = self._pack([t.id for t in self.model.tokenize(shown)])
+            if len(self.words) < self.cache_words:
+                self.words[word] = got
+        return got
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a run: of Latin-1 characters word by word, another by the library as it is."""
+        if max(chunk) >= "\u0100":
+            return self._pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        low = chunk.lower()
+        if low.isalpha():
+            return self._word(low)
+        if low[-1] in ".," and low[:-1].isalpha():
+            return self._word(low[:-1]) + self._word(low[-1])
+        return b"".join(map(self._word, self.pieces.findall(low)))
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -211,8 +242,7 @@ class LibraryIds:
         except KeyError:
             pass
         known = self.kept
-        lacking = [c for c in set(chunks) if c not in known]
-        new = {c: self._pack(e.ids) for c, e in zip(lacking, self.tokenizer.encode_batch(lacking, add_special_tokens=False), strict=True)}
+        new = {c: self._chunk(c) for c in set(chunks) if c not in known}
         if len(known) < self.cache_words:
             known.update(new)
             return b"".join(map(known.__getitem__, chunks))
