@@ -12,9 +12,11 @@ counts as one. One row out for each row in, whatever its doc_id.
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 import regex
@@ -31,40 +33,30 @@ _SPACE_THEN_SPACE = re.compile(r" \s| \Z")
 
 
 class PreTokens:
-    """Pre-token frequencies of texts; what stands between two single spaces is split once."""
+    """Texts as chunks, and pre-tokens of chunks.
 
-    def __init__(self, special: tuple[str, ...], cache: int = 300_000):
-        self.special, self.cache, self.known = special, cache, {}
+    A chunk is what stands between two single spaces, with the space before it: where no space
+    meets other white space on its right, the pattern never looks beyond one. A text's first
+    part, and parts of a text in which spaces do meet, are split by the pattern at once.
+    """
+
+    def __init__(self, special: tuple[str, ...]):
+        self.special = special
         self.cut = re.compile("|".join(map(re.escape, special))) if special else None
 
-    def split(self, chunk: str) -> list[str]:
-        got = self.known.get(chunk)
-        if got is None:
-            got = _PIECES.findall(chunk)
-            if len(self.known) < self.cache:
-                self.known[chunk] = got
-        return got
-
-    def count(self, text: str) -> tuple[Counter, int]:
-        """Frequencies, and how many special tokens stand in the text."""
-        parts = [text]
-        if any(s in text for s in self.special):
-            parts = self.cut.split(text)
-        out: Counter = Counter()
+    def parts(self, text: str) -> tuple[list[str], list[str], int]:
+        """Chunks (without their space), further pre-tokens, and how many special tokens."""
+        parts = self.cut.split(text) if any(s in text for s in self.special) else [text]
+        chunks: list[str] = []
+        pieces: list[str] = []
         for part in parts:
-            if not part:
-                continue
             if _SPACE_THEN_SPACE.search(part):
-                out.update(_PIECES.findall(part))
-                continue
-            # No space meets other white space on its right: the pattern never looks beyond such a chunk.
-            first, *rest = part.split(" ")
-            for piece in _PIECES.findall(first):
-                out[piece] += 1
-            for chunk, n in Counter(rest).items():
-                for piece in self.split(" " + chunk):
-                    out[piece] += n
-        return out, len(parts) - 1
+                pieces += _PIECES.findall(part)
+            elif part:
+                first, *rest = part.split(" ")
+                pieces += _PIECES.findall(first)
+                chunks = chunks + rest if chunks else rest
+        return chunks, pieces, len(parts) - 1
 
 
 def _special(path: str) -> tuple[str, ...]:
@@ -78,24 +70,30 @@ def pre_token_table(docs: DataFrame, vocabulary: str, flush: int = 200_000) -> D
     """pre_token, freq over the corpus, n_pieces."""
 
     def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, pre = Counter(), PreTokens(_special(vocabulary))
+        chunks, seen, pre = Counter(), Counter(), PreTokens(_special(vocabulary))
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pre_token", "freq"])
+            for chunk, n in chunks.items():
+                for piece in _PIECES.findall(" " + chunk):
+                    seen[piece] += n
+            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pre_token", "freq"])
+            chunks.clear()
+            seen.clear()
+            return batch
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    counts = pre.count(text)[0]
-                    for k, v in counts.items():
-                        seen[k] += v
-                    if len(seen) >= flush:
+                    more, pieces, _ = pre.parts(text)
+                    chunks.update(more)
+                    seen.update(pieces)
+                    if len(chunks) + len(seen) >= flush:
                         yield out()
-                        seen.clear()
-        if seen:
+        if chunks or seen:
             yield out()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are parallel already
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
@@ -108,32 +106,70 @@ def pre_token_table(docs: DataFrame, vocabulary: str, flush: int = 200_000) -> D
     return distinct.mapInArrow(pieces, "pre_token string, freq long, n_pieces long")
 
 
-def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, head: int = 1 << 16) -> DataFrame:
+def _common(table: DataFrame, head: int) -> dict[str, int]:
+    """At most ``head`` pre-tokens with their pieces: all from the least frequency on that gives
+    no more. Some hundred counts by classes of frequency come first, so that no task sends rows
+    that aren't used."""
+    level = F.floor(F.log2("freq") * 16)
+    classes = sorted(table.groupBy(level.alias("level")).count().collect(), reverse=True)
+    least, total = None, 0
+    for c in classes:
+        total += c["count"]
+        if total > head:
+            break
+        least = c["level"]
+    if least is None:
+        return {}
+    return {r[0]: r[1] for r in table.filter(level >= least).select("pre_token", "n_pieces").collect()}
+
+
+def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, head: int = 1 << 16, cache: int = 300_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens)."""
     spark = docs.sparkSession
     table = stored(pre_token_table(docs, vocabulary), "pre-tokens")
-    common = spark.sparkContext.broadcast({r[0]: r[1] for r in table.orderBy(F.desc("freq"), "pre_token").limit(head).select("pre_token", "n_pieces").collect()})
+    common = spark.sparkContext.broadcast(_common(table, head))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre, known = PreTokens(_special(vocabulary)), common.value
-        for batch in batches:
-            n_bytes, sums, tails, freqs = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                counts, total = pre.count(text) if text else ({}, 0)
-                tail, freq = [], []
-                for k, v in counts.items():
-                    n = known.get(k)
+        sums: dict[str, int | None] = {}  # of chunks; none where a pre-token of it isn't common
+
+        def chunk_sum(chunk: str) -> int | None:
+            counts = [known.get(p) for p in _PIECES.findall(" " + chunk)]
+            total = None if None in counts else sum(counts)
+            if len(sums) < cache:
+                sums[chunk] = total
+            return total
+
+        def row(text: str) -> tuple[int, int, Counter]:
+            chunks, pieces, total = pre.parts(text)
+            found = list(map(sums.get, chunks, repeat(-1)))
+            if -1 in found:
+                found = [chunk_sum(c) if n == -1 else n for c, n in zip(chunks, found, strict=True)]
+            if None in found:
+                for chunk, n in zip(chunks, found, strict=True):
                     if n is None:
-                        tail.append(k)
-                        freq.append(v)
-                    else:
-                        total += n * v
-                n_bytes.append(len(text.encode()) if text else 0)
-                sums.append(total)
-                tails.append(tail)
-                freqs.append(freq)
+                        pieces += _PIECES.findall(" " + chunk)
+                found = [n for n in found if n is not None]
+            tail = Counter()
+            for piece in pieces:
+                n = known.get(piece)
+                if n is None:
+                    tail[piece] += 1
+                else:
+                    total += n
+            return len(text.encode()), total + sum(found), tail
+
+        for batch in batches:
+            rows = [row(text) if text else (0, 0, {}) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(sums, pa.int64()), pa.array(tails, pa.list_(pa.string())), pa.array(freqs, pa.list_(pa.int64()))], names=["doc_id", "n_bytes", "head_tokens", "tail", "freqs"]
+                [
+                    batch.column(0),
+                    pa.array([r[0] for r in rows], pa.int64()),
+                    pa.array([r[1] for r in rows], pa.int64()),
+                    pa.array([list(r[2]) for r in rows], pa.list_(pa.string())),
+                    pa.array([list(r[2].values()) for r in rows], pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "n_bytes", "head_tokens", "tail", "freqs"],
             )
 
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, head_tokens long, tail array<string>, freqs array<long>")
