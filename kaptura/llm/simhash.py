@@ -240,13 +240,24 @@ def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, width: int = SHINGLE) -> DataFrame:
-    """One row of each group, with all its columns: that of the smallest doc_id (null first), of
-    equal ones the first written."""
-    numbered = stored(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
-    rows = numbered.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))
-    groups = near_duplicates(rows, most_bits, width).select(F.col("doc_id").alias("row"), "component_id")
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """doc (all columns), row (a number of its own), written down once."""
+    return stored(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+
+
+def first_of_groups(numbered: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of each group (row, component_id), with all its columns: that of the smallest doc_id
+    (null first), of equal ones the first written."""
+    groups = stored(groups, "groups")
     members = groups.filter("row <> component_id").select("component_id").distinct().join(groups, "component_id")
     ranked = members.join(numbered.select("row", F.col("doc.doc_id").alias("id")), "row").groupBy("component_id").agg(F.min(F.struct("id", "row"))["row"].alias("row"))
     gone = members.select("row").join(ranked.select("row"), "row", "left_anti")
     return numbered.join(gone, "row", "left_anti").select("doc.*")
+
+
+def drop_near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, width: int = SHINGLE) -> DataFrame:
+    """One row of each group, with all its columns: that of the smallest doc_id (null first), of
+    equal ones the first written."""
+    numbered = numbered_rows(docs)
+    rows = numbered.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))
+    return first_of_groups(numbered, near_duplicates(rows, most_bits, width).select(F.col("doc_id").alias("row"), "component_id"))

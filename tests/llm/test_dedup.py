@@ -3,9 +3,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-from kaptura.llm import components, simhash, suffix_dedup
+import corpus_pipeline
+from kaptura.llm import components, jaccard, simhash, suffix_dedup
 from kaptura.llm.common import table
 
 
@@ -171,3 +173,77 @@ def test_removal_of_odd_rows(spark):
     got = sorted((str(r.doc_id), r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs).collect())
     assert got == [("3", 0, 0), ("3", 900, 1), ("3", 900, 1), ("None", 500, 1)]
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ near copies by Jaccard similarity
+
+
+def plain_sets(texts):
+    out = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        out.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return out
+
+
+def plain_groups(texts):
+    sets = plain_sets(texts)
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 9 * len(a & b) >= 4 * (len(a) + len(b)) and (a or not b) and (b or not a):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
+def edited_texts(seed):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(300)]
+    line = " ".join(f"common{i}" for i in range(12))
+    texts = ["", None, " \t", "one", "ONE", "a b c d e", "a b c d e f"]
+    for size in (20, 60, 200, 900):
+        for _ in range(4):
+            words = rng.choices(vocabulary, k=size)
+            for edits in (0, 0, 1, 2, 3, 5, size // 40, size // 25):
+                copy = list(words)
+                for _ in range(edits):
+                    at = rng.randrange(len(copy))
+                    copy[at : at + rng.randrange(2)] = [rng.choice(vocabulary)]
+                texts.append(" ".join(copy) + (f" {line}" if rng.random() < 0.5 else ""))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_near_copies_by_brute_force(spark, sf_dir, monkeypatch):
+    for seed, common in ((1, np.zeros(0, np.uint64)), (2, None)):
+        texts = edited_texts(seed) + ([r.text for r in table(spark, sf_dir, "documents").collect()] if seed == 1 else [])
+        if common is None:  # any set of shingles may go behind the others
+            common = np.unique(np.concatenate([jaccard.shingle_set(t)[::3] for t in texts]))
+        monkeypatch.setattr(jaccard, "common_shingles", lambda texts, width, c=common: c)
+        rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+        got = {r.row: r.component_id for r in jaccard.near_copies(rows).collect()}
+        assert [got[i] for i in range(len(texts))] == plain_groups(texts)
+
+
+def test_pipeline_drops_copies_that_differ_by_more_than_two_bits(spark, sf_dir):
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words), " ".join([*words[:50], "other", *words[51:]]), " ".join([*words[:20], "x", *words[21:40], "y", *words[41:60], "z", *words[61:]])]
+    assert (plain_fingerprint(texts[0]) ^ plain_fingerprint(texts[1])).bit_count() > 2
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, texts), sf_dir).collect()) == [0, 2]
+
+
+def test_runs_over_batches():
+    rng = random.Random(3)
+    keys = sorted(rng.choices(range(40), k=300))
+    for size in (1, 2, 7, 50, 1000):
+        batches = [pa.RecordBatch.from_pydict({"key": keys[i : i + size], "place": list(range(i, min(i + size, 300)))}) for i in range(0, 300, size)]
+        parts = [t.to_pydict() for t in jaccard._runs(iter(batches))]
+        assert [p for t in parts for p in t["place"]] == list(range(300))
+        assert sum(len(set(t["key"])) for t in parts) == len(set(keys))
