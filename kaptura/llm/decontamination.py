@@ -7,7 +7,8 @@ holds items of at most ``block_chars`` characters, so what a worker holds is bou
 the size of the benchmark; there is one block unless the benchmark is large.
 
 Null texts have no words. An item without words has no windows; items with the same words each
-count. Rows with the same doc_id are judged each on its own.
+count. Items without an id hit words like any other; as in the SQL, all of them count as one item
+and have no part in items_sha256. Rows with the same doc_id are judged each on its own.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ class Matcher:
 
     _kept: dict[int, Matcher] = {}
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         by_window = defaultdict(list)
         for item, text in items:
             for w in item_windows(text, window):
@@ -77,10 +78,10 @@ class Matcher:
         return [tuple(r) for r in runs], items
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str, str]]]:
+def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str | None, str]]]:
     """Items in blocks of bounded size; no more than one block is on the driver at a time."""
     block, chars = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string"), "text").filter("item_id is not null and text is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string"), "text").filter("text is not null").toLocalIterator():
         block.append((row[0], row[1]))
         chars += len(row[1])
         if chars >= block_chars:
@@ -108,7 +109,7 @@ def _scanned(docs: DataFrame, items: list, window: int, with_spans: bool) -> Dat
                 r, i = matcher.scan(words)
                 counts.append(len(words))
                 runs.append(r)
-                found.append(sorted(i))
+                found.append(sorted(i - {None}) + [None] * (None in i))
                 spans.append(original_spans(text, r) if r and with_spans else [])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(runs, pairs), pa.array(found, pa.list_(pa.string())), pa.array(spans, pairs)], names=schema.fieldNames())
 
@@ -116,7 +117,7 @@ def _scanned(docs: DataFrame, items: list, window: int, with_spans: bool) -> Dat
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, block_chars: int = 4_000_000, with_spans: bool = True) -> DataFrame:
-    """``keep``, n_words, n_hit, items (sorted as strings) and spans (code points, merged) of every row."""
+    """``keep``, n_words, n_hit, items (sorted as strings, null last) and spans (code points, merged) of every row."""
     kept = docs.select(*keep, docs["text"].alias("_text"))
     blocks = item_blocks(benchmark, block_chars)
     first, second = next(blocks, []), next(blocks, None)

@@ -308,3 +308,16 @@ def test_the_entry_point_without_this_subpackage(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert not [q for q in e.queries() if q.startswith('op') or q == 'pipeline']"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_items_without_an_id_as_in_sql(spark):
+    benchmark = spark.createDataFrame([(None, "alpha beta"), (None, "gamma"), (7, "delta"), (8, None)], "item_id long, text string")
+    docs = frame(spark, ["x alpha beta", "gamma alpha beta delta", "delta", "beta alpha"])
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", benchmark)):
+        con.register(name, df.toArrow())
+    want = sorted(con.execute(decontamination.ORACLE).fetchall())
+    assert want[0][2] == 2
+    for chars in (1 << 20, 5):
+        assert sorted(tuple(r) for r in decontamination.judge_documents(docs, benchmark, block_chars=chars).collect()) == want
+    assert [r.doc_id for r in decontamination.drop_contaminated(docs, benchmark).collect()] == [3]
