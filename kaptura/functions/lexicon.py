@@ -45,13 +45,19 @@ CN_TENS = {"十": 10, "百": 100, "千": 1000}
 CN_MYRIADS = {"万": 10_000, "亿": 100_000_000}
 CN_NUMERALS = "零〇一二三四五六七八九十百千万亿两幺"
 UNITS = (
-    "微秒 毫秒 纳秒 皮秒 秒 分钟 小时 字节 比特 位 帧 兆 吉 赫兹 米 公里 千米 厘米 毫米 瓦 伏 安 欧 分贝 倍 "
-    "Mbps Kbps Gbps MB KB GB TB Bit bit Byte byte Hz Hz KHz MHz GHz ms us ns dB W V A B"
-).split()
+    "微秒", "毫秒", "纳秒", "皮秒", "秒", "分钟", "小时", "字节", "比特", "位", "帧", "兆", "吉", "赫兹", "米", "公里", "千米", "厘米",
+    "毫米", "瓦", "伏", "安", "欧", "分贝", "倍", "Mbps", "Kbps", "Gbps", "MB", "KB", "GB", "TB", "Bit", "bit",
+    "Byte", "byte", "Hz", "KHz", "MHz", "GHz", "ms", "us", "ns", "dB", "W", "V", "A", "B",
+)
 
 # Acronyms with a fixed way of writing: those with a separator, and common ones as they stand.
-ACRONYMS = {"TCPIP": "TCP/IP", "ACDC": "AC/DC", "AB": "A/B", "YNY": "Y/N", "PL": "P/L"} | {
-    a: a for a in "HTTP HTTPS FTP DNS DHCP NAT VPN CPU GPU RAM ROM OS DB API SDK IDE PDF URL URI USB HDMI SSD HDD LCD LED GPS NFC AI ML DL CV NLP ID OK".split()
+ACRONYMS = {
+    "TCPIP": "TCP/IP", "ACDC": "AC/DC", "AB": "A/B", "YNY": "Y/N", "PL": "P/L", "HTTP": "HTTP",
+    "HTTPS": "HTTPS", "FTP": "FTP", "DNS": "DNS", "DHCP": "DHCP", "NAT": "NAT", "VPN": "VPN", "CPU": "CPU",
+    "GPU": "GPU", "RAM": "RAM", "ROM": "ROM", "OS": "OS", "DB": "DB", "API": "API", "SDK": "SDK",
+    "IDE": "IDE", "PDF": "PDF", "URL": "URL", "URI": "URI", "USB": "USB", "HDMI": "HDMI", "SSD": "SSD",
+    "HDD": "HDD", "LCD": "LCD", "LED": "LED", "GPS": "GPS", "NFC": "NFC", "AI": "AI", "ML": "ML", "DL": "DL",
+    "CV": "CV", "NLP": "NLP", "ID": "ID", "OK": "OK",
 }
 
 # What the guard takes for numerals and units, by variant.

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -92,25 +94,36 @@ def letter_runs(tokens: DataFrame, key: list[str], order: str) -> DataFrame:
 # ---------------------------------------------------------------------------- long audio
 
 
+# Fixed values, in seconds: the averaged window and the distance between two of them, how far from
+# its due time a cut may move, and what it keeps away from the cut before and the end.
+QUIET_WINDOW, QUIET_HOP, CUT_SLACK, FROM_LAST_CUT, FROM_END = 0.2, 0.05, 3.0, 60.0, 1.0
+
+
+def quiet_place(level: np.ndarray, first: float, last: float, rate: int) -> float | None:
+    """Middle of the first of the quietest windows between two times; None if none fits."""
+    width, hop = int(QUIET_WINDOW * rate), int(QUIET_HOP * rate)
+    heard = level[int(first * rate) : int(last * rate)]
+    if not hop or len(heard) < width + hop:
+        return None
+    means = np.lib.stride_tricks.sliding_window_view(heard, width)[: len(heard) - width - (len(heard) - width) % hop : hop].mean(axis=1)
+    return first + (int(means.argmin()) * hop + width / 2) / rate
+
+
+def _cut_times(total: float, level: np.ndarray | None, rate: int, longest: float) -> Iterator[float]:
+    last = 0.0
+    while (due := last + longest) < total:
+        span = max(last + FROM_LAST_CUT, due - CUT_SLACK), min(total - FROM_END, due + CUT_SLACK)
+        quiet = quiet_place(level, *span, rate) if level is not None and span[0] < span[1] else None
+        last = due if quiet is None else quiet
+        yield last
+
+
 def chunk_bounds(total: float, samples: Sequence[float] | None = None, rate: int = 16_000, longest: float = 300.0) -> list[tuple[float, float]]:
-    """Cuts of at most about ``longest`` seconds, each moved to the quietest 0.2 s within 3 s."""
-    if total <= longest:
-        return [(0.0, total)]
-    loud = None if samples is None else np.abs(np.asarray(samples, np.float32))
-    bounds, at = [0.0], 0.0
-    while at + longest < total:
-        cut = at + longest
-        lo, hi = max(at + 60.0, cut - 3.0), min(total - 1.0, cut + 3.0)
-        if loud is not None and rate > 0 and hi > lo:
-            part, width, hop = loud[int(lo * rate) : int(hi * rate)], int(0.2 * rate), int(0.05 * rate)
-            count = (len(part) - width) // hop if len(part) > width else 0
-            if count > 0:
-                energy = [float(part[k * hop : k * hop + width].mean()) for k in range(count)]
-                cut = lo + (int(np.argmin(energy)) * hop + width / 2) / rate
-        bounds.append(round(cut, 2))
-        at = cut
-    bounds.append(round(total, 2))
-    return [(a, b) for a, b in zip(bounds, bounds[1:], strict=False) if b > a]
+    """Chunks of about ``longest`` seconds at most; with samples, each cut lies in a quiet place."""
+    level = np.abs(np.asarray(samples, np.float32)) if samples is not None and rate > 0 else None
+    cuts = [round(c, 2) for c in _cut_times(total, level, rate, longest)]
+    edges = [0.0, *cuts, round(total, 2) if cuts else total]
+    return [pair for pair in itertools.pairwise(edges) if not cuts or pair[0] < pair[1]]
 
 
 def chunks(media: DataFrame, duration: str = "duration", samples: str | None = None, rate: int = 16_000) -> DataFrame:
@@ -136,6 +149,7 @@ def rebased(tokens: DataFrame, chunk_table: DataFrame, keys: list[str]) -> DataF
 _PLAIN = frozenset(lex.HARD_BREAKS + lex.SOFT_BREAKS + lex.OUTER_PUNCTUATION)
 
 
+@functools.lru_cache(1 << 16)
 def folded(text: str) -> str:
     return unicodedata.normalize("NFKC", text).lower().strip()
 

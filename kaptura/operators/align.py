@@ -85,7 +85,7 @@ def punctuate(tokens: list[dict] | None, full_text: str | None) -> list[dict]:
     if not tokens or not full_text:
         return tokens
     chars, owner, last = _symbols(tokens)
-    places = [i for i, c in enumerate(full_text) if not _NO_WORD.match(c)]
+    places = [i for i, c in enumerate(full_text) if c.isalnum()]
     if not chars or not places:
         return tokens
     first_at: dict[int, int] = {}

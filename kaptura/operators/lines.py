@@ -6,6 +6,7 @@ to the next line is a cut moved by one, lines merged are a cut taken out.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -161,12 +162,37 @@ FORBIDDEN = -999_999.0
 _UNITS = frozenset(lex.COUNTED_UNITS)
 
 
-def split_score(words: Sequence[Word], k: int, target: int) -> float:
-    """How natural a line break before word ``k`` is."""
+@functools.lru_cache(1 << 16)
+def _bare_width(text: str) -> int:
+    """Width of a word in ASCII at a line's end; 0 if it must be printed with its neighbours."""
+    if not text.isascii() or text[0] in "/-_'\"" or any(map(str.isspace, text)):
+        return 0
+    return len(printed((Word(text, 0.0, 0.0),)))
+
+
+def shown_widths(words: Sequence[Word]) -> list[tuple[int, int]]:
+    """Widths of the printed words before each k from 1 on, and of those from k on.
+
+    Words in ASCII are added up: each takes its length, a space behind it if it ends in a letter
+    or digit, and no marks where a line ends. Other words, and those that are nothing but marks or
+    cling to the one before, are printed.
+    """
+    bare = [_bare_width(w.text) for w in words]
+    if 0 in bare:
+        return [(width(printed(words[:k])), width(printed(words[k:]))) for k in range(1, len(words))]
+    ends = [0]  # where each word begins if all stand in one line
+    for w in words:
+        ends.append(ends[-1] + len(w.text) + w.text[-1].isalnum())
+    whole = ends[-2] + bare[-1]
+    return [(ends[k - 1] + bare[k - 1], whole - ends[k]) for k in range(1, len(words))]
+
+
+def split_score(words: Sequence[Word], k: int, target: int, shown: tuple[int, int]) -> float:
+    """How natural a line break before word ``k`` is; ``shown``: the widths on both sides."""
     before, after = words[k - 1], words[k]
     if after.bound or before.text in lex.ORDINAL_HEADS:
         return FORBIDDEN
-    left, right = width(printed(words[:k])), width(printed(words[k:]))
+    left, right = shown
     if left < 8 or right < 6:
         return FORBIDDEN
     pause = after.start - before.end
@@ -194,7 +220,7 @@ def split_score(words: Sequence[Word], k: int, target: int) -> float:
 
 def best_split(words: Sequence[Word], target: int) -> int:
     """The first of the best breaks; the middle if all are forbidden."""
-    scores = [split_score(words, k, target) for k in range(1, len(words))]
+    scores = [split_score(words, k, target, shown) for k, shown in enumerate(shown_widths(words), 1)]
     top = max(scores, default=FORBIDDEN)
     return scores.index(top) + 1 if top > FORBIDDEN else max(1, len(words) // 2)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kaptura.operators import classic, lines
+from kaptura.session import spread
 from kaptura.sources import transcripts
 
 
@@ -15,9 +16,10 @@ def caption_rows(captioned: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def captions(table: DataFrame, key: str = "doc_id", text: str = "text", style: lines.Style = lines.Style()) -> DataFrame:  # noqa: B008
-    """Caption lines of plain texts, read at an even pace: a scan and a map, no shuffle."""
-    return caption_rows(lines.captioned(transcripts.from_lines(table, key, text), style=style))
+    """Caption lines of plain texts, read at an even pace: a scan and a map; only a table of few
+    files is dealt out first."""
+    return caption_rows(lines.captioned(transcripts.from_lines(spread(table.select(key, text)), key, text), style=style))
 
 
 def classic_captions(table: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return caption_rows(classic.captioned(transcripts.from_lines(table, key, text)))
+    return caption_rows(classic.captioned(transcripts.from_lines(spread(table.select(key, text)), key, text)))

@@ -13,7 +13,7 @@ from kaptura.functions import spoken
 from kaptura.functions import text as tx
 from kaptura.operators import acoustic, align, classic, correct, guard, lines, tasks
 from kaptura.plans import captions
-from kaptura.session import table
+from kaptura.session import spread, table
 from kaptura.sources import sinks, srt, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def values(rows: list[tuple], names: str) -> str:
     return f"(select * from (values {quoted}) as v({names}))"
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table for queries whose Python work outweighs a shuffle."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def samples_sql() -> str:
     return values([(-i, s) for i, s in enumerate(SAMPLES, 1)], "doc_id, text")
 
@@ -123,7 +128,7 @@ def srt_time_parse(spark, sf_dir):
 
 @query()
 def spoken_normalise(spark, sf_dir):
-    return texts(spark, sf_dir).select("doc_id", spoken.normalised(F.col("text")).alias("normal"), spoken.letters_joined(F.col("text")).alias("joined"))
+    return spread(texts(spark, sf_dir)).select("doc_id", spoken.normalised(F.col("text")).alias("normal"), spoken.letters_joined(F.col("text")).alias("joined"))
 
 
 @query(f"select doc_id, text in ({', '.join(repr(x) for x in lex.BOUND_PARTICLES + lex.BOUND_CLASSIFIERS)}) bound, text in ({', '.join(repr(x) for x in lex.OPEN_PREPOSITIONS + lex.OPEN_COMPOUNDS)}) open_end from {values([(i, w) for i, w in enumerate(('的', '得', '得去', '在', '现在', '关于', '个', '个人', 'x'))], 'doc_id, text')}")
@@ -206,7 +211,7 @@ def token_repair(spark, sf_dir):
 @query()
 def punctuation_alignment(spark, sf_dir):
     """Every turn's words without their marks, aligned to the turn itself."""
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+    turns = spread_table(spark, sf_dir, "conversations", "conv_id", "turn", "text").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
     docs = transcripts.from_lines(turns, "turn_id", "text").withColumn("tokens", F.transform("tokens", lambda t: F.struct(F.regexp_replace(t["text"], r"[,.;:!?]", "").alias("text"), t["start"].alias("start"), t["end"].alias("end"))))
     docs = docs.withColumn("tokens", F.filter("tokens", lambda t: t["text"] != ""))
     return transcripts.exploded(align.punctuated(acoustic.repaired(docs))).select("doc_id", "pos", "text", "punctuation", "sentence_end", "clause_end")
@@ -241,13 +246,13 @@ def classic_caption_lines(spark, sf_dir):
 @query()
 def srt_round_trip(spark, sf_dir):
     """Captions written as SRT and read back."""
-    docs = lines.captioned(transcripts.from_lines(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    docs = lines.captioned(transcripts.from_lines(spread_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text"))
     return srt.entries(docs.select("doc_id", sinks.lines_srt(F.col("lines")).alias("value")), "doc_id")
 
 
 @query()
 def document_exports(spark, sf_dir):
-    docs = lines.captioned(transcripts.from_lines(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    docs = lines.captioned(transcripts.from_lines(spread_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text"))
     finished = classic.finished(docs)
     return finished.select("doc_id", sinks.lines_text(F.col("lines")).alias("txt"), sinks.lines_json(F.lit("English"), F.col("full_text"), F.col("lines"), F.col("tokens")).alias("json"))
 
@@ -255,9 +260,10 @@ def document_exports(spark, sf_dir):
 @query()
 def transcript_peek(spark, sf_dir):
     """The documents as transcript JSON, peeked at and parsed again."""
-    docs = transcripts.from_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+    docs = transcripts.from_lines(spread_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
     files = docs.select(F.col("doc_id").cast("string").alias("path"), F.to_json(F.struct("full_text", F.transform("tokens", lambda t: F.struct(t["text"].alias("word"), t["start"].alias("start"), t["end"].alias("end"))).alias("words"))).alias("value"))
-    return transcripts.peeked(files).join(transcripts.documents(files).select("path", F.size("tokens").alias("n_tokens")), "path")
+    peeked = transcripts.peeked(files, keep=("path", "value"))
+    return transcripts.documents(peeked).select("path", "n_segments", "duration", "domain", F.size("tokens").alias("n_tokens"))
 
 
 # ---------------------------------------------------------------------------- guard and correction
@@ -291,7 +297,7 @@ def guard_verdicts(spark, sf_dir):
 @query()
 def guard_documents(spark, sf_dir):
     """Every line of every document against itself with repeated words taken out."""
-    rows = line_explode(spark, sf_dir).withColumn("corrected", F.regexp_replace("text", r"\b(\w+) \1\b", "$1"))
+    rows = spread(line_explode(spark, sf_dir)).withColumn("corrected", F.regexp_replace("text", r"\b(\w+) \1\b", "$1"))
     return rows.withColumn("g", guard.verified(F.col("text"), F.col("corrected"))).select("doc_id", "id", "g.accepted", "g.reason")
 
 

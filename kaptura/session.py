@@ -15,3 +15,13 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores, for a map that costs more than a shuffle.
+
+    A file of one row group is read by one task, however many partitions the scan plans. A table
+    of at least as many files as there are cores is read in parallel as it is and doesn't move.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(4 * cores)

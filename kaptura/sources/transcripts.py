@@ -63,18 +63,20 @@ def exploded(docs: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> Da
     return docs.select(key, F.posexplode(tokens).alias("pos", "t")).select(key, "pos", "t.*")
 
 
-def peeked(files: DataFrame, value: str = "value") -> DataFrame:
-    """path, n_segments, duration and domain of usable files, natively by VARIANT.
+def peeked(files: DataFrame, value: str = "value", keep: tuple[str, ...] = ("path",)) -> DataFrame:
+    """``keep``, n_segments, duration and domain of usable files, natively by VARIANT.
 
-    The list is the first of six keys that is a list of something, or the file itself.
+    The list is the first of six keys that is a list of something, or the file itself. The parsed
+    file and the list come out of generators, below which no filter is pushed: each is computed once.
     """
-    doc = files.withColumn("_v", F.try_parse_json(value)).filter(F.col("_v").isNotNull())
+    once = lambda x: F.explode(F.array(x))
+    doc = files.select(*dict.fromkeys((*keep, value)), once(F.try_parse_json(value)).alias("_v")).filter(F.col("_v").isNotNull())
     lists = [F.try_variant_get("_v", p, "array<variant>") for p in ("$", *(f"$.{k}" for k in ("segments", "sentences", "utterances", "word_timestamps", "words", "tokens")))]
     chosen = F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists])
     last = F.try_element_at(F.col("_list"), F.lit(-1))
     number = lambda k: F.nullif(F.try_variant_get(last, f"$.{k}", "double"), F.lit(0.0))
-    found = doc.withColumn("_list", chosen).filter(F.col("_list").isNotNull())
-    return found.select("path", F.size("_list").alias("n_segments"), F.coalesce(number("end_time"), number("end"), number("orig_end"), F.lit(0.0)).alias("duration"), F.coalesce(F.try_variant_get("_v", "$.domain_profile.domain", "string"), F.lit("")).alias("domain"))
+    found = doc.select(*keep, "_v", once(chosen).alias("_list")).filter(F.col("_list").isNotNull())
+    return found.select(*keep, F.size("_list").alias("n_segments"), F.coalesce(number("end_time"), number("end"), number("orig_end"), F.lit(0.0)).alias("duration"), F.coalesce(F.try_variant_get("_v", "$.domain_profile.domain", "string"), F.lit("")).alias("domain"))
 
 
 def from_lines(table: DataFrame, key: str, text: str, per_second: float = 3.0) -> DataFrame:
