@@ -51,7 +51,7 @@ def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), passage=suffix_dedup.PASSAGE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

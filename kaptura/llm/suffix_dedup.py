@@ -12,8 +12,13 @@ stages: suffixes smaller than their successors are sorted directly, the others a
 scan over the buckets. A window repeats if its common prefix with a neighbour is ``length`` long.
 
 Copies of a whole text count once, with their number. Equal runs of a group are one before the
-sort. A group of more than ``most_bytes`` isn't gathered: its windows are counted by 128-bit
-hashes, partly within each task, so a passage that a third of all documents hold stays spread.
+sort; a group in which every run has an equal one is not sorted at all. A group of more than
+``most_bytes`` isn't gathered: its windows are counted by 128-bit hashes instead. Texts are dealt
+to buckets of bounded size; a bucket sends each of its windows once, with its number, and gets
+back those that repeat, so a passage that a third of all documents hold is one row a bucket.
+
+``shared_passages`` looks for shorter repeats in the same way, with words for bytes: runs of
+``words`` words that another text holds too, whatever their length in bytes.
 
 Null and empty texts have no bytes; shorter texts than ``length`` lose nothing; repeated rows are
 copies of each other and lose everything if long enough; a null doc_id is carried.
@@ -23,10 +28,11 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +41,11 @@ from kaptura.llm.common import shuffle_partitions, stored
 LENGTH, GRAM = 400, 32
 BLOCK = 1 << 18
 MOST_BYTES = 1 << 19
+#: Window starts of a bucket.
+BUCKET = 1 << 22
+#: Words of a shared passage, and of the strings whose smallest hash names a window of so many.
+PASSAGE, WORD_GRAM = 51, 8
+_NULL_ID = -(1 << 63)
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -70,15 +81,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(got[: len(got) - rest], got[rest:]) if rest else got
 
 
-def value_runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[list[int], list[int], list[int], list[bool]]:
+def value_runs(whole: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[list[int], list[int], list[int], list[bool]]:
     """Runs of window starts: first, last, value, whether the value stands twice within."""
     firsts: list[int] = []
     lasts: list[int] = []
     values: list[int] = []
     twice: list[bool] = []
     width = length - gram + 1
-    whole = np.frombuffer(data, np.uint8)
-    for at in range(0, len(data) - length + 1, BLOCK):
+    for at in range(0, len(whole) - length + 1, BLOCK):
         part = whole[at : at + BLOCK + length - 1]
         hashes = string_hashes(part, gram, 0)
         least = sliding_min(hashes, width)
@@ -190,7 +200,10 @@ def _grouped(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         for _, sha, first, copies, body in held:
             same[body].append((sha, first, copies))
         bodies = list(same)
-        marks = repeated_starts([(b, len(b) - length + 1) for b in bodies], length)
+        if all(len(rows) > 1 or rows[0][2] > 1 for rows in same.values()):
+            marks = [np.ones(len(b) - length + 1, np.bool_) for b in bodies]
+        else:
+            marks = repeated_starts([(b, len(b) - length + 1) for b in bodies], length)
         for body, mark in zip(bodies, marks, strict=True):
             rows = same[body]
             if len(rows) > 1 or rows[0][2] > 1:
@@ -211,20 +224,30 @@ def _grouped(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     yield out()
 
 
-def _measure(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def word_codes(data: bytes) -> np.ndarray:
+    """The hash of each word between ASCII white space."""
+    words = data.split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _measure(docs: DataFrame, length: int, gram: int, passage: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shas, sizes, cols = [], [], ([], [], [], [])
+            shas, sizes, words, cols = [], [], [], ([], [], [], [])
             for text in batch.column(1).to_pylist():
                 data = text.encode() if text else b""
                 shas.append(hashlib.sha256(data).digest())
                 sizes.append(len(data))
-                for c, x in zip(cols, value_runs(data, length, gram), strict=True):
+                for c, x in zip(cols, value_runs(np.frombuffer(data, np.uint8), length, gram), strict=True):
                     c.append(x)
+                words.append(list(dict.fromkeys(value_runs(word_codes(data), passage, WORD_GRAM)[2])) if passage else [])
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(c, pa.list_(k)) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "sha", "n_bytes", "firsts", "lasts", "vals", "twice"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(shas, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(c, pa.list_(k)) for c, k in zip(cols, kinds, strict=True)), pa.array(words, pa.list_(pa.int64()))],
+                names=["doc_id", "sha", "n_bytes", "firsts", "lasts", "vals", "twice", "word_vals"],
+            )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sha binary, n_bytes long, firsts array<long>, lasts array<long>, vals array<long>, twice array<boolean>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sha binary, n_bytes long, firsts array<long>, lasts array<long>, vals array<long>, twice array<boolean>, word_vals array<long>")
 
 
 def _segments(texts: DataFrame, length: int) -> DataFrame:
@@ -246,34 +269,125 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "v long, sha binary, first long, copies long, body binary")
 
 
-def _crowded_windows(texts: DataFrame, length: int, each: bool) -> DataFrame:
-    """Hashes of windows in crowded groups: how often they occur in each task's texts or, with
-    ``each``, every place of them in texts that have no copies."""
+Windows = Callable[[dict], Iterator[tuple[int, np.ndarray, np.ndarray]]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for sha, copies, text, runs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                runs = [r for r in runs if r["crowded"]]
-                if not runs or each and copies > 1:
-                    continue
-                whole = np.frombuffer(text.encode(), np.uint8)
-                for r in runs:
-                    part = whole[r["a"] : r["b"] + length]
-                    h, g = (string_hashes(part, length, s).view(np.int64) for s in (1, 2))
-                    parts.append((h, g, np.arange(r["a"], r["b"] + 1) if each else np.full(len(h), copies), [sha] * len(h) if each else None))
-                    if sum(len(p[0]) for p in parts) > 200_000:
-                        yield out(parts)
-                        parts = []
-            yield out(parts)
-
-    def out(parts):
-        h, g, n = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
-        if each:
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(n), pa.array([s for p in parts for s in p[3]], pa.binary())], names=["h", "g", "start", "sha"])
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(n)], names=["h", "g", "n"])
-
-    return texts.mapInArrow(run, "h long, g long, start long, sha binary" if each else "h long, g long, n long")
+
+def _byte_windows(length: int) -> Windows:
+    """First place and two hashes of every window of each crowded run."""
+
+    def of(row: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        whole = np.frombuffer(row["text"].encode(), np.uint8)
+        for r in row["runs"]:
+            if r["crowded"]:
+                part = whole[r["a"] : r["b"] + length]
+                yield (r["a"], *(string_hashes(part, length, s).view(np.int64) for s in (1, 2)))
+
+    return of
+
+
+def _word_windows(passage: int) -> Windows:
+    """The same, of each run of word windows whose value another text has."""
+
+    def of(row: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        whole, shared = word_codes(row["text"].encode()), set(row["shared"])
+        for first, last, value, _ in zip(*value_runs(whole, passage, WORD_GRAM), strict=True):
+            if value in shared:
+                yield (first, *(string_hashes(whole[first : last + passage], passage, s).view(np.int64) for s in (1, 2)))
+
+    return of
+
+
+def _pairs(h: list[np.ndarray], g: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of hashes in order, each once, with the sum of its numbers."""
+    x, y, z = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (h, g, n))
+    order = np.lexsort((y, x))
+    x, y, z = x[order], y[order], z[order]
+    new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.zeros(0, np.int64)
+    return x[new], y[new], np.add.reduceat(z, new) if len(new) else z
+
+
+def _bucket_windows(batches: Iterator[pa.RecordBatch], windows: Windows, once: bool) -> Iterator[pa.RecordBatch]:
+    """bucket, h, g and the number of each window of rows sorted by bucket; ``once``: one a text."""
+    held: tuple[list, list, list] = ([], [], [])
+    bucket, size = None, 0
+
+    def out() -> pa.RecordBatch:
+        h, g, n = _pairs(*held)
+        for c in held:
+            c.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), bucket or 0, np.int64)), pa.array(h), pa.array(g), pa.array(n)], names=["bucket", "h", "g", "n"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != bucket or size > 2 * BUCKET:
+                yield out()
+                bucket, size = row["bucket"], 0
+            own: tuple[list, list, list] = ([], [], [])
+            for _, h, g in windows(row):
+                for c, x in zip(own, (h, g, np.full(len(h), row["copies"], np.int64)), strict=True):
+                    c.append(x)
+            if once and own[0]:
+                h, g, _ = _pairs(*own)
+                own = ([h], [g], [np.ones(len(h), np.int64)])
+            for c, x in zip(held, own, strict=True):
+                c += x
+            size += sum(map(len, own[0]))
+    yield out()
+
+
+def _bucket_places(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
+    """sha, lo, hi of windows that repeat: in each bucket their hashes come first, then the texts."""
+    hashes: tuple[list, list] = ([], [])
+    known, bucket = (np.zeros(0, np.int64), np.zeros(0, np.int64)), None
+    found: list[tuple[bytes, int, int]] = []
+
+    def out() -> pa.RecordBatch:
+        cols = list(zip(*found, strict=True)) or [(), (), ()]
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["sha", "lo", "hi"])
+
+    for batch in batches:
+        of, is_text = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "is_text"))
+        edges = np.concatenate(([0], np.flatnonzero((of[1:] != of[:-1]) | (is_text[1:] != is_text[:-1])) + 1, [len(of)]))
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            part = batch.slice(x, y - x)
+            if not part.num_rows:
+                continue
+            if of[x] != bucket:
+                bucket, hashes = of[x], ([], [])
+                known = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            if not is_text[x]:
+                for c, name in zip(hashes, ("h", "g"), strict=True):
+                    c.append(part.column(name).to_numpy(zero_copy_only=False))
+                continue
+            if hashes[0]:
+                known, hashes = _pairs(*hashes, [np.zeros(len(c), np.int64) for c in hashes[0]])[:2], ([], [])
+            for row in part.to_pylist():
+                for first, h, g in windows(row) if len(known[0]) else ():
+                    at = known[0].searchsorted(h)
+                    marks = np.zeros(len(h), np.bool_)
+                    for step in (0, 1):  # two windows of one h and different g: not to be expected
+                        place = np.minimum(at + step, len(known[0]) - 1)
+                        marks |= (known[0][place] == h) & (known[1][place] == g)
+                    found += [(row["sha"], first + lo, first + hi) for lo, hi in true_runs(marks)]
+            if len(found) >= 10_000:
+                yield out()
+    yield out()
+
+
+def _repeated_windows(texts: DataFrame, windows: Windows, n_starts: int, once: bool = False) -> DataFrame:
+    """sha, lo, hi of the windows of ``texts`` (sha, copies, text and what ``windows`` reads) that repeat.
+
+    ``n_starts``: about how many windows there are, which sets the number of buckets.
+    """
+    n = max(shuffle_partitions(texts.sparkSession), -(-n_starts // BUCKET))
+    dealt = texts.withColumn("bucket", F.pmod(F.xxhash64("sha"), F.lit(n)))
+    in_order = dealt.repartition(n, "bucket").sortWithinPartitions("bucket")
+    counted = stored(in_order.mapInArrow(lambda batches: _bucket_windows(batches, windows, once), "bucket long, h long, g long, n long"), "windows")
+    repeated = counted.groupBy("h", "g").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "g")
+    back = counted.select("bucket", "h", "g").join(repeated, ["h", "g"]).withColumn("is_text", F.lit(False))
+    both = dealt.withColumn("is_text", F.lit(True)).unionByName(back, allowMissingColumns=True)
+    return both.repartition(n, "bucket").sortWithinPartitions("bucket", "is_text").mapInArrow(lambda batches: _bucket_places(batches, windows), "sha binary, lo long, hi long")
 
 
 def _cut(found: DataFrame, length: int) -> DataFrame:
@@ -304,38 +418,77 @@ def _cut(found: DataFrame, length: int) -> DataFrame:
     return found.mapInArrow(run, "sha binary, removed long, spans long, kept string")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (rep, sha, ...) with the text of the row it names."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("rep"), "text").withColumn("sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    # Rows with the same doc_id and text each come: they are copies, and count as repeats anyhow.
+    return rows.join(wanted, ["rep", "sha"])
+
+
+def _shared(docs: DataFrame, texts: DataFrame, passage: int) -> DataFrame:
+    """sha of texts (sha, rep, copies, word_vals) that hold ``passage`` words another text holds too."""
+    values = texts.select("sha", "rep", F.explode("word_vals").alias("v"))
+    common = stored(values.groupBy("v").count().filter("count > 1").select("v", F.lit(True).alias("common")), "word-values")
+    suspect = values.join(common, "v").groupBy("sha", "rep").agg(F.collect_list("v").alias("shared"))
+    held = stored(_bodies(docs, suspect).select("sha", F.lit(1).cast("long").alias("copies"), "text", "shared"), "word-suspects")
+    n = held.agg(F.sum(F.length("text"))).first()[0] or 0
+    return _repeated_windows(held, _word_windows(passage), n // 6, once=True).select("sha").distinct()
+
+
+def shared_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """doc_id, shares_passage of every row: whether ``words`` words in a row, between ASCII white
+    space, also stand in another row. Texts of fewer words share nothing."""
+    if words < WORD_GRAM:
+        raise ValueError(f"a passage has at least {WORD_GRAM} words")
+    measured = stored(_measure(docs, LENGTH, GRAM, words), "runs")
+    texts = stored(_distinct(measured), "texts")
+    flagged = _shared(docs, texts, words).withColumn("other", F.lit(True))
+    rows = measured.select("doc_id", "sha").join(texts.select("sha", "copies", (F.size("word_vals") > 0).alias("long")), "sha").join(flagged, "sha", "left")
+    return rows.select("doc_id", (F.coalesce("other", F.lit(False)) | (F.col("copies") > 1) & F.col("long")).alias("shares_passage"))
+
+
+def _distinct(measured: DataFrame) -> DataFrame:
+    """Each text once: sha, its measures, copies, and the smallest doc_id as rep."""
+    first = [F.first(c).alias(c) for c in ("n_bytes", "firsts", "lasts", "vals", "twice", "word_vals")]
+    return measured.groupBy("sha").agg(*first, F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(_NULL_ID))).alias("rep"))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_bytes: int = MOST_BYTES, passage: int = 0) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``passage`` (a number of
+    words) also shares_passage, as ``shared_passages`` has it."""
     if length % 8 or gram > length:
         raise ValueError("length must be a multiple of 8 and at least the gram's")
     spark = docs.sparkSession
-    measured = stored(_measure(docs, length, gram), "runs")
-    first = [F.first(c).alias(c) for c in ("n_bytes", "firsts", "lasts", "vals", "twice")]
-    null_id = F.lit(-(1 << 63))
-    texts = stored(measured.groupBy("sha").agg(*first, F.count("*").alias("copies"), F.min(F.coalesce("doc_id", null_id)).alias("rep")), "texts")
+    measured = stored(_measure(docs, length, gram, passage), "runs")
+    texts = stored(_distinct(measured), "texts")
     zipped = F.explode(F.arrays_zip("firsts", "lasts", "vals", "twice")).alias("r")
     runs = texts.select("sha", "rep", "copies", zipped).select("sha", "rep", "copies", F.col("r.firsts").alias("a"), F.col("r.lasts").alias("b"), F.col("r.vals").alias("v"), F.col("r.twice").cast("long").alias("again"))
     values = runs.groupBy("v").agg(F.sum(1 + F.col("again")).alias("n"), F.sum(F.col("b") - F.col("a") + length).alias("size")).filter("n > 1")
-    values = stored(values.select("v", (F.col("size") > most_bytes).alias("crowded")), "values")
+    values = stored(values.select("v", "size", (F.col("size") > most_bytes).alias("crowded")), "values")
     # A text of several copies goes as a whole; it only stands for its windows.
-    suspect = runs.join(values, "v").groupBy("sha", "rep", "copies").agg(F.collect_list(F.struct("a", "b", "v", "crowded")).alias("runs"))
-    bodies = docs.select(F.coalesce(F.col("doc_id").cast("long"), null_id).alias("rep"), "text").withColumn("sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
-    held = stored(bodies.join(suspect, ["rep", "sha"]).select("sha", "copies", "text", "runs"), "suspects")
+    suspect = runs.join(values.drop("size"), "v").groupBy("sha", "rep", "copies").agg(F.collect_list(F.struct("a", "b", "v", "crowded")).alias("runs"))
+    held = stored(_bodies(docs, suspect).select("sha", "copies", "text", "runs"), "suspects")
     n = shuffle_partitions(spark)
     sorted_runs = _segments(held, length).repartition(n, "v").sortWithinPartitions("v")
     starts = sorted_runs.mapInArrow(lambda batches: _grouped(batches, length), "sha binary, lo long, hi long")
-    if values.filter("crowded").limit(1).count():
-        counted = _crowded_windows(held, length, False).groupBy("h", "g").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "g")
-        places = _crowded_windows(held, length, True).join(counted, ["h", "g"])
-        starts = starts.unionByName(places.select("sha", F.col("start").alias("lo"), F.col("start").alias("hi")))
+    n_crowded = values.filter("crowded").agg(F.sum("size")).first()[0]
+    if n_crowded:
+        crowded = held.filter(F.exists("runs", lambda r: r["crowded"]))
+        # Texts of several copies are counted, and then go as a whole.
+        starts = starts.unionByName(_repeated_windows(crowded, _byte_windows(length), n_crowded))
     by_text = starts.groupBy("sha").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
     cut = _cut(held.filter("copies = 1").select("sha", "text").join(by_text, "sha").select("sha", "text", "starts"), length)
-    out = measured.select("doc_id", "sha", "n_bytes").join(texts.select("sha", "copies"), "sha").join(cut, "sha", "left")
+    out = measured.select("doc_id", "sha", "n_bytes").join(texts.select("sha", "copies", (F.size("word_vals") > 0).alias("long")), "sha").join(cut, "sha", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+    more = []
+    if passage:
+        out = out.join(_shared(docs, texts, passage).withColumn("other", F.lit(True)), "sha", "left")
+        more = [(F.coalesce("other", F.lit(False)) | (F.col("copies") > 1) & F.col("long")).alias("shares_passage")]
     return out.select(
         "doc_id",
         "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.lit(_EMPTY)).otherwise(F.coalesce("kept", F.lower(F.hex("sha")))).alias("kept_sha256"),
+        *more,
     )

@@ -46,6 +46,28 @@ def test_near_duplicates_by_brute_force(spark, sf_dir):
     assert {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in got} == {i: (fps[i], want[i]) for i in want}
 
 
+def test_shared_passages_by_brute_force(spark, sf_dir, monkeypatch):
+    texts = [r.text for r in table(spark, sf_dir, "documents").collect()]
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    passage = rng.sample(words, 51)
+    for extra in (0, -1, 3):  # a whole passage, one word less, a longer one
+        for _ in range(2):
+            own = rng.sample(words, 60 + extra)
+            texts.append(" ".join(own[:20] + (passage + own[-extra:] if extra > 0 else passage[: 51 + extra]) + own[20:]))
+    texts += ["", None, " ".join(passage), "a b"]
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 1 << 12)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(spark.createDataFrame([(90_000, texts[0]), (90_001, "a b")], "doc_id long, text string"))
+    got = {r.doc_id: r.shares_passage for r in suffix_dedup.shared_passages(rows).collect()}
+    assert got == {r.doc_id: r.shares_passage for r in suffix_dedup.remove_repeats(rows, passage=51).collect()}
+    held = defaultdict(set)
+    listed = [(r.doc_id, (r.text or "").encode().split()) for r in rows.collect()]
+    for i, w in listed:
+        for k in range(len(w) - 50):
+            held[tuple(w[k : k + 51])].add(i)
+    assert got == {i: any(len(held[tuple(w[k : k + 51])]) > 1 for k in range(len(w) - 50)) for i, w in listed}
+
+
 def near_copies(seed, n):
     rng = random.Random(seed)
     centres = [rng.getrandbits(64) for _ in range(4)]
@@ -155,10 +177,10 @@ def test_crowded_groups_by_brute_force(spark):
 
 def test_blocks_by_brute_force(spark, monkeypatch):
     texts = sample(3)
-    whole = [suffix_dedup.value_runs((t or "").encode(), 40, 8) for t in texts]
+    whole = [suffix_dedup.value_runs(np.frombuffer((t or "").encode(), np.uint8), 40, 8) for t in texts]
     monkeypatch.setattr(suffix_dedup, "BLOCK", 64)
     for t, (a, _, v, _) in zip(texts, whole, strict=True):
-        a2, b2, v2, _ = suffix_dedup.value_runs((t or "").encode(), 40, 8)
+        a2, b2, v2, _ = suffix_dedup.value_runs(np.frombuffer((t or "").encode(), np.uint8), 40, 8)
         assert set(a) <= set(a2) and [v[np.searchsorted(a, x, "right") - 1] for x in a2] == v2
         assert all(x <= y for x, y in zip(a2, b2, strict=True))
 
