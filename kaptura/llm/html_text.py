@@ -10,24 +10,33 @@
    its own best container if it has none there.
 
 Boilerplate elements and those whose class or id says so, scripts, styles and comments count for
-nothing in either pass. A null or empty page has an empty text; without any container the body's
-text that isn't boilerplate is taken; unclosed and misnested tags are closed as they must be.
+nothing in either pass. Time and memory grow with a page's length only, whatever its depth and
+however many of its tags are not closed: paths are hashes of the path above and one step more, and
+open elements are found by their tag. A tag ends at the first ">" outside quotes; where none
+follows, quotes don't count from there on, and without any ">" there is no more markup.
+
+A null or empty page has an empty text; without any container the body's
+text that isn't boilerplate is taken; unclosed and misnested tags are closed as they must be. Rows
+with one page_id are read each on its own; a null url is a host of its own.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kaptura.llm.common import stored
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_END_OR_QUOTE = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
@@ -54,6 +63,11 @@ STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 HEADING = re.compile(r"h[1-6]\Z")
 
 
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
 def marked(attributes: str) -> tuple[str, bool]:
     """The classes in general form, and whether a word of them, the id or the role is a mark."""
     classes, odd = "", False
@@ -73,104 +87,161 @@ def top(worth: dict[int, float]) -> int:
     return max(worth, key=lambda e: (worth[e], -e))
 
 
+class Stack:
+    """Open elements, and where the last of each tag and the last block stand."""
+
+    def __init__(self):
+        self.open: list[tuple[int, str, bool]] = [(-1, "", False)]  # element, tag, boilerplate
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = [0]
+
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
+    def push(self, element: int, tag: str, junk: bool) -> None:
+        self.places[tag].append(len(self.open))
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
+        self.open.append((element, tag, junk))
+
+    def close(self, to: int) -> None:
+        while to and len(self.open) > to:
+            _, tag, _ = self.open.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+
 class Page:
     """Blocks of text of a page, each with the elements that hold it."""
 
     def __init__(self, html: str):
-        self.paths: list[str] = []  # generalised path of each element
+        self.paths: list[int] = []  # hash of each element's generalised path
         self.parents: list[int] = []
         self.tags: list[str] = []
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._read(html)
 
+    @staticmethod
+    def _tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+        """start, end, closing, tag, attributes of each tag; comments and the like have no tag.
+
+        Whoever reads may send a place further on to go on from.
+        """
+        at, quotes, last = 0, True, html.rfind(">")
+        while (start := html.find("<", at)) >= 0:
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                at = end + 3 if end >= 0 else len(html)
+                yield start, at, False, "", ""
+                continue
+            if html[start + 1 : start + 2] in ("!", "?"):
+                end = html.find(">", start)
+                at = end + 1 if end >= 0 else len(html)
+                yield start, at, False, "", ""
+                continue
+            name = _NAME.match(html, start + 1) if start < last else None
+            if not name:
+                at = start + 1
+                continue
+            end = -1
+            if quotes:
+                place = name.end()
+                while m := _END_OR_QUOTE.search(html, place):
+                    if m.group() == ">":
+                        end = m.start()
+                        break
+                    closed = html.find(m.group(), m.end())
+                    if closed < 0:
+                        break
+                    place = closed + 1
+                quotes = end >= 0
+            if end < 0:
+                end = html.find(">", name.end())
+            if end < 0:
+                at = start + 1
+                continue
+            at = (yield start, end + 1, bool(name.group(1)), name.group(2).lower(), html[name.end() : end]) or end + 1
+
     def _read(self, html: str) -> None:
-        stack = [(-1, "", False)]  # element, tag, boilerplate
+        stack = Stack()
         block: list[str] = []
-        links = depth = at = 0
+        links = at = 0
 
         def end_block():
             nonlocal links
             if block:
                 text = " ".join("".join(block).split())
                 if text:
-                    holder = next((e for e, t, _ in reversed(stack) if t not in INLINE), -1)
-                    self.blocks.append((holder, text, min(links, len(text))))
+                    self.blocks.append((stack.open[stack.blocks[-1]][0], text, min(links, len(text))))
                 block.clear()
             links = 0
 
-        def close(to: int):
-            nonlocal depth
-            while len(stack) > to:
-                _, tag, _ = stack.pop()
-                depth -= tag == "a"
-
         def words(text: str):
             nonlocal links
-            if text and not stack[-1][2]:
+            if text and not stack.open[-1][2]:
                 text = unescape(text)
                 block.append(text)
-                if depth > 0:
+                if stack.places["a"]:
                     links += len(text)
 
-        while True:
-            m = _MARKUP.search(html, at)
-            words(html[at : m.start() if m else len(html)])
-            if not m:
+        tags = self._tags(html)
+        found = next(tags, None)
+        while found:
+            start, end, closing, tag, attributes = found
+            words(html[at:start])
+            at = end
+            if tag in RAW and not closing:
+                close = _raw_end(tag).search(html, at)
+                at = close.end() if close else len(html)
+            elif tag:
+                self._tag(stack, tag, closing, attributes, end_block, block)
+            try:
+                found = tags.send(at) if tag else next(tags)
+            except StopIteration:
                 break
-            at = m.end()
-            closing, tag, attributes = m.group(1), m.group(2), m.group(3)
-            if tag is None:
-                continue
-            tag = tag.lower()
-            if closing:
-                if tag not in INLINE:
-                    end_block()
-                found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][1] == tag), 0)
-                # An inline end tag doesn't close blocks around it.
-                if found and not (tag in INLINE and any(t not in INLINE for _, t, _ in stack[found + 1 :])):
-                    close(found)
-                continue
-            if tag not in HEAD and any(t == "head" for _, t, _ in stack):
-                close(next(i for i, (_, t, _) in enumerate(stack) if t == "head"))
-            if tag in VOID:
-                if tag not in INLINE:
-                    if tag in ("br", "hr"):
-                        block.append(" ")
-                    if tag == "hr":
-                        end_block()
-                continue
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
-                continue
-            if tag not in INLINE:
-                end_block()
-                if tag in CLOSES_P:
-                    found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][1] == "p"), 0)
-                    if found:
-                        close(found)
-                if tag in SIBLINGS:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][1] in STOPS[tag]:
-                            break
-                        if stack[i][1] in SIBLINGS[tag]:
-                            close(i)
-                            break
-            parent = stack[-1][0]
-            classes, odd = marked(attributes) if attributes else ("", False)
-            inside_article = tag == "header" and any(t == "article" for _, t, _ in stack)
-            junk = stack[-1][2] or tag not in ARTICLE and (odd or tag in BOILERPLATE and not inside_article)
-            if tag in INLINE:
-                stack.append((parent, tag, junk))
-                depth += tag == "a"
-                continue
-            step = tag + ("." + classes if classes else "")
-            self.paths.append(f"{self.paths[parent]}/{step}" if parent >= 0 else step)
-            self.parents.append(parent)
-            self.tags.append(tag)
-            stack.append((len(self.paths) - 1, tag, junk))
+        words(html[at:])
         end_block()
 
+    def _tag(self, stack: Stack, tag: str, closing: bool, attributes: str, end_block: Callable[[], None], block: list[str]) -> None:
+        inline = tag in INLINE
+        if closing:
+            if not inline:
+                end_block()
+            found = stack.last(tag)
+            # An inline end tag doesn't close blocks around it.
+            if not inline or stack.blocks[-1] <= found:
+                stack.close(found)
+            return
+        if tag not in HEAD:
+            stack.close(stack.places["head"][0] if stack.places["head"] else 0)
+        if tag in VOID:
+            if tag in ("br", "hr"):
+                block.append(" ")
+            if tag == "hr":
+                end_block()
+            return
+        if not inline:
+            end_block()
+            if tag in CLOSES_P:
+                stack.close(stack.last("p"))
+            if tag in SIBLINGS:
+                other = stack.last(*SIBLINGS[tag])
+                if other > stack.last(*STOPS[tag]):
+                    stack.close(other)
+        parent, _, outer = stack.open[-1]
+        classes, odd = marked(attributes) if attributes else ("", False)
+        inside_article = tag == "header" and bool(stack.places["article"])
+        junk = outer or tag not in ARTICLE and (odd or tag in BOILERPLATE and not inside_article)
+        if inline:
+            stack.push(parent, tag, junk)
+            return
+        step = f"{self.paths[parent] if parent >= 0 else 0}/{tag}" + ("." + classes if classes else "")
+        self.paths.append(xxhash.xxh64_intdigest(step) >> 1)
+        self.parents.append(parent)
+        self.tags.append(tag)
+        stack.push(len(self.paths) - 1, tag, junk)
+
     def scores(self) -> dict[int, float]:
         """A block's worth goes to its element's parent, and half of it to the one above."""
         worth: dict[int, float] = defaultdict(float)
@@ -199,9 +270,9 @@ class Page:
             inside[e] = e in roots or inside[parent]
         return " ".join(text for e, text, _ in self.blocks if inside[e])
 
-    def text(self, path: str | None) -> str:
+    def text(self, path: int | None) -> str:
         """Text at ``path``, else of the best container, else of the whole page."""
-        roots = {e for e, p in enumerate(self.paths) if p == path} if path else set()
+        roots = {e for e, p in enumerate(self.paths) if p == path} if path is not None else set()
         if roots:
             found = self.below(roots)
             if found:
@@ -221,7 +292,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes: dict[tuple[str, str], float] = defaultdict(float)
+            votes: dict[tuple[str, int], float] = defaultdict(float)
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = Page(html) if html else None
                 worth = page.scores() if page else {}
@@ -229,9 +300,9 @@ def host_paths(pages: DataFrame) -> DataFrame:
                     best = top(worth)
                     votes[host, page.paths[best]] += worth[best]
             hosts, paths = zip(*votes, strict=True) if votes else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array([round(v * 2) for v in votes.values()], pa.int64())], names=["host", "path", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array([round(v * 2) for v in votes.values()], pa.int64())], names=["host", "path", "votes"])
 
-    votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, votes long")
+    votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path long, votes long")
     summed = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     return summed.groupBy("host").agg(F.min_by("path", F.struct((-F.col("votes")).alias("v"), "path")).alias("path"))
 

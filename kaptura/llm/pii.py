@@ -1,8 +1,8 @@
 """Personal data: patterns, and a linear-chain conditional random field over word shapes.
 
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers. The random field
-adds forms that they miss (phone numbers without a plus, addresses with a written-out "at"); it
-is trained by gradient ascent on the likelihood of a small labelled table made here by a rule,
+adds forms that they miss (phone numbers without a plus, addresses with a written-out "at") and a
+kind of its own, secrets (access keys, and passwords and tokens behind their name); it is trained by gradient ascent on the likelihood of a small labelled table made here by a rule,
 and decoded by Viterbi over batches of sequences in numpy. A span of the field stays if it is
 well formed for its kind and meets no span of the patterns.
 
@@ -26,7 +26,10 @@ from pyspark.sql import DataFrame
 
 #: In the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("outside", *KINDS)
+#: With the kind that only the field finds.
+ALL_KINDS = (*KINDS, "secret")
+LABELS = ("outside", *ALL_KINDS)
+SECRET = ALL_KINDS.index("secret")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -36,6 +39,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]")
 _TOKEN = re.compile(r"\S+")
+#: What a secret is called in settings and code.
+_NAMES_A_SECRET = re.compile(r"[\w.-]*(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)", re.I)
+_ASSIGNED = re.compile(r"([\w.-]+)\s*:?[=:]\s*[\"']?([^\s\"']{8,})[\"']?")
+_UPPER_MIXED = re.compile(r"(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z]{2})[A-Z0-9]{16,40}")
+_MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_.-]{12,}={0,2}")
 
 
 def luhn(digits: str) -> bool:
@@ -105,31 +113,43 @@ SHAPES = {
     "at": r"[\[(]xx[\])]",
     "at sign": r"@",
     "host": r"[x9-]+(?:\.[x9-]+)*\.x{2,}",
-    "word": r"\P",
 }
-_SHAPES = [(n, re.compile(p)) for n, p in SHAPES.items() if n != "word"]
-_NAMES = [n for n, _ in _SHAPES] + ["other", "word", "edge"]
+_SHAPES = [(n, re.compile(p)) for n, p in SHAPES.items()]
+#: Shapes that letters and cases matter for, and those of all else.
+_NAMES = [n for n, _ in _SHAPES] + ["secret name", "secret given", "equals", "upper mixed", "mixed", "other", "word", "edge"]
 _AT = {n: i for i, n in enumerate(_NAMES)}
 _TRIM = ".,;:!?\"'"
+_JUNK = _TRIM + "#*$%&|<>"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def shape_of(token: str) -> int:
     """The number of a token's shape."""
     core = token.strip(_TRIM)
+    if core in ("=", ":="):
+        return _AT["equals"]
+    if _NAMES_A_SECRET.fullmatch(core.rstrip("=:")):
+        return _AT["secret name"]
+    inner = core.strip(_JUNK)
+    if (m := _ASSIGNED.fullmatch(inner)) and _NAMES_A_SECRET.fullmatch(m.group(1)):
+        return _AT["secret given"]
     if not _MARK.search(core) and "." not in core:
         return _AT["word"]
     shape = _LETTER.sub("x", re.sub(r"[0-9]", "9", core))
     for name, pattern in _SHAPES:
         if pattern.fullmatch(shape):
             return _AT[name] if name != "host" or _MARK.search(core) else _AT["word"] if "." not in core else _AT["host"]
+    if _UPPER_MIXED.fullmatch(inner):
+        return _AT["upper mixed"]
+    if _MIXED.fullmatch(inner):
+        return _AT["mixed"]
     return _AT["other"] if _MARK.search(core) else _AT["word"]
 
 
 # ---------------------------------------------------------------------------- the labelled table
 
 
-def labelled_table(n: int = 600, seed: int = 9) -> list[tuple[list[str], list[int]]]:
+def labelled_table(n: int = 720, seed: int = 9) -> list[tuple[list[str], list[int]]]:
     """Lines of words with their labels, by a rule: words of no meaning around one item each."""
     rng = np.random.default_rng(seed)
 
@@ -140,6 +160,14 @@ def labelled_table(n: int = 600, seed: int = 9) -> list[tuple[list[str], list[in
     def d(k: int) -> str:
         return "".join(map(str, rng.integers(0, 10, k)))
 
+    def mixed(alphabet: str, k: int) -> str:
+        return "".join(rng.choice(list(alphabet), k)) + "a7" if alphabet.islower() else "".join(rng.choice(list(alphabet), k)) + "QZ3"
+
+    def name() -> str:
+        return str(rng.choice(["password", "passwd", "secret", "token", "api_key", "access_key", "db.password", "TOKEN"]))
+
+    small, large = "abcdef0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
     def host() -> str:
         return f"mail{d(1)}.{word().strip(',').lower()}.com"
 
@@ -171,6 +199,15 @@ def labelled_table(n: int = 600, seed: int = 9) -> list[tuple[list[str], list[in
         lambda: ([d(24)], 0),
         lambda: ([host()], 0),
         lambda: ([word() for _ in range(3)], 0),
+        lambda: ([f"{name()}={mixed(small, int(rng.integers(10, 40)))}"], SECRET + 1),
+        lambda: ([name(), "=", f'"{mixed(small, int(rng.integers(12, 40)))}"'], SECRET + 1),
+        lambda: ([name() + ":", mixed(small, int(rng.integers(12, 40)))], SECRET + 1),
+        lambda: ([mixed(large, int(rng.integers(14, 22)))], SECRET + 1),
+        lambda: ([word(), mixed(small, int(rng.integers(12, 40)))], 0),
+        lambda: (["commit", mixed(small, 38), word()], 0),
+        lambda: ([name(), word(), d(4)], 0),
+        lambda: ([word(), "=", d(int(rng.integers(1, 6)))], 0),
+        lambda: ([word(), "=", mixed(small, 14)], 0),
     ]
     table = []
     for i in range(n):
@@ -237,7 +274,36 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
 
 
-def train(table: list[tuple[list[str], list[int]]], rounds: int = 250, rate: float = 0.1, decay: tuple[float, float] = (1e-5, 3e-3)) -> Field:
+def likelihood(groups: list[tuple[np.ndarray, np.ndarray]], emit: np.ndarray, step: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood of groups of padded shapes and labels of one length each, and its gradient."""
+    k, value = len(LABELS), 0.0
+    d_emit, d_step = np.zeros_like(emit), np.zeros_like(step)
+    for shapes, y in groups:
+        scores = emit[0][shapes[:, :-2]] + emit[1][shapes[:, 1:-1]] + emit[2][shapes[:, 2:]]
+        n, length, _ = scores.shape
+        ahead, behind = np.zeros_like(scores), np.zeros_like(scores)
+        ahead[:, 0] = scores[:, 0] + step[0]
+        for t in range(1, length):
+            ahead[:, t] = _log_sum(ahead[:, t - 1, :, None] + step[None], 1) + scores[:, t]
+        behind[:, -1] = step[:, 0]
+        for t in range(length - 2, -1, -1):
+            behind[:, t] = _log_sum(step[None] + (scores[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
+        log_z = _log_sum(ahead[:, -1] + step[:, 0], 1)
+        walked = np.concatenate((np.zeros((n, 1), y.dtype), y, np.zeros((n, 1), y.dtype)), axis=1)
+        value += np.take_along_axis(scores, y[:, :, None], 2).sum() + step[walked[:, :-1], walked[:, 1:]].sum() - log_z.sum()
+        delta = np.eye(k)[y] - np.exp(ahead + behind - log_z[:, None, None])
+        for o in range(3):
+            np.add.at(d_emit[o], shapes[:, o : o + length], delta)
+        d_step[0] += delta[:, 0].sum(axis=0)
+        d_step[:, 0] += delta[:, -1].sum(axis=0)
+        for t in range(1, length):
+            pair = np.exp(ahead[:, t - 1, :, None] + step[None] + (scores[:, t] + behind[:, t])[:, None, :] - log_z[:, None, None])
+            np.add.at(d_step, (y[:, t - 1], y[:, t]), 1.0)
+            d_step -= pair.sum(axis=0)
+    return float(value), d_emit, d_step
+
+
+def train(table: list[tuple[list[str], list[int]]], rounds: int = 200, rate: float = 0.1, decay: tuple[float, float] = (1e-5, 3e-3)) -> Field:
     """Gradient ascent (with running moments of the gradient) on the mean log-likelihood, less
     squared weights: ``decay`` of scores and, more, of transitions."""
     k, edge = len(LABELS), _AT["edge"]
@@ -252,30 +318,8 @@ def train(table: list[tuple[list[str], list[int]]], rounds: int = 250, rate: flo
     groups = [(np.array(s), np.array(y)) for s, y in by_length.values()]
     total = sum(len(s) for s, _ in groups)
     for turn in range(1, rounds + 1):
-        emit, step = params
-        d_emit, d_step = np.zeros_like(emit), np.zeros_like(step)
-        for shapes, y in groups:
-            scores = emit[0][shapes[:, :-2]] + emit[1][shapes[:, 1:-1]] + emit[2][shapes[:, 2:]]
-            n, length, _ = scores.shape
-            ahead, behind = np.zeros_like(scores), np.zeros_like(scores)
-            ahead[:, 0] = scores[:, 0] + step[0]
-            for t in range(1, length):
-                ahead[:, t] = _log_sum(ahead[:, t - 1, :, None] + step[None], 1) + scores[:, t]
-            behind[:, -1] = step[:, 0]
-            for t in range(length - 2, -1, -1):
-                behind[:, t] = _log_sum(step[None] + (scores[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
-            log_z = _log_sum(ahead[:, -1] + step[:, 0], 1)
-            marginal = np.exp(ahead + behind - log_z[:, None, None])
-            delta = np.eye(k)[y] - marginal
-            for o in range(3):
-                np.add.at(d_emit[o], shapes[:, o : o + length], delta)
-            np.add.at(d_step, (0, slice(None)), delta[:, 0].sum(axis=0))
-            d_step[:, 0] += delta[:, -1].sum(axis=0)
-            for t in range(1, length):
-                pair = np.exp(ahead[:, t - 1, :, None] + step[None] + (scores[:, t] + behind[:, t])[:, None, :] - log_z[:, None, None])
-                np.add.at(d_step, (y[:, t - 1], y[:, t]), 1.0)
-                d_step -= pair.sum(axis=0)
-        for p, g, (m, v), less in zip(params, (d_emit, d_step), moments, decay, strict=True):
+        _, *slopes = likelihood(groups, *params)
+        for p, g, (m, v), less in zip(params, slopes, moments, decay, strict=True):
             g = g / total - less * p
             m *= 0.9
             m += 0.1 * g
@@ -295,6 +339,8 @@ def _well_formed(kind: int, text: str) -> bool:
     if kind == 1:
         parts = re.split(r"[.:]", text)
         return len(parts) >= 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts[:4])
+    if kind == SECRET:
+        return bool(_MIXED.fullmatch(text))
     if kind == 2:
         return 12 <= len(digits) <= 19 and luhn(digits) and not _LETTER.search(text)
     return 9 <= len(digits) <= 15 and not _LETTER.search(text) and bool(re.search(r"[()\-. ]", text.strip())) and not re.fullmatch(r"[0-9. ]+", text)
@@ -333,10 +379,13 @@ def field_spans(texts: list[str | None], field: Field) -> list[list[tuple[int, i
             if label:
                 text = texts[n]
                 start, end = tokens[at][0], tokens[at + size - 1][1]
-                while end > start and text[end - 1] in _TRIM:
+                trim = _JUNK if label - 1 == SECRET else _TRIM
+                while end > start and text[end - 1] in trim:
                     end -= 1
-                while start < end and text[start] in _TRIM:
+                while start < end and text[start] in trim:
                     start += 1
+                if label - 1 == SECRET and (m := _ASSIGNED.match(text, start, end)):
+                    start, end = m.span(2)  # the name stays
                 if _well_formed(label - 1, text[start:end]):
                     out[n].append((start, label - 1, end))
             at += size
@@ -354,27 +403,28 @@ def all_spans(texts: list[str | None], field: Field) -> list[tuple[list, list]]:
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    return ",".join(f"{ALL_KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
 def find_private(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """doc_id, counts of the patterns' spans by kind, base_sha256, spans (all of them)."""
+    """doc_id, counts of the patterns' spans by kind, base_sha256, spans (all of them), n_spans."""
     field = field or train(labelled_table())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, lists = [[] for _ in KINDS], [], []
+            counts, digests, lists, sizes = [[] for _ in KINDS], [], [], []
             for base, spans in all_spans(batch.column(1).to_pylist(), field):
                 for k, c in enumerate(counts):
                     c.append(sum(s[1] == k for s in base))
                 digests.append(hashlib.sha256(listed(base).encode()).hexdigest())
                 lists.append(listed(spans))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array(lists)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                sizes.append(len(spans))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(lists, pa.string()), pa.array(sizes, pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
     schema = docs.select("doc_id").schema
     for k in KINDS:
         schema = schema.add(f"n_{k}", "long")
-    return docs.select("doc_id", "text").mapInArrow(run, schema.add("base_sha256", "string").add("spans", "string"))
+    return docs.select("doc_id", "text").mapInArrow(run, schema.add("base_sha256", "string").add("spans", "string").add("n_spans", "long"))
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -382,7 +432,7 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     out, at = [], 0
     for a, k, b in spans:
         if a >= at:
-            out += [text[at:a], f"[{KINDS[k].upper()}]"]
+            out += [text[at:a], f"[{ALL_KINDS[k].upper()}]"]
         at = max(at, b)
     return "".join(out) + text[at:]
 

@@ -248,10 +248,10 @@ def numbered_rows(docs: DataFrame) -> DataFrame:
 def first_of_groups(numbered: DataFrame, groups: DataFrame) -> DataFrame:
     """One row of each group (row, component_id), with all its columns: that of the smallest doc_id
     (null first), of equal ones the first written."""
-    groups = stored(groups, "groups")
-    members = groups.filter("row <> component_id").select("component_id").distinct().join(groups, "component_id")
-    ranked = members.join(numbered.select("row", F.col("doc.doc_id").alias("id")), "row").groupBy("component_id").agg(F.min(F.struct("id", "row"))["row"].alias("row"))
-    gone = members.select("row").join(ranked.select("row"), "row", "left_anti")
+    known = stored(groups.join(numbered.select("row", F.col("doc.doc_id").alias("id")), "row"), "groups")
+    # The least of each group is taken partly in each task; nothing is joined by group.
+    kept = known.groupBy("component_id").agg(F.min(F.struct("id", "row"))["row"].alias("row"))
+    gone = known.select("row").join(kept.select("row"), "row", "left_anti")
     return numbered.join(gone, "row", "left_anti").select("doc.*")
 
 

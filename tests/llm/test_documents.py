@@ -1,7 +1,9 @@
 import hashlib
+import itertools
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -271,14 +273,14 @@ def test_pipeline_by_brute_force(spark, sf_dir, field):
 
     import corpus_pipeline
     from kaptura.llm import bpe
-    from tests.llm.test_dedup import plain_components, plain_fingerprint
+    from tests.llm.test_dedup import plain_groups
 
     rows = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
     items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]
     kept = {i: t for i, t in rows.items() if (q := plain_quality(t))[0] >= 20 and 100 * q[4] <= 30 * q[0]}
     ids = sorted(kept)
-    groups = plain_components(ids, {n: f for n, f in enumerate(plain_fingerprint(kept[i]) for i in ids)})
-    kept = {i: kept[i] for i in ids if groups[i] == i}
+    groups = plain_groups([kept[i] for i in ids])  # five words, Jaccard similarity 0.8 or more
+    kept = {i: kept[i] for n, i in enumerate(ids) if groups[n] == n}
     windows = {w for _, t in items for w in decontamination.item_windows(t)}
     sizes = {len(w) for w in windows}
 
@@ -321,3 +323,87 @@ def test_items_without_an_id_as_in_sql(spark):
     for chars in (1 << 20, 5):
         assert sorted(tuple(r) for r in decontamination.judge_documents(docs, benchmark, block_chars=chars).collect()) == want
     assert [r.doc_id for r in decontamination.drop_contaminated(docs, benchmark).collect()] == [3]
+
+
+# ------------------------------------------------------------------ the random field itself
+
+
+def test_viterbi_by_enumeration():
+    rng = np.random.default_rng(4)
+    k = len(pii.LABELS)
+    field = pii.Field(rng.normal(size=(3, len(pii._NAMES), k)), rng.normal(size=(k, k)))
+    shapes = rng.integers(0, len(pii._NAMES), (6, 6))
+    scores = field.scores(shapes)
+
+    def worth(row, labels):
+        path = [0, *labels, 0]
+        return sum(scores[row, t, y] for t, y in enumerate(labels)) + sum(field.step[a, b] for a, b in itertools.pairwise(path))
+
+    best = [max(itertools.product(range(k), repeat=4), key=lambda y: worth(r, y)) for r in range(6)]
+    assert field.decode(shapes.tolist()) == [list(y) for y in best]
+
+
+def test_gradient_by_differences():
+    rng = np.random.default_rng(5)
+    k, n = len(pii.LABELS), len(pii._NAMES)
+    emit, step = rng.normal(size=(3, n, k)), rng.normal(size=(k, k))
+    groups = [(rng.integers(0, n, (4, size + 2)), rng.integers(0, k, (4, size))) for size in (1, 2, 5)]
+    _, d_emit, d_step = pii.likelihood(groups, emit, step)
+    small = 1e-5
+    for params, slope in ((emit, d_emit), (step, d_step)):
+        for at in rng.integers(0, params.size, 40).tolist():
+            place = np.unravel_index(at, params.shape)
+            params[place] += small
+            more = pii.likelihood(groups, emit, step)[0]
+            params[place] -= 2 * small
+            less = pii.likelihood(groups, emit, step)[0]
+            params[place] += small
+            assert abs((more - less) / (2 * small) - slope[place]) < 1e-5
+
+
+def test_secrets_of_the_documents(spark):
+    """Held out: the documents' own secrets, which no line of the labelled table was made from."""
+    truth = re.compile(r"AKIA[0-9A-Z]{16}|(?:(?<=password=)|(?<=token = \"))[0-9a-f]{12,}", re.I)
+    texts = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    want = {(i, *m.span()) for i, t in enumerate(texts) for m in truth.finditer(t or "")}
+    got = {(i, a, b) for i, (_, spans) in enumerate(pii.all_spans(texts, pii.train(pii.labelled_table()))) for a, kind, b in spans if kind == pii.SECRET}
+    assert want and len(want & got) >= 0.9 * len(want) and len(want & got) >= 0.9 * len(got)
+
+
+# ------------------------------------------------------------------ odd pages
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<a " * 20_000, '<div class="row">' * 16_000 + "x", '<p title="' * 100_000, "<p>" + "<a title='" * 50_000 + '">' * 50_000, "<span>" * 100_000 + "</p>" * 50_000, "<li>" * 100_000, "<!--" * 250_000, "<" * 500_000 + ">"],
+    ids=["unclosed", "nested", "quotes", "mixed", "misnested", "siblings", "comments", "angles"],
+)
+def test_pages_are_read_in_linear_time(html):
+    began = time.process_time()
+    html_text.Page(html).text(None)
+    assert time.process_time() - began < 5
+
+
+def test_tags_that_do_not_end():
+    assert html_text.Page('<article><p>a</p><p title="x>b</p></article>').text(None) == "a b"  # quotes don't count
+    assert html_text.Page("<article><p>a</p><p>b < c <i").text(None) == "a b < c <i"
+    assert html_text.Page("a < b").text(None) == "a < b"
+
+
+def test_votes_by_brute_force(spark):
+    rng = random.Random(8)
+    pages = []
+    for i in range(120):
+        parts = [f'<div class="{rng.choice(["body1", "body2", "side"])}"><p>{" ".join(["word"] * rng.randrange(1, 30))} {i}</p></div>' for _ in range(3)]
+        pages.append((i, f"http://host{rng.randrange(4)}.example/{i}", f"<html><body>{''.join(parts)}</body></html>"))
+    votes = Counter()
+    for _, url, html in pages:
+        page = html_text.Page(html)
+        worth = page.scores()
+        best = html_text.top(worth)
+        votes[url.split("/")[2], page.paths[best]] += round(worth[best] * 2)
+    winning = {h: min((-v, p) for (host, p), v in votes.items() if host == h)[1] for h, _ in votes}
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(rows).collect()}
+    assert got == {i: html_text.Page(h).text(winning[u.split("/")[2]]) for i, u, h in pages}
+    assert got == {r.page_id: r.text for r in html_text.extract_text(rows, few_hosts=1).collect()}
