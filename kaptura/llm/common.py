@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Rows of two or three numbers that may be broadcast: some 100 MB in memory.
+FEW_ROWS = 1 << 22
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    base = spark.conf.get(CHECKPOINT_KEY, None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="kaptura-")
-        spark.conf.set(CHECKPOINT_KEY, base)
+    """The folder named by ``spark.checkpoint.dir``; one in the warehouse, which executors share
+    too, where that is unset."""
+    base = spark.conf.get(CHECKPOINT_KEY, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return base.rstrip("/")
 
 
@@ -30,6 +29,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_rows(df: DataFrame, most: int = FEW_ROWS) -> bool:
+    """Whether a written table of a few numbers a row is small enough to be broadcast."""
+    return df.limit(most + 1).count() <= most
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove all tables written here; results that still read them must have been written first."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/kaptura")

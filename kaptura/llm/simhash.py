@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kaptura.llm.common import shuffle_partitions, stored
+from kaptura.llm.common import few_rows, shuffle_partitions, stored
 from kaptura.llm.components import components
 
 SHINGLE, MOST_BITS, SEED = 3, 2, 42
@@ -248,11 +248,12 @@ def numbered_rows(docs: DataFrame) -> DataFrame:
 def first_of_groups(numbered: DataFrame, groups: DataFrame) -> DataFrame:
     """One row of each group (row, component_id), with all its columns: that of the smallest doc_id
     (null first), of equal ones the first written."""
-    known = stored(groups.join(numbered.select("row", F.col("doc.doc_id").alias("id")), "row"), "groups")
+    known = stored(groups.join(numbered.select("row", F.col("doc.doc_id").alias("id")).hint("merge"), "row"), "groups")
     # The least of each group is taken partly in each task; nothing is joined by group.
     kept = known.groupBy("component_id").agg(F.min(F.struct("id", "row"))["row"].alias("row"))
-    gone = known.select("row").join(kept.select("row"), "row", "left_anti")
-    return numbered.join(gone, "row", "left_anti").select("doc.*")
+    gone = stored(known.select("row").join(kept.select("row").hint("merge"), "row", "left_anti"), "gone")
+    # Beyond what may be broadcast the documents move.
+    return numbered.join(F.broadcast(gone) if few_rows(gone) else gone, "row", "left_anti").select("doc.*")
 
 
 def drop_near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, width: int = SHINGLE) -> DataFrame:
