@@ -6,7 +6,9 @@ expression: a shunting-yard parser turns it into postfix order (``with`` binds t
 ``and``, then ``or``) and evaluates it to the licences it names and whether they are choices.
 
 Null and empty texts have no words, places or labels and score 0. A tag whose expression does
-not parse gives no label. Texts are scanned whole, in time in proportion to their length.
+not parse, or names no known licence ("license: see below"), gives no label and no terms. An
+expression of more than ``most_choices`` alternatives is kept as one set of all it names: its
+labels are the same. Texts are scanned whole, in time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -127,6 +129,11 @@ def evaluate(expression: str, most_choices: int = 256) -> Terms | None:
     return stack[0]
 
 
+def known(identifier: str) -> bool:
+    """Whether an identifier belongs to a family of licences."""
+    return family(identifier) in FAMILIES.values()
+
+
 def family(identifier: str) -> str:
     """The label of an identifier; one that fits no family is its own label."""
     name = identifier.split(" with ")[0]
@@ -182,9 +189,10 @@ class Scanner:
         if ":" in text:
             for expression in self.expressions(lower_ascii(text)):
                 terms = evaluate(expression)
-                if terms:
+                names = {x for choice in terms.choices for x in choice if known(x)} if terms else ()
+                if names:
                     out["terms"].append(terms)
-                    out["labels"].update(family(x) for choice in terms.choices for x in choice)
+                    out["labels"].update(map(family, names))
         return out
 
 

@@ -407,3 +407,11 @@ def test_votes_by_brute_force(spark):
     got = {r.page_id: r.text for r in html_text.extract_text(rows).collect()}
     assert got == {i: html_text.Page(h).text(winning[u.split("/")[2]]) for i, u, h in pages}
     assert got == {r.page_id: r.text for r in html_text.extract_text(rows, few_hosts=1).collect()}
+
+
+def test_tags_before_prose_are_no_licence():
+    scan = licenses.Scanner.load().scan
+    for text in ("License: see", "license: none", "licence: the file or the web", "License: mit or"):
+        assert not scan(text)["labels"] and not scan(text)["terms"], text
+    found = scan("x\n// SPDX-License-Identifier: (MIT or see) and GPL-2.0-only with Classpath-exception-2.0\n")
+    assert found["labels"] == {"mit", "gpl"} and licenses.score(found) == 1.0
