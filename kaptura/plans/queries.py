@@ -224,7 +224,13 @@ def quietest_window(spark, sf_dir):
     return rows.select("vec_id", (F.array_position("w", F.array_min("w")) - 1).cast("int").alias("quietest"), F.round(F.array_min("w"), 6).alias("energy"))
 
 
-@query()
+_CHUNKED = "(select o_orderkey, (o_totalprice % 2000)::double duration from orders)"
+
+
+@query(
+    f"""select o_orderkey, duration, i::int chunk, 300.0::double * i chunk_start, (case when i + 1 < n then 300.0::double * (i + 1) when n > 1 then round(duration, 2) else duration end)::double chunk_end
+from (select *, unnest(range(0, n)) i from (select *, greatest(1, ceil(duration / 300))::bigint n from {_CHUNKED}))"""
+)
 def audio_chunks(spark, sf_dir):
     media = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") % 2000).cast("double").alias("duration"))
     return acoustic.chunks(media)
@@ -436,13 +442,13 @@ def last_corrections(spark, sf_dir):
     return tasks.last_of_each(table(spark, sf_dir, "events"), ["user_id"], [F.desc("event_id")], 12).select("user_id", "event_id", F.col("place").cast("int").alias("place"))
 
 
-_PACKAGE = "(select (doc_id % 300)::varchar as name, doc_id::varchar path, n_chars size, 0 rank from documents where doc_id % 2 = 0 union all select (page_id % 400)::varchar, url, length(html), 1 from pages)"
+_PACKAGE = "(select (doc_id % 300)::varchar as name, doc_id::varchar path, n_chars size, 0 rank from documents union all select (page_id % 400)::varchar, url, length(html), 1 from pages)"
 
 
 @query(f"select name, path, size::bigint size from (select *, row_number() over (partition by name order by rank, path) n from {_PACKAGE} where size > 0) where n = 1")
 def package_files(spark, sf_dir):
     d, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
-    own = d.filter("doc_id % 2 = 0").select((F.col("doc_id") % 300).cast("string").alias("name"), F.col("doc_id").cast("string").alias("path"), F.col("n_chars").cast("long").alias("size"))
+    own = d.select((F.col("doc_id") % 300).cast("string").alias("name"), F.col("doc_id").cast("string").alias("path"), F.col("n_chars").cast("long").alias("size"))
     others = p.select((F.col("page_id") % 400).cast("string").alias("name"), F.col("url").alias("path"), F.char_length("html").cast("long").alias("size"))
     return tasks.packaged(own, others)
 

@@ -16,7 +16,7 @@ DEFAULTS = {"task_type": "transcribe", "status": "pending", "progress": 0.0, "cu
 def listed(paths: DataFrame, root: str = "") -> DataFrame:
     """path, name, stem, folder, suffix of usable paths, each once."""
     relative = F.regexp_replace("path", "^" + root.rstrip("/").replace(".", r"\.") + "/?", "") if root else F.col("path")
-    rows = paths.filter(~tasks.ignored(relative)).dropDuplicates(["path"])
+    rows = tasks.first_of_each(paths.filter(~tasks.ignored(relative)), ["path"], [c for c in paths.columns if c != "path"] or ["path"])
     name = F.element_at(F.split("path", "/"), -1)
     return rows.withColumn("name", name).withColumn("stem", F.regexp_replace(name, r"\.[^.]*$", "")).withColumn("folder", F.regexp_replace("path", "/[^/]*$", "")).withColumn("suffix", tasks.suffix(F.col("path")))
 

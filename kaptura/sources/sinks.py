@@ -74,17 +74,24 @@ def write_each(rows: DataFrame, name: str, value: str, folder: str, suffix: str)
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Overwrites a table that ``rows`` may be read from: written beside it, then swapped."""
+    """Overwrites a table that ``rows`` may be read from: written beside it, then swapped.
+
+    The old table is moved aside first and deleted last: a crash between leaves both whole.
+    """
     spark = rows.sparkSession
     own = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     rows.write.parquet(own)
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
     new, old = jvm.org.apache.hadoop.fs.Path(own), jvm.org.apache.hadoop.fs.Path(path)
     files = old.getFileSystem(hadoop)
-    if files.exists(old):
-        files.delete(old, True)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{own}.old")
+    moved = files.exists(old) and files.rename(old, aside)
     if not files.rename(new, old):
+        if moved:
+            files.rename(aside, old)
         raise OSError(f"{own} could not be moved to {path}")
+    if moved:
+        files.delete(aside, True)
 
 
 def package(files: DataFrame, archive: str) -> int:
