@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from kaptura.llm.common import LONGEST_KEPT
+
 #: Python splits at these, the vocabulary's pattern does not; texts that hold one are taken whole.
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 
@@ -119,7 +121,7 @@ class Bpe:
             if got is None:
                 ids = self.merge(piece.encode())
                 got = struct.pack(f"<{len(ids)}I", *ids)
-                if len(self.words) < self.cache_words:
+                if len(self.words) < self.cache_words and len(piece) <= LONGEST_KEPT:
                     self.words[piece] = got
             out.append(got)
         return b"".join(out)
@@ -136,8 +138,7 @@ class Bpe:
         known = self.chunks
         new = {c: self._chunk(c) for c in set(chunks) if c not in known}
         if len(known) < self.cache_words:
-            known.update(new)
-            return b"".join(map(known.__getitem__, chunks))
+            known.update((c, e) for c, e in new.items() if len(c) <= LONGEST_KEPT)
         return b"".join([known[c] if c in known else new[c] for c in chunks])
 
     def encode(self, text: str | None) -> bytes:

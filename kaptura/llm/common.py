@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Characters of a word that caches keep; longer ones are worked out each time, so that a cache of so
+#: many entries is bounded in bytes, whatever the language or encoding.
+LONGEST_KEPT = 64
 #: Rows of two or three numbers that may be broadcast: some 100 MB in memory.
 FEW_ROWS = 1 << 22
 

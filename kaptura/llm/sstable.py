@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kaptura.llm.bpe import Bpe, byte_symbols
-from kaptura.llm.common import open_fs, scratch_path, shuffle_partitions
+from kaptura.llm.common import LONGEST_KEPT, open_fs, scratch_path, shuffle_partitions
 
 MAGIC = b"KSST0001"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
@@ -244,8 +244,7 @@ class LibraryIds:
         known = self.kept
         new = {c: self._chunk(c) for c in set(chunks) if c not in known}
         if len(known) < self.cache_words:
-            known.update(new)
-            return b"".join(map(known.__getitem__, chunks))
+            known.update((c, e) for c, e in new.items() if len(c) <= LONGEST_KEPT)
         return b"".join([known[c] if c in known else new[c] for c in chunks])
 
 

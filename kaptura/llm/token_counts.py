@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kaptura.llm.common import stored
+from kaptura.llm.common import LONGEST_KEPT, stored
 
 #: The pre-tokenizer pattern of byte-level vocabularies (a fixed value of the file format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -136,7 +136,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, head: int =
         def chunk_sum(chunk: str) -> int | None:
             counts = [known.get(p) for p in _PIECES.findall(" " + chunk)]
             total = None if None in counts else sum(counts)
-            if len(sums) < cache:
+            if len(sums) < cache and len(chunk) <= LONGEST_KEPT:
                 sums[chunk] = total
             return total
 
