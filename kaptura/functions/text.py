@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from kaptura.functions import lexicon as lex
 
 CJK = r"[一-鿿]"
-#: White space as Python's strip() takes it.
-_SPACE = r"[\s\x1c-\x1f\x85   -     　]"
+#: White space as Python's strip() takes it, for the inside of a character class too.
+BLANKS = r"\s\x1c-\x1f\x85   -     　"
+_SPACE = f"[{BLANKS}]"
 
 
 def strip(text: Column) -> Column:
@@ -22,10 +23,6 @@ def has_cjk(text: Column) -> Column:
     return F.coalesce(text.rlike(CJK), F.lit(False))
 
 
-def has_latin(text: Column, digits: bool = True) -> Column:
-    return F.coalesce(text.rlike("[a-zA-Z0-9]" if digits else "[a-zA-Z]"), F.lit(False))
-
-
 def visual_length(text: Column) -> Column:
     """Two for each CJK character or wide mark, one for any other."""
     narrow = F.regexp_replace(text, rf"[一-鿿{lex.WIDE_PUNCTUATION}]", "")
@@ -76,38 +73,6 @@ def digits(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, spoken, "".join(lex.CN_DIGITS.values())), r"[^\p{Nd}]", "")
 
 
-def initial(syllable: Column) -> Column:
-    return F.regexp_extract(syllable, "^(zh|ch|sh|[bpmfdtnlgkhjqxzcsryw])", 1)
-
-
-def bad_start(word: Column) -> Column:
-    free = word.rlike(f"^得[{lex.MODAL_FOLLOWERS}]")
-    return F.coalesce(~free & word.isin(*lex.BOUND_PARTICLES, *lex.BOUND_CLASSIFIERS), F.lit(False))
-
-
-def open_end(word: Column) -> Column:
-    return F.coalesce(word.isin(*lex.OPEN_PREPOSITIONS, *lex.OPEN_COMPOUNDS), F.lit(False))
-
-
-def starts_connector(word: Column) -> Column:
-    return F.coalesce(word.rlike("^(?:" + "|".join(lex.CONNECTORS) + ")"), F.lit(False))
-
-
-def ends_connector(word: Column) -> Column:
-    return F.coalesce(word.rlike("(?:" + "|".join(lex.CONNECTORS) + ")$"), F.lit(False))
-
-
-def transition_only(words: Column) -> Column:
-    """A line of discourse markers and connectors only, of at most twelve characters."""
-    line = F.btrim(F.array_join(words, ""), F.lit("，。？！,?!. "))
-    marker = F.forall(words, lambda w: w.isin(*lex.DISCOURSE_MARKERS) | ends_connector(w))
-    return F.coalesce((F.size(words) > 0) & (F.char_length(line) <= 12) & marker, F.lit(False))
-
-
-def tag_question(line: Column) -> Column:
-    return F.coalesce(F.btrim(line, F.lit("？?！!，,。.")).isin(*lex.TAG_QUESTIONS), F.lit(False))
-
-
 def srt_time(seconds: Column) -> Column:
     """HH:MM:SS,mmm with carries; negative times are zero."""
     ms = F.round(F.greatest(seconds.cast("double"), F.lit(0.0)) * 1000).cast("long")

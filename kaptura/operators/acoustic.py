@@ -109,6 +109,16 @@ def quiet_place(level: np.ndarray, first: float, last: float, rate: int) -> floa
     return first + (int(means.argmin()) * hop + width / 2) / rate
 
 
+def quiet_places(media: DataFrame, samples: str, rate: int) -> DataFrame:
+    """``quiet``: the quiet place of each row's samples."""
+
+    def find(wave: Sequence[float] | None) -> float | None:
+        level = np.abs(np.asarray(wave if wave is not None else [], np.float32))
+        return quiet_place(level, 0.0, len(level) / rate, rate)
+
+    return map_documents(media, [samples], "quiet", T.DoubleType(), find, [c for c in media.columns if c != samples]).drop("quiet_error")
+
+
 def _cut_times(total: float, level: np.ndarray | None, rate: int, longest: float) -> Iterator[float]:
     last = 0.0
     while (due := last + longest) < total:

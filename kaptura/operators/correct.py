@@ -167,24 +167,26 @@ class Corrected:
     fresh: DataFrame
 
 
-def correct_lines(lines: DataFrame, provider: Provider, cache: DataFrame | None = None, profiles: DataFrame | None = None, variant: str = "service", store=None, at_once: int | None = None, compat: bool = False) -> Corrected:
+def correct_lines(lines: DataFrame, provider: Provider, cache: DataFrame | None = None, profiles: DataFrame | None = None, variant: str = "service", store=None, at_once: int | None = None, compat: bool = False, tries: int = 2) -> Corrected:
     """Every line with ``corrected``, ``accepted``, ``reason`` and ``source``; the grown cache.
 
     Cached candidates are judged again. Lines without one go to the provider in batches; answers
     are written down by ``store`` (a function of a DataFrame, the identity if None) before they
     are used, so no provider is asked twice for one answer. A rejected candidate is cached as it
-    came, a line without answer isn't. ``at_once`` bounds how many tasks ask at the same time.
+    came, a line without answer isn't. ``at_once`` bounds how many tasks ask at the same time,
+    ``tries`` how often a batch is asked until the provider doesn't fail. A text with line breaks
+    is asked about as one line.
     """
     spark = lines.sparkSession
     store = store or (lambda df: df)
     cache = cache if cache is not None else spark.createDataFrame([], CACHE)
     known = profiles if profiles is not None else lines.select("doc_id").distinct().withColumn("profile", F.lit(None).cast(PROFILE))
     todo = batched(uncached(lines, cache))
-    prompt = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: F.concat(F.lit("["), x["id"].cast("string"), F.lit("] "), x["text"])), "\n")
+    prompt = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: F.concat(F.lit("["), x["id"].cast("string"), F.lit("] "), F.regexp_replace(x["text"], rf"[{tx.BLANKS}]*\n[{tx.BLANKS}]*", " "))), "\n")
     batches = todo.groupBy("doc_id", "batch").agg(prompt.alias("user")).join(known, "doc_id", "left").withColumn("system", system_prompt(F.col("profile")))
     if at_once:
-        batches = batches.coalesce(at_once)
-    answers = store(ask_batches(batches, provider).select("doc_id", "batch", "answer"))
+        batches = batches.repartition(at_once)
+    answers = store(ask_batches(batches, provider, tries).select("doc_id", "batch", "answer"))
     numbered = todo.select("doc_id", "id", "text")
     fresh = answered_lines(answers, numbered)
     new = fresh.join(numbered, ["doc_id", "id"]).select("doc_id", "id", "text", "candidate")
@@ -192,13 +194,16 @@ def correct_lines(lines: DataFrame, provider: Provider, cache: DataFrame | None
     had = with_cached(lines, cache).withColumnRenamed("candidate", "_cached")
     both = had.join(fresh.withColumnRenamed("candidate", "_fresh"), ["doc_id", "id"], "left").join(known, "doc_id", "left")
     both = both.withColumn("candidate", F.coalesce("_cached", "_fresh")).withColumn("source", F.when(F.col("_cached").isNotNull(), "cache").when(F.col("_fresh").isNotNull(), "provider").otherwise("none"))
-    # The guard is Python, and a condition around it would not keep it from running: two branches.
-    judged = both.filter("candidate is not null").withColumn("_g", verified(F.col("text"), F.col("candidate"), F.col("profile"), variant, compat=compat))
-    plain = both.filter("candidate is null")
-    keep = [c for c in lines.columns]
-    done = judged.select(*keep, F.when(F.col("_g.accepted"), F.col("candidate")).otherwise(F.col("text")).alias("corrected"), F.col("_g.accepted").alias("accepted"), F.col("_g.reason").alias("reason"), "source")
-    left = plain.select(*keep, F.col("text").alias("corrected"), F.lit(False).alias("accepted"), F.lit("no_answer").alias("reason"), "source")
-    return Corrected(done.unionByName(left), grown, new)
+    judged = both.withColumn("_g", verified(F.col("text"), F.col("candidate"), F.col("profile"), variant, compat=compat))
+    none, accepted = F.col("candidate").isNull(), F.col("_g.accepted")
+    done = judged.select(
+        *lines.columns,
+        F.when(~none & accepted, F.col("candidate")).otherwise(F.col("text")).alias("corrected"),
+        (~none & accepted).alias("accepted"),
+        F.when(none, "no_answer").otherwise(F.col("_g.reason")).alias("reason"),
+        "source",
+    )
+    return Corrected(done, grown, new)
 
 
 def correction_summary(corrected: DataFrame) -> DataFrame:

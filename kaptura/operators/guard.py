@@ -19,8 +19,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kaptura.functions import lexicon as lex
+from kaptura.functions import text as tx
 from kaptura.functions.spoken import fuzzy_syllables, similarity
-from kaptura.functions.text import content
 
 Syllables = Callable[[str], Sequence[str]]
 RESULT = "struct<accepted:boolean,reason:string>"
@@ -193,42 +193,31 @@ def profile_of(row) -> Profile:
 
 
 def verified(original: Column, corrected: Column, profile: Column | None = None, variant: str = "service", syllables: Syllables | None = None, compat: bool = False) -> Column:
-    """struct<accepted, reason> of each pair, in Arrow batches."""
+    """struct<accepted, reason> of each pair; only pairs that ``native_reason`` leaves open travel
+    to Python, the others as nulls."""
     guard = Guard(variant, syllables)
+    known = native_reason(original, corrected, variant)
+    pair = [F.when(known.isNull(), F.coalesce(c, F.lit(""))) for c in (original, corrected)]
 
     def judged(old, new, profiles) -> pd.DataFrame:
-        rows = [guard.safely(a, b, p, compat) for a, b, p in zip(old, new, profiles, strict=True)]
-        return pd.DataFrame(rows, columns=["accepted", "reason"])
+        rows = [(None, None) if a is None else guard.safely(a, b, p, compat) for a, b, p in zip(old, new, profiles, strict=True)]
+        return pd.DataFrame(rows, columns=["accepted", "reason"], dtype="object")
 
-    if profile is None:
+    @F.pandas_udf(RESULT)
+    def run(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+        return judged(old, new, [Profile()] * len(old))
+
+    @F.pandas_udf(RESULT)
+    def run_with(old: pd.Series, new: pd.Series, profiles: pd.DataFrame) -> pd.DataFrame:
+        return judged(old, new, [profile_of(r) for r in profiles.to_dict("records")])
 
-        @F.pandas_udf(RESULT)
-        def run(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-            return judged(old, new, [Profile()] * len(old))
+    asked = run(*pair) if profile is None else run_with(*pair, profile)
+    return F.when(known.isNull(), asked).otherwise(F.struct((known != "empty_output").alias("accepted"), known.alias("reason")))
 
-        return run(original, corrected)
 
-    @F.pandas_udf(RESULT)
-    def run_with(old: pd.Series, new: pd.Series, known: pd.DataFrame) -> pd.DataFrame:
-        return judged(old, new, [profile_of(r) for r in known.to_dict("records")])
-
-    return run_with(original, corrected, profile)
-
-
-def cheap_reason(original: Column, corrected: Column, variant: str = "service") -> Column:
-    """The reason where a cheap layer decides, natively; null where blocks must be compared.
-
-    The ratio's two decimals are those of half-up rounding.
-    """
-    old, new = F.trim(F.coalesce(original, F.lit(""))), F.trim(F.coalesce(corrected, F.lit("")))
-    a, b = content(old, variant), content(new, variant)
-    n, m = F.char_length(a), F.char_length(b)
-    ratio = m / F.greatest(n, F.lit(1))
-    out = (ratio < F.when(n <= 5, 0.40).otherwise(0.55)) | (ratio > F.when(n <= 5, 2.0).otherwise(1.65))
-    return (
-        F.when(new == "", "empty_output")
-        .when(old == new, "identical")
-        .when((n > 0) & out, F.concat(F.lit("length_ratio_"), F.format_string("%.2f", ratio)))
-        .when((n == 0) & (m == 0), "accepted_punctuation_only")
-        .when(a == b, "accepted_formatting_only")
-    )
+def native_reason(original: Column, corrected: Column, variant: str = "service") -> Column:
+    """The reason where no blocks need to be compared, as native columns; null for other pairs."""
+    old, new = (tx.strip(F.coalesce(c, F.lit(""))) for c in (original, corrected))
+    a, b = tx.content(old, variant), tx.content(new, variant)
+    same = F.when(a == "", "accepted_punctuation_only").otherwise("accepted_formatting_only")
+    return F.when(new == "", "empty_output").when(old == new, "identical").when(a == b, same)

@@ -349,6 +349,27 @@ def timed(lines: Sequence[Sequence[Word]], style: Style = Style()) -> list[tuple
     return [(a, round(b, 3), t) for a, b, t in out]
 
 
+def timed_documents(docs: DataFrame, words: str = "words", output: str = "lines") -> DataFrame:
+    """Each word (text, start, end) shown as a line of its own."""
+
+    def apply(rows: Sequence[dict] | None) -> list[dict]:
+        found = timed([[Word(r["text"], r["start"], r["end"])] for r in rows or []])
+        return [{"id": i, "start_time": a, "end_time": b, "text": t} for i, (a, b, t) in enumerate(found, 1)]
+
+    return map_documents(docs, [words], output, T.ArrayType(LINE), apply)
+
+
+def word_flags(rows: DataFrame, word: str = "word", output: str = "f") -> DataFrame:
+    """What a word may do in a line, and its width in columns."""
+    kind = T.StructType([*(T.StructField(n, T.BooleanType()) for n in ("bound", "open", "leads", "trails", "modal")), T.StructField("columns", T.IntegerType())])
+
+    def apply(text: str) -> dict:
+        w = Word(text, 0.0, 0.0)
+        return {"bound": w.bound, "open": w.open, "leads": w.leads, "trails": w.trails, "modal": w.modal, "columns": width(text)}
+
+    return map_documents(rows, [word], output, kind, apply)
+
+
 def caption(tokens: Sequence[dict] | None, full_text: str | None, tokenizer: Callable[[str], list[str]] | None = None, style: Style = Style()) -> list[dict]:  # noqa: B008
     """From raw tokens and the punctuated text to numbered lines."""
     words = words_of(punctuate(repair(tokens), full_text), tokenizer)

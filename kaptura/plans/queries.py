@@ -58,9 +58,15 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TEXTS = f"(select doc_id, text from documents union all select * from {samples_sql()})"
 _WIDE = f"[一-鿿{lex.WIDE_PUNCTUATION}]"
+#: Blanks as Python knows them, for the inside of a character class.
+_BLANK = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _TRIM = "[\\s\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{3000}}]".replace("{{", "{").replace("}}", "}")
 
 
+def trimmed(sql: str) -> str:
+    return f"regexp_replace(regexp_replace({sql}, '^[{_BLANK}]+', ''), '[{_BLANK}]+$', '')"
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     return captions.captions(table(spark, sf_dir, "documents"))
 
@@ -131,10 +137,71 @@ def spoken_normalise(spark, sf_dir):
     return spread(texts(spark, sf_dir)).select("doc_id", spoken.normalised(F.col("text")).alias("normal"), spoken.letters_joined(F.col("text")).alias("joined"))
 
 
-@query(f"select doc_id, text in ({', '.join(repr(x) for x in lex.BOUND_PARTICLES + lex.BOUND_CLASSIFIERS)}) bound, text in ({', '.join(repr(x) for x in lex.OPEN_PREPOSITIONS + lex.OPEN_COMPOUNDS)}) open_end from {values([(i, w) for i, w in enumerate(('的', '得', '得去', '在', '现在', '关于', '个', '个人', 'x'))], 'doc_id, text')}")
+_PLAIN = trimmed("regexp_replace(text, '[*_`~]+', '', 'g')")
+_APART = f"\\b[A-Za-z](?:[{_BLANK}]+[A-Za-z]){{1,11}}\\b"
+_KNOWN, _WRITTEN = (str([f(x) for x in lex.ACRONYMS.items()]) for f in (lambda x: x[0], lambda x: x[1]))
+
+
+def _together() -> str:
+    """Known acronyms of three to eight letters, however they are written, one after another."""
+    sql = "t"
+    for letters, written in lex.ACRONYMS.items():
+        if 3 <= len(letters) <= 8:
+            sql = f"regexp_replace({sql}, '(?i)\\b{letters}\\b', '{written}', 'g')"
+    return sql
+
+
+@query(
+    f"""select doc_id, regexp_replace({_together()}, '[ \t]{{2,}}', ' ', 'g') normal
+from (select doc_id, array_to_string(list_transform(list_zip(string_split_regex(p, '{_APART}'), regexp_extract_all(p, '{_APART}')), lambda x: x[1] || coalesce({_WRITTEN}[list_position({_KNOWN}, upper(regexp_replace(x[2], '[{_BLANK}]+', '', 'g')))], x[2], '')), '') t
+from (select doc_id, {_PLAIN} p from documents))"""
+)
+def acronyms_written(spark, sf_dir):
+    """The normaliser over all documents. Without CJK it takes marks off, writes known acronyms
+    and closes gaps."""
+    rows = spread_table(spark, sf_dir, "documents", "doc_id", "text")
+    return rows.select("doc_id", spoken.normalised(F.col("text")).alias("normal"))
+
+
+#: Words that the tables don't hold.
+WORDS = ["的", "得", "得去", "在", "现在", "关于", "个", "个人", "然后我", "我然后", "好吧", "好"]
+
+
+def _among(*lists: tuple[str, ...]) -> str:
+    return "(" + ", ".join(repr(x) for part in lists for x in part) + ")"
+
+
+_CONNECTED = "(" + "|".join(lex.CONNECTORS) + ")"
+_WORDS = f"(select distinct unnest(regexp_split_to_array(text, '[{_BLANK}]+')) word from documents union select unnest({WORDS}))"
+
+
+@query(
+    f"""select word, word in {_among(lex.BOUND_PARTICLES, lex.BOUND_CLASSIFIERS)} bound, word in {_among(lex.OPEN_PREPOSITIONS, lex.OPEN_COMPOUNDS)} as open, regexp_matches(word, '^{_CONNECTED}') leads, regexp_matches(word, '{_CONNECTED}$') trails,
+regexp_matches(word, '[{lex.MODAL_ENDINGS}]$') modal, (2 * length(word) - length(regexp_replace(word, '{_WIDE}', '', 'g')))::int columns from {_WORDS} where word <> ''"""
+)
 def word_predicates(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(("的", "得", "得去", "在", "现在", "关于", "个", "个人", "x"))), "doc_id int, text string")
-    return rows.select("doc_id", tx.bad_start(F.col("text")).alias("bound"), tx.open_end(F.col("text")).alias("open_end"))
+    """What the segmenter asks of words, over every word of the documents."""
+    own = table(spark, sf_dir, "documents").select(F.explode(F.split("text", f"[{tx.BLANKS}]+")).alias("word"))
+    words = own.unionByName(spark.createDataFrame([(w,) for w in WORDS], "word string")).filter("word <> ''").distinct()
+    return lines.word_flags(words, "word").select("word", "f.*")
+
+
+@query(f"select doc_id, regexp_matches(text, '[一-鿿]') cjk, regexp_replace(regexp_replace(regexp_replace(text, '([一-鿿])([a-zA-Z0-9])', '\\1 \\2', 'g'), '([a-zA-Z0-9])([一-鿿])', '\\1 \\2', 'g'), '[ \t]{{2,}}', ' ', 'g').regexp_replace('^[{_BLANK}]+', '').regexp_replace('[{_BLANK}]+$', '') wide from {TEXTS}")
+def wide_spacing(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", tx.has_cjk(F.col("text")).alias("cjk"), tx.spaced_wide(F.col("text")).alias("wide"))
+
+
+@query(f"select doc_id, {trimmed("regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([一-龥])([a-zA-Z0-9])', '\\1 \\2', 'g'), '([a-zA-Z0-9])([一-龥])', '\\1 \\2', 'g'), ' +', ' ', 'g'), '[*_~`]+', '', 'g')")} line from {TEXTS}")
+def unmarked_spacing(spark, sf_dir):
+    """A corrected SRT line as the command line writes it."""
+    return texts(spark, sf_dir).select("doc_id", tx.strip(tx.spaced_unmarked(F.col("text"))).alias("line"))
+
+
+@query(f"select doc_id, {trimmed('text')} answer from documents")
+def answer_unwrapped(spark, sf_dir):
+    """Every document wrapped as a model would, and unwrapped."""
+    raw = F.concat(F.lit("<think>\n"), F.substring("text", 1, 20), F.lit("</think>```json\n"), F.col("text"), F.lit("\n```\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.answer_text(raw).alias("answer"))
 
 
 # ---------------------------------------------------------------------------- tokens
@@ -144,10 +211,10 @@ def event_tokens(spark, sf_dir) -> DataFrame:
     """Events of a user as tokens in order: half-hour units of time as seconds."""
     e = table(spark, sf_dir, "events")
     start = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000 * 1800.0)
-    return e.select("user_id", "event_id", F.substring("event_type", 1, 1).alias("text"), start.alias("start"), (start + F.round(F.col("value") % 7, 2) / 10).alias("end"))
+    return e.select("user_id", "event_id", F.col("event_type").alias("text"), start.alias("start"), (start + F.round(F.col("value") % 7, 2) / 10).alias("end"))
 
 
-TOKENS = "(select user_id, event_id, substring(event_type, 1, 1) text, epoch_us(ts) / (1000000 * 1800.0::double) start, epoch_us(ts) / (1000000 * 1800.0::double) + round(value % 7, 2) / 10 stop from events)"
+TOKENS = "(select user_id, event_id, event_type text, epoch_us(ts) / (1000000 * 1800.0::double) start, epoch_us(ts) / (1000000 * 1800.0::double) + round(value % 7, 2) / 10 stop from events)"
 
 
 @query(f"select user_id, event_id, round(lead(start) over (partition by user_id order by start, event_id) - stop, 6) pause from {TOKENS}")
@@ -187,28 +254,53 @@ def token_end_fix(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", acoustic.ordered_end(F.col("value"), 300.0 - F.col("value")).alias("stop"))
 
 
+_SHOWN = trimmed("regexp_replace(text, ' +', ' ', 'g')")
+_SHOWN = f"regexp_replace(regexp_replace(regexp_replace({_SHOWN}, '[，,、；：;:—-]+$', ''), '(^|[^0-9.])[.]+$', '\\1'), '。+$', '')"
+
+
 @query(
-    """with l as (select conv_id, turn, turn * 3.0::double s, turn * 3.0::double + length(text) / 40.0 e, length(text) v from conversations),
+    f"""with l as (select conv_id, turn, turn * 3.0::double s, turn * 3.0::double + length(text) / 40.0 e, 2 * length(t) - length(regexp_replace(t, '{_WIDE}', '', 'g')) v, t from (select *, {_SHOWN} t from conversations where {trimmed('text')} <> '') where t <> ''),
 n as (select *, lead(s) over (partition by conv_id order by turn) nx from l)
-select conv_id, turn, s start_time, round(case when coalesce(nx, s + 3600) > s + 0.1 then least(i, coalesce(nx, s + 3600) - 0.05) else i end, 3) end_time
-from (select *, least(greatest(e + 0.25, s + greatest(1.0, v / 12.0)), s + 4.8) i from n)"""
+select conv_id, (row_number() over (partition by conv_id order by turn))::int id, t as text, s start_time, round(case when coalesce(nx, s + 3600) > s + 0.1 then least(i, coalesce(nx, s + 3600) - 0.05) else i end, 3) end_time
+from (select *, least(greatest(case when e > s then e else s + 0.1 end + 0.25, s + greatest(1.0, v / 12.0)), s + 4.8) i from n)"""
 )
 def caption_timing(spark, sf_dir):
-    s, v = F.col("turn") * 3.0, F.char_length("text")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", s.alias("s"), (s + v / 40.0).alias("e"), v.alias("v"))
-    nx = F.coalesce(F.lead("s").over(Window.partitionBy("conv_id").orderBy("turn")), F.col("s") + 3600.0)
-    ideal = F.least(F.greatest(F.col("e") + 0.25, F.col("s") + F.greatest(F.lit(1.0), F.col("v") / 12.0)), F.col("s") + 4.8)
-    return rows.select("conv_id", "turn", F.col("s").alias("start_time"), F.round(F.when(nx > F.col("s") + 0.1, F.least(ideal, nx - 0.05)).otherwise(ideal), 3).alias("end_time"))
-
-
-@query()
+    """Each turn shown as one line, three seconds apart."""
+    s = F.col("turn") * 3.0
+    rows = table(spark, sf_dir, "conversations").filter(tx.strip(F.col("text")) != "")
+    word = F.struct("turn", tx.strip(F.col("text")).alias("text"), s.alias("start"), (s + F.char_length("text") / 40.0).alias("end"))
+    return captions.caption_rows(lines.timed_documents(rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(word)).alias("words")), "words"), "conv_id")
+
+
+_REPAIRED = f"""with recursive docs as (select user_id doc_id, list(text order by event_id) x, list(start order by event_id) s, list(stop order by event_id) e from {TOKENS} group by user_id),
+shorter as (select doc_id, x, s, e, 1::bigint i from docs union all
+select doc_id, x, case when long and at_end then list_transform(s, lambda v, k: case when k = i then e[i] - 0.5::double else v end) else s end, case when long and not at_end then list_transform(e, lambda v, k: case when k = i then s[i] + 0.5::double else v end) else e end, i + 1
+from (select *, e[i] - s[i] > 1.2::double long, (case when i > 1 then s[i] - e[i - 1] else 999 end) >= 0.2::double and (case when i < len(s) then s[i + 1] - e[i] else 999 end) < 0.2::double at_end from shorter where i <= len(s))),
+ahead as (select doc_id, x, s, e, []::bigint[] jumps, 2::bigint i from shorter where i > len(s) union all
+select doc_id, x,
+case when back >= 0.4::double then list_transform(s, lambda v, k: case when k > stop and k < i then least(v, least(e[k], s[i] - 0.05::double) - 0.05::double) else v end) when back > 0 then list_transform(s, lambda v, k: case when k = i then s[i - 1] else v end) else s end,
+case when back >= 0.4::double then list_transform(e, lambda v, k: case when k > stop and k < i then least(v, s[i] - 0.05::double) else v end) when back > 0 and e[i] < s[i - 1] then list_transform(e, lambda v, k: case when k = i then s[i - 1] + 0.05::double else v end) else e end,
+case when back >= 0.4::double then list_append(jumps, i) else jumps end, i + 1
+from (select *, s[i - 1] - s[i] back, coalesce(list_max(list_filter(range(1, i), lambda k: greatest(s[k], e[k]) <= s[i] - 0.05::double)), 0) stop from ahead where i <= len(s)))
+select doc_id, (k - 1)::int pos, x[k] text, s[k] start, case when e[k] >= s[k] then e[k] else s[k] + 0.05::double end as end, list_contains(jumps, k) jump, '' punctuation, false sentence_end, false clause_end from (select *, unnest(range(1, len(s) + 1)) k from ahead where i > len(s))"""
+
+
+@query(_REPAIRED)
 def token_repair(spark, sf_dir):
+    """Events in order of number, so that times jump back and forth."""
     tokens = event_tokens(spark, sf_dir).groupBy(F.col("user_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("event_id", "text", "start", "end"))).alias("t"))
     docs = tokens.select("doc_id", F.transform("t", lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"))).alias("tokens"))
     return transcripts.exploded(acoustic.repaired(docs))
 
 
-@query()
+_SPOKEN = f"(select turn_id, w, row_number() over (partition by turn_id order by p) n from (select conv_id * 1000 + turn turn_id, unnest(list_filter(regexp_split_to_array({trimmed('text')}, '[{_BLANK}]+'), lambda x: x <> '')) w, generate_subscripts(list_filter(regexp_split_to_array({trimmed('text')}, '[{_BLANK}]+'), lambda x: x <> ''), 1) p from conversations))"
+
+
+@query(
+    f"""select turn_id doc_id, (row_number() over k - 1)::int pos, t as text, case when last then '' else marks end punctuation, last or regexp_matches(marks, '[?.!]') sentence_end, not last and regexp_matches(marks, '[,:;]') clause_end
+from (select *, lead(n) over (partition by turn_id order by n) is null last from (select turn_id, n, regexp_replace(w, '[,.;:!?]', '', 'g') t, regexp_extract(w, '[,.;:!?]*$') marks from {_SPOKEN}) where t <> '')
+window k as (partition by turn_id order by n)"""
+)
 def punctuation_alignment(spark, sf_dir):
     """Every turn's words without their marks, aligned to the turn itself."""
     turns = spread_table(spark, sf_dir, "conversations", "conv_id", "turn", "text").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
@@ -217,11 +309,13 @@ def punctuation_alignment(spark, sf_dir):
     return transcripts.exploded(align.punctuated(acoustic.repaired(docs))).select("doc_id", "pos", "text", "punctuation", "sentence_end", "clause_end")
 
 
-@query("select vec_id, (argmin - 1)::int quietest, round(e, 6) energy from (select vec_id, list_position(w, list_min(w)) argmin, list_min(w) e from (select vec_id, list_transform(range(1, len(embedding) - 6), lambda i: list_sum(list_transform(embedding[i:i + 7], lambda x: abs(x::double))) / 8) w from embeddings))")
+@query(
+    """select vec_id, ((list_position(w, list_min(w)) - 1) * 2 + 4) / 40.0::double quiet
+from (select vec_id, list_transform(range(1, len(embedding) - 8 - (len(embedding) - 8) % 2 + 1, 2), lambda i: list_sum(list_transform(embedding[i:i + 7], lambda x: abs(x::double))) / 8) w from embeddings)"""
+)
 def quietest_window(spark, sf_dir):
-    level = lambda i: F.aggregate(F.slice("embedding", i, 8), F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))) / 8
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(1), F.size("embedding") - 7), level).alias("w"))
-    return rows.select("vec_id", (F.array_position("w", F.array_min("w")) - 1).cast("int").alias("quietest"), F.round(F.array_min("w"), 6).alias("energy"))
+    """Each vector as sound of 40 samples a second: the middle of its quietest window."""
+    return acoustic.quiet_places(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 40)
 
 
 _CHUNKED = "(select o_orderkey, (o_totalprice % 2000)::double duration from orders)"
@@ -249,6 +343,33 @@ def classic_caption_lines(spark, sf_dir):
     return captions.classic_captions(table(spark, sf_dir, "documents"))
 
 
+_BODY = "regexp_replace(text, '[^A-Za-z0-9]+', '', 'g')"
+_KEPT = f"select doc_id, {_BODY} body, true in_order, true apart from documents where {_BODY} <> ''"
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """Letters and digits of all lines of a document, and whether numbers and times are in order."""
+    w = Window.partitionBy("doc_id").orderBy("id")
+    rows = rows.select("doc_id", "id", "start_time", "end_time", "text", F.lag("id", 1, 0).over(w).alias("_id"), F.lag("end_time").over(w).alias("_end"))
+    parts = F.array_sort(F.collect_list(F.struct("id", F.regexp_replace("text", "[^A-Za-z0-9]+", "").alias("t"))))
+    body = F.array_join(F.transform(parts, lambda p: p["t"]), "")
+    apart = (F.col("end_time") > F.col("start_time")) & F.coalesce(F.col("start_time") >= F.col("_end"), F.lit(True))
+    found = rows.groupBy("doc_id").agg(body.alias("body"), F.every(F.col("id") == F.col("_id") + 1).alias("in_order"), F.every(apart).alias("apart"))
+    return found.filter("body <> ''")
+
+
+@query(_KEPT)
+def caption_words_kept(spark, sf_dir):
+    """The segmenter loses, doubles and moves nothing: its lines hold each document's letters and
+    digits in order, lines count from 1, and no line begins before the one ahead of it ends."""
+    return _kept(caption_lines(spark, sf_dir))
+
+
+@query(f"select doc_id, {_BODY} body, true in_order from documents where {_BODY} <> ''")
+def classic_words_kept(spark, sf_dir):
+    return _kept(classic_caption_lines(spark, sf_dir)).drop("apart")
+
+
 @query()
 def srt_round_trip(spark, sf_dir):
     """Captions written as SRT and read back."""
@@ -256,6 +377,25 @@ def srt_round_trip(spark, sf_dir):
     return srt.entries(docs.select("doc_id", sinks.lines_srt(F.col("lines")).alias("value")), "doc_id")
 
 
+def _clock(seconds: str) -> str:
+    ms = f"round({seconds} * 1000)::bigint"
+    return f"printf('%02d:%02d:%02d,%03d', {ms} // 3600000, {ms} // 60000 % 60, {ms} // 1000 % 60, {ms} % 1000)"
+
+
+_SAID = trimmed(f"regexp_replace(text, '[{_BLANK}]+', ' ', 'g')")
+
+
+@query(
+    f"""select conv_id, (row_number() over (partition by conv_id order by turn) - 1)::int pos, turn::int id, {_clock('turn * 3.25')} || ' --> ' || {_clock('(turn * 3.25 + 2.5)')} time_line, turn * 3.25::double start, turn * 3.25::double + 2.5 as end, said text
+from (select *, {_SAID} said from conversations) where said <> ''"""
+)
+def srt_turns(spark, sf_dir):
+    """Every conversation written as SRT and read back."""
+    said = tx.strip(F.regexp_replace("text", f"[{tx.BLANKS}]+", " "))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), (F.col("turn") * 3.25).alias("start_time"), (F.col("turn") * 3.25 + 2.5).alias("end_time"), said.alias("text"))
+    return srt.entries(sinks.srt(rows.filter("text <> ''"), "conv_id").withColumnRenamed("srt", "value"), "conv_id")
+
+
 @query()
 def document_exports(spark, sf_dir):
     docs = lines.captioned(transcripts.from_lines(spread_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text"))
@@ -263,7 +403,10 @@ def document_exports(spark, sf_dir):
     return finished.select("doc_id", sinks.lines_text(F.col("lines")).alias("txt"), sinks.lines_json(F.lit("English"), F.col("full_text"), F.col("lines"), F.col("tokens")).alias("json"))
 
 
-@query()
+@query(
+    f"""select doc_id::varchar path, n n_segments, case when n = 1 then 0.8 / 3.0::double else (n - 1 + 0.8) / 3.0::double end duration, '' as domain, n n_tokens
+from (select doc_id, len(list_filter(regexp_split_to_array(text, '[{_BLANK}]+'), lambda w: w <> ''))::int n from documents) where n > 0"""
+)
 def transcript_peek(spark, sf_dir):
     """The documents as transcript JSON, peeked at and parsed again."""
     docs = transcripts.from_lines(spread_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
@@ -279,20 +422,55 @@ def pairs(spark) -> DataFrame:
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(PAIRS)], "pair_id int, original string, corrected string")
 
 
-_CLEAN = "[\\s,，.。、；;：:!！?？\"''“”‘’()（）\\[\\]【】《》<>—\\-…~～/\\\\_#@*&^%+=|`]+"
+def proposals(spark, sf_dir) -> DataFrame:
+    """All documents with a proposed correction each: the same, none, other marks, a fifth of it,
+    and one that takes a doubled first letter out."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 5).alias("kind"))
+    marked = F.concat(F.lit("“"), F.replace("text", F.lit(" "), F.lit("， ")), F.lit("”"))
+    part = F.substring("text", F.lit(1), F.floor(F.char_length("text") / 5).cast("int"))
+    new = F.when(F.col("kind") == 1, " ").when(F.col("kind") == 2, marked).when(F.col("kind") == 3, part).otherwise(F.col("text"))
+    return d.select("doc_id", F.when(F.col("kind") == 4, F.concat(F.substring("text", 1, 1), "text")).otherwise(F.col("text")).alias("original"), new.alias("corrected"), "kind")
 
 
-@query(
-    f"""select pair_id, case when b0 = '' then 'empty_output' when a0 = b0 then 'identical'
-when length(a) > 0 and (length(b) / greatest(length(a), 1) < case when length(a) <= 5 then 0.40 else 0.55 end or length(b) / greatest(length(a), 1) > case when length(a) <= 5 then 2.0 else 1.65 end) then 'length_ratio_' || printf('%.2f', length(b) / greatest(length(a), 1))
-when length(a) = 0 and length(b) = 0 then 'accepted_punctuation_only' when a = b then 'accepted_formatting_only' end reason
-from (select pair_id, trim(original) a0, trim(corrected) b0, regexp_replace(trim(original), '{_CLEAN}', '', 'g') a, regexp_replace(trim(corrected), '{_CLEAN}', '', 'g') b from {values([(i, a, b) for i, (a, b) in enumerate(PAIRS)], 'pair_id, original, corrected')})"""
-)
-def guard_cheap_layers(spark, sf_dir):
-    return pairs(spark).select("pair_id", guard.cheap_reason(F.col("original"), F.col("corrected")).alias("reason"))
+_PROPOSALS = "(select doc_id, case when doc_id % 5 = 4 then text[1] || text else text end original, case doc_id % 5 when 1 then ' ' when 2 then '“' || replace(text, ' ', '， ') || '”' when 3 then substring(text, 1, length(text) // 5) else text end corrected from documents)"
 
 
-@query()
+def _judged(variant: str) -> str:
+    """The layers that need no alignment; what gets beyond them here is a doubled first letter."""
+    marks = lex.GUARD_PUNCTUATION[variant].replace("'", "''") + _BLANK[2:]
+    bare = lambda c: f"regexp_replace({trimmed(c)}, '[{marks}]+', '', 'g')"
+    return f"""(select doc_id, case when b0 = '' then 'empty_output' when a0 = b0 then 'identical'
+when length(a) > 0 and (length(b) / length(a) < case when length(a) <= 5 then 0.40 else 0.55 end or length(b) / length(a) > case when length(a) <= 5 then 2.0 else 1.65 end) then 'length_ratio_' || printf('%.2f', length(b) / length(a))
+when a <> b then 'accepted_stutter_reduction' when a = '' then 'accepted_punctuation_only' else 'accepted_formatting_only' end reason
+from (select doc_id, {trimmed('original')} a0, {trimmed('corrected')} b0, {bare('original')} a, {bare('corrected')} b from {_PROPOSALS}))"""
+
+
+@query(f"select s.doc_id, s.reason = 'identical' or s.reason like 'accepted%' service_accepted, s.reason service_reason, case when doc_id % 5 <> 4 then c.reason end cli_reason from {_judged('service')} s join {_judged('cli')} c using (doc_id)")
+def guard_cheap_layers(spark, sf_dir):
+    """The guard of both variants; the command line's knows no doubled letter, only runs."""
+    rows = spread(proposals(spark, sf_dir)).withColumn("s", guard.verified(F.col("original"), F.col("corrected")))
+    rows = rows.withColumn("c", guard.verified(F.col("original"), F.col("corrected"), variant="cli"))
+    return rows.select("doc_id", F.col("s.accepted").alias("service_accepted"), F.col("s.reason").alias("service_reason"), F.when(F.col("kind") != 4, F.col("c.reason")).alias("cli_reason"))
+
+
+#: What the rules give for each of PAIRS: service accepted, reason; command line accepted, reason.
+VERDICTS = [
+    (False, "empty_output", False, "empty_output"),
+    (True, "identical", True, "identical"),
+    (True, "accepted_formatting_only", True, "accepted_formatting_only"),
+    (True, "accepted_stutter_reduction", True, "accepted_stutter_reduction"),
+    (False, "digit_mismatch_2->3", False, "digit_mismatch_2->3"),
+    (False, "length_ratio_0.09", False, "length_ratio_0.09"),
+    (False, "non_phonetic_change_好好->", True, "accepted_stutter_reduction"),
+    (False, "non_phonetic_change_红->洪", False, "non_phonetic_change_红->洪"),
+    (True, "accepted", True, "accepted"),
+    (False, "non_phonetic_change_->x", False, "non_phonetic_change_->x"),
+    (True, "accepted_punctuation_only", True, "accepted_punctuation_only"),
+    (False, "digit_mismatch_1->100", False, "digit_mismatch_1->100"),
+]
+
+
+@query("select * from " + values([(i, *v) for i, v in enumerate(VERDICTS)], "pair_id, service_accepted, service_reason, cli_accepted, cli_reason"))
 def guard_verdicts(spark, sf_dir):
     rows = pairs(spark)
     for variant in ("service", "cli"):
@@ -352,18 +530,66 @@ def merge_back_default(spark, sf_dir):
 ANSWERS = [(1, "[1] alpha\n2. beta\n3：gamma\nfoo\n[1] alpha2\n[9] none"), (2, "noise\n\n[2] **bold** text\n1: x"), (3, "")]
 
 
+_ANSWER = "^(?:\\[(\\d+)\\]|(\\d+)[.:：\\s])\\s*(.*)$"
+_ANSWERS = f"""(select * from {values(ANSWERS, 'doc_id, answer')} union all
+select conv_id + 1000, string_agg(case turn % 3 when 0 then '[' || turn || '] **' || text || '**' when 1 then turn || '. ' || text else ' ' || turn || '：' || text end, chr(10) order by turn) || chr(10) || '[1] ' || conv_id || chr(10) || 'no number' from (select * replace(turn + 1 as turn) from conversations) group by conv_id)"""
+
+
 @query(
-    f"""with a as (select doc_id, unnest(string_split(answer, chr(10))) raw, generate_subscripts(string_split(answer, chr(10)), 1) pos from {values(ANSWERS, 'doc_id, answer')}),
-m as (select doc_id, pos, coalesce(nullif(regexp_extract(trim(raw), '^(?:\\[(\\d+)\\]|(\\d+)[.:：\\s])\\s*(.*)$', 1), ''), nullif(regexp_extract(trim(raw), '^(?:\\[(\\d+)\\]|(\\d+)[.:：\\s])\\s*(.*)$', 2), '')) id, trim(regexp_replace(regexp_extract(trim(raw), '^(?:\\[(\\d+)\\]|(\\d+)[.:：\\s])\\s*(.*)$', 3), '[*_~`]+', '', 'g')) c from a)
-select doc_id, id::int id, max_by(c, pos) candidate from m where id in ('1', '2', '3') and c <> '' group by doc_id, id"""
+    f"""with a as (select doc_id, unnest(string_split(answer, chr(10))) raw, generate_subscripts(string_split(answer, chr(10)), 1) pos from {_ANSWERS}),
+m as (select doc_id, pos, coalesce(nullif(regexp_extract(trim(raw), '{_ANSWER}', 1), ''), nullif(regexp_extract(trim(raw), '{_ANSWER}', 2), '')) id, trim(regexp_replace(regexp_extract(trim(raw), '{_ANSWER}', 3), '[*_~`]+', '', 'g')) c from a)
+select doc_id, id::int id, trim(regexp_replace(max_by(c, pos), ' +', ' ', 'g')) candidate from m where id in ('1', '2', '3', '4', '5') and c <> '' group by doc_id, id"""
 )
 def answer_lines(spark, sf_dir):
-    answers = spark.createDataFrame(ANSWERS, "doc_id int, answer string")
-    known = answers.select("doc_id", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("id"), F.lit("").alias("text"))
+    """Answers in all forms to every conversation and the samples; the first line is answered twice."""
+    n, t = (F.col("turn") + 1).cast("string"), F.col("text")
+    line = F.when((F.col("turn") + 1) % 3 == 0, F.concat(F.lit("["), n, F.lit("] **"), t, F.lit("**"))).when((F.col("turn") + 1) % 3 == 1, F.concat(n, F.lit(". "), t)).otherwise(F.concat(F.lit(" "), n, F.lit("："), t))
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("line")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("l"))
+    own = said.select((F.col("conv_id") + 1000).alias("doc_id"), F.concat(F.array_join(F.col("l.line"), "\n"), F.lit("\n[1] "), F.col("conv_id").cast("string"), F.lit("\nno number")).alias("answer"))
+    answers = spark.createDataFrame(ANSWERS, "doc_id long, answer string").unionByName(own)
+    known = answers.select("doc_id", F.explode(F.array(*[F.lit(i) for i in range(1, 6)])).alias("id"), F.lit("").alias("text"))
     return correct.answered_lines(answers, known, bounded=False)
 
 
-@query()
+_GIVEN = trimmed(f"regexp_replace(regexp_replace(regexp_replace(text, '[{_BLANK}]*\n[{_BLANK}]*', ' ', 'g'), '[*_~`]+', '', 'g'), ' +', ' ', 'g')")
+_BARE = "regexp_replace(text, '[" + lex.GUARD_PUNCTUATION["service"].replace("'", "''") + _BLANK[2:] + "]+', '', 'g')"
+_CORRECTED = f"""(select doc_id, id, coalesce(cached, given, text) corrected, cached is not null or given is not null accepted,
+case when cached is null and given is null then 'no_answer' when {trimmed('coalesce(cached, given)')} = {trimmed('text')} then 'identical' when {_BARE} = '' then 'accepted_punctuation_only' else 'accepted_formatting_only' end reason,
+case when cached is not null then 'cache' when given is not null then 'provider' else 'none' end source, text
+from (select t.doc_id, t.id, t.text, c.candidate cached, case when g <> '' and length(g) / greatest(length(t.text), 1) between 0.25 and 2.5 then g end given from (select *, {_GIVEN} g from {_TURNS}) t left join {_CACHE} c on t.doc_id = c.doc_id and t.text = c.text))"""
+
+
+@query(f"select doc_id, count(*) n_lines, count(*) filter (corrected <> text) corrections, count(*) filter (source = 'cache') cache_hits, round(count(*) filter (source = 'cache') / count(*), 4) hit_rate from {_CORRECTED} group by doc_id")
+def correction_summary(spark, sf_dir):
+    done = correct.correct_lines(turns(spark, sf_dir), correct.IdentityProvider(), turn_cache(spark, sf_dir))
+    return correct.correction_summary(done.lines)
+
+
+@query(f"select conv_id doc_id, turn::int + 1 id, candidate from (select *, case when text like '% %' then replace(text, ' ', '') || '!' end candidate from conversations)")
+def cache_fallback(spark, sf_dir):
+    """Lines found by a second form of their text, here without blanks."""
+    lines_ = turns(spark, sf_dir)
+    bare = F.replace("text", F.lit(" "))
+    cache = lines_.filter(F.col("text").contains(" ")).select("doc_id", bare.alias("text"), F.concat(bare, F.lit("!")).alias("candidate")).distinct()
+    return correct.with_cached(lines_, cache, bare).select("doc_id", "id", "candidate")
+
+
+@query(
+    """select doc_id, case when doc_id % 3 < 2 then source end as domain, case when doc_id % 3 < 2 then lang end topic, case when doc_id % 3 < 2 then [source, 'x' || doc_id] else []::varchar[] end jargon,
+'Correct each subtitle line. Answer with one line ''[id] text'' for each line given, nothing else.' || chr(10) || 'Domain: ' || case when doc_id % 3 < 2 then source else '' end || chr(10) || 'Topic: ' || case when doc_id % 3 < 2 then lang else '' end || chr(10) || 'Terms: ' || case when doc_id % 3 < 2 then source || ', x' || doc_id else '' end || chr(10) || 'Often confused:' || chr(10) || case when doc_id % 3 = 0 then '  - ' || source || ' -> ' || lang else '' end prompt from documents"""
+)
+def profile_prompts(spark, sf_dir):
+    """A profile for every document from an answer that is JSON, broken, or none, and its prompt."""
+    pair = lambda k, c: F.concat(F.lit(f'"{k}": "'), c, F.lit('"'))
+    fields = F.concat_ws(", ", pair("domain", F.col("source")), pair("topic", F.col("lang")), F.concat(F.lit('"jargon_list": ["'), F.col("source"), F.lit('", "x'), F.col("doc_id").cast("string"), F.lit('"]')))
+    whole = F.concat(F.lit("<think>so</think>```json\n{"), fields, F.lit(', "confusion_rules": {"'), F.col("source"), F.lit('": "'), F.col("lang"), F.lit('"}}\n```'))
+    raw = F.when(F.col("doc_id") % 3 == 0, whole).when(F.col("doc_id") % 3 == 1, fields).otherwise("nothing")
+    p = F.col("p")
+    rows = table(spark, sf_dir, "documents").select("doc_id", correct.parsed_profile(raw).alias("p"))
+    return rows.select("doc_id", p["domain"].alias("domain"), p["topic"].alias("topic"), p["jargon_list"].alias("jargon"), correct.system_prompt(p).alias("prompt"))
+
+
+@query(f"select doc_id, id, corrected, accepted, reason, source from {_CORRECTED}")
 def correction_run(spark, sf_dir):
     """All turns corrected by a provider that gives them back, with a part in the cache."""
     done = correct.correct_lines(turns(spark, sf_dir), correct.IdentityProvider(), turn_cache(spark, sf_dir))
@@ -432,6 +658,50 @@ def task_status(spark, sf_dir):
     return tasks.final_status(task_files(spark, sf_dir))
 
 
+@query(f"select task_id, case when d and f then 'partial' when d then 'completed' when f then 'failed' else 'pending' end status from (select task_id, bool_or(status = 'completed') d, bool_or(status = 'failed') f from {_TASKS} group by task_id)")
+def task_status_strict(spark, sf_dir):
+    """Skipped files don't make a task complete."""
+    return tasks.final_status(task_files(spark, sf_dir), skipped_is_done=False)
+
+
+_ORDERED = "(select (o_custkey % 100)::varchar folder, o_orderkey::varchar stem, o_orderstatus status from orders)"
+
+
+def _ordered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Orders as files, those of one status as captions."""
+    files = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).cast("string").alias("folder"), F.col("o_orderkey").cast("string").alias("stem"), F.col("o_orderstatus").alias("status"))
+    return files, files.filter("status = 'F'")
+
+
+@query(f"select folder, stem from {_ORDERED} where status <> 'F'")
+def files_to_do(spark, sf_dir):
+    return tasks.without_output(*_ordered(spark, sf_dir)).select("folder", "stem")
+
+
+@query(f"select folder, stem, status = 'F' has_srt from {_ORDERED}")
+def output_flags(spark, sf_dir):
+    return tasks.with_output_flag(*_ordered(spark, sf_dir)).select("folder", "stem", "has_srt")
+
+
+_SUFFIXES = ("mp4", "MKV", "wav", "txt", "srt", "")
+
+
+@query(f"select event_id, event_id % 6 < 3 media from events")
+def media_files(spark, sf_dir):
+    name = F.concat_ws(".", F.col("user_id").cast("string"), F.element_at(F.array(*map(F.lit, _SUFFIXES)), (F.col("event_id") % 6 + 1).cast("int")))
+    return table(spark, sf_dir, "events").select("event_id", tasks.is_media(F.concat(F.lit("a.b/"), name)).alias("media"))
+
+
+@query(
+    """select l_orderkey, l_linenumber::int l_linenumber, round(l_quantity::double + o, 3) start, round(greatest(l_quantity::double + l_discount::double, l_quantity::double + 0.05) + o, 3) as end from (select *, 300.0::double * (l_orderkey % 4) o from lineitem)"""
+)
+def chunk_times(spark, sf_dir):
+    """Times within chunks as times of the whole: lines of an order are a chunk's tokens."""
+    tokens = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), F.col("l_quantity").cast("double").alias("start"), (F.col("l_quantity").cast("double") + F.col("l_discount").cast("double")).alias("end"))
+    at = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 4 * 300.0).alias("chunk_start"))
+    return acoustic.rebased(tokens, at, ["l_orderkey"])
+
+
 @query("select o_orderkey, o_orderdate::varchar created from orders order by o_orderdate desc, o_orderkey limit 30")
 def recent_tasks(spark, sf_dir):
     return tasks.recent(table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey").select("o_orderkey", F.col("o_orderdate").cast("string").alias("created"))

@@ -21,11 +21,6 @@ def test_native_text(spark):
     assert column(spark, lambda c: tx.srt_time(c.cast("double")), "59.9996", "-1", "3661.5") == ["00:01:00,000", "00:00:00,000", "01:01:01,500"]
     assert column(spark, tx.srt_seconds, "00:01:02,500", "00:01:02.5", "x") == [62.5, 62.005, None]
     assert column(spark, tx.digits, "八零2点幺") == ["8021"]
-    assert column(spark, tx.initial, "zhong", "pin", "an") == ["zh", "p", ""]
-    assert column(spark, tx.bad_start, "的", "得去", "得", "个", "人", None) == [True, False, True, True, False, False]
-    assert column(spark, tx.open_end, "在", "现在", "关于") == [True, False, True]
-    assert column(spark, lambda c: tx.transition_only(F.split(c, " ")), "好 那么", "然后", "好 人", "") == [True, True, False, False]
-    assert column(spark, tx.tag_question, "对吧？", "对") == [True, False]
     assert column(spark, tx.answer_text, "<think>a\nb</think>```json\n{}```") == ["{}"]
     assert column(spark, lambda c: tx.with_terms(c, [("社恐", "时隙"), ("时隙", "x"), ("", "y")]), "社恐") == ["x"]
     text = "".join(chr(97 + i % 26) for i in range(3000))
@@ -98,7 +93,7 @@ def test_guard_with_phonetics_profile_and_variants():
 
 def test_guard_columns(spark):
     rows = spark.createDataFrame([(a, b, ok, why) for a, b, ok, why in SERVICE if a != "一百千赫"] + [(None, None, False, "empty_output")], "a string, b string, ok boolean, why string")
-    for r in rows.select("*", guard.verified(F.col("a"), F.col("b")).alias("g"), guard.cheap_reason(F.col("a"), F.col("b")).alias("c")).collect():
+    for r in rows.select("*", guard.verified(F.col("a"), F.col("b")).alias("g"), guard.native_reason(F.col("a"), F.col("b")).alias("c")).collect():
         assert (r.g.accepted, r.g.reason) == (r.ok, r.why)
         assert r.c in (None, r.why)
 
