@@ -297,8 +297,8 @@ _SPOKEN = f"(select turn_id, w, row_number() over (partition by turn_id order by
 
 
 @query(
-    f"""select turn_id doc_id, (row_number() over k - 1)::int pos, t as text, case when last then '' else marks end punctuation, last or regexp_matches(marks, '[?.!]') sentence_end, not last and regexp_matches(marks, '[,:;]') clause_end
-from (select *, lead(n) over (partition by turn_id order by n) is null last from (select turn_id, n, regexp_replace(w, '[,.;:!?]', '', 'g') t, regexp_extract(w, '[,.;:!?]*$') marks from {_SPOKEN}) where t <> '')
+    f"""select turn_id doc_id, (row_number() over k - 1)::int pos, t as text, case when last then '' else marks end punctuation, last or regexp_matches(marks, '[?!]') sentence_end, not last and regexp_matches(marks, '[,;]') clause_end
+from (select *, lead(n) over (partition by turn_id order by n) is null last from (select turn_id, n, regexp_replace(w, '[,.;:!?]', '', 'g') t, regexp_replace(regexp_extract(w, '[,.;:!?]*$'), '[.:]', '', 'g') marks from {_SPOKEN}) where t <> '')
 window k as (partition by turn_id order by n)"""
 )
 def punctuation_alignment(spark, sf_dir):
