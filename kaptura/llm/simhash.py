@@ -6,16 +6,17 @@ space; a bit is 1 if it is 1 in over half the shingles' XXH64 values. Fingerprin
 
 Pivots are reference fingerprints. The distances of a fingerprint to the zero pivot and to 32
 pivots with two neighbouring bits each give, by a sum and a difference, its 32 *coordinates*
-(0 to 2). Two fingerprints that differ in d bits differ by at most d over all coordinates, so
-with two bits at most two of four groups of eight coordinates differ, and at least one of the
-six pairs of groups agrees: its coordinates are a join key, and no link is missed. Among the
-fingerprints of a key, pairs whose largest difference of distance to the scattered pivots is
-over ``most_bits`` are discarded, and only the rest are compared bit by bit.
+(0 to 2). Two fingerprints that differ in d bits differ by at most d over all coordinates, so of
+d + 2 groups of coordinates at least two agree, and each pair of groups is a join key: no link is
+missed, whatever ``most_bits``. With two bits these are four groups of eight and six keys; with
+more, keys are more and tell less. Among the fingerprints of a key, pairs whose largest difference
+of distance to the scattered pivots is over ``most_bits`` are discarded, and only the rest are
+compared bit by bit.
 
 Copies with one fingerprint are one class before any pair is made. Within a key, links are
 reduced to a spanning forest in the task, so rows grow with fingerprints and not with pairs.
-A key of more than ``split_over`` fingerprints is split: of three further groups, made of the
-coordinates outside the key, at least one must agree within two bits as well.
+A key of more than ``split_over`` fingerprints is split: of ``most_bits`` + 1 further groups, made of
+the coordinates outside the key, at least one must agree as well.
 
 Null, empty and blank texts have fingerprint zero and link like any other; fewer words than a
 shingle are one shingle; rows with the same doc_id are each returned; a null doc_id counts as
@@ -24,6 +25,7 @@ smaller than any other and is returned as null.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ from kaptura.llm.common import few_rows, shuffle_partitions, stored
 from kaptura.llm.components import components
 
 SHINGLE, MOST_BITS, SEED = 3, 2, 42
-N_COORDINATES, GROUPS = 32, 4
+N_COORDINATES = 32
 #: Scattered pivots: as many as make a chance survivor rare.
 N_SCATTERED = 24
 _NULL_ID = -(1 << 63)
@@ -100,28 +102,28 @@ def group_codes(coords: np.ndarray, members: list[np.ndarray]) -> list[np.ndarra
     return [coords[:, m].astype(np.int64) @ (3 ** np.arange(len(m), dtype=np.int64)) for m in members]
 
 
-def _keys(fps: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The six pairs of groups: number of the pair, key."""
-    codes = group_codes(coordinates(fps), np.array_split(np.arange(N_COORDINATES), GROUPS))
-    n = 0
-    for i in range(GROUPS):
-        for j in range(i + 1, GROUPS):
-            yield n, (codes[i] * 3**8 + codes[j]) * 64 + n * 4
-            n += 1
-
-
-def _split_keys(fps: np.ndarray, key: np.ndarray) -> Iterator[np.ndarray]:
-    """Three finer keys for each fingerprint of a crowded key, from coordinates outside it."""
-    coords, pair = coordinates(fps), (key >> 2) & 15
-    groups, n = np.array_split(np.arange(N_COORDINATES), GROUPS), 0
-    finer = np.zeros((3, len(fps)), np.int64)
-    for i in range(GROUPS):
-        for j in range(i + 1, GROUPS):
-            here = np.flatnonzero(pair == n)
-            rest = np.concatenate([g for k, g in enumerate(groups) if k not in (i, j)])
-            for s, code in enumerate(group_codes(coords[here], np.array_split(rest, 3))):
-                finer[s, here] = code * 4 + s + 1
-            n += 1
+def group_pairs(most_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The coordinates of each pair of groups, and those outside it."""
+    groups = np.array_split(np.arange(N_COORDINATES), most_bits + 2)
+    inside = [np.concatenate(p) for p in itertools.combinations(groups, 2)]
+    return [(p, np.setdiff1d(np.arange(N_COORDINATES), p)) for p in inside]
+
+
+def _keys(fps: np.ndarray, most_bits: int) -> Iterator[np.ndarray]:
+    """A key of each fingerprint for each pair of groups; the pair is the key's remainder."""
+    pairs, coords = group_pairs(most_bits), coordinates(fps)
+    for n, code in enumerate(group_codes(coords, [inside for inside, _ in pairs])):
+        yield code * len(pairs) + n
+
+
+def _split_keys(fps: np.ndarray, key: np.ndarray, most_bits: int) -> Iterator[np.ndarray]:
+    """Finer keys, from 1 on, for each fingerprint of a crowded key, from coordinates outside it."""
+    pairs, coords, parts = group_pairs(most_bits), coordinates(fps), most_bits + 1
+    finer = np.zeros((parts, len(fps)), np.int64)
+    for n, (_, rest) in enumerate(pairs):
+        here = np.flatnonzero(key % len(pairs) == n)
+        for s, code in enumerate(group_codes(coords[here], np.array_split(rest, parts))):
+            finer[s, here] = code * parts + s + 1
     yield from finer
 
 
@@ -159,7 +161,7 @@ def _forest(fps: np.ndarray, ids: np.ndarray, most_bits: int) -> list[tuple[int,
 
 def _linked(batches: Iterator[pa.RecordBatch], most_bits: int) -> Iterator[pa.RecordBatch]:
     """Links within runs of rows (key, sub, fp, rep) that are sorted by key and sub."""
-    held = None
+    held: list[list[np.ndarray]] = []  # parts of a run that may go on in the next batch
 
     def out(cols) -> pa.RecordBatch | None:
         key, sub, fp, rep = cols
@@ -186,34 +188,37 @@ def _linked(batches: Iterator[pa.RecordBatch], most_bits: int) -> Iterator[pa.Re
 
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
         if not len(cols[0]):
             continue
-        last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
-        whole = len(last) - int(last.sum())  # the last run may go on in the next batch
-        got, held = out([c[:whole] for c in cols]), [c[whole:] for c in cols]
+        goes_on = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+        if held and goes_on.all() and (held[0][0][0], held[0][1][0]) == (cols[0][0], cols[1][0]):
+            held.append(cols)
+            continue
+        size = sum(len(part[0]) for part in held)
+        cols = [np.concatenate(x) for x in zip(*held, cols, strict=True)]
+        whole = size + int((~goes_on).sum())
+        got, held = out([c[:whole] for c in cols]), [[c[whole:] for c in cols]]
         if got is not None:
             yield got
-    if held is not None and (got := out(held)) is not None:
+    if held and (got := out([np.concatenate(x) for x in zip(*held, strict=True)])) is not None:
         yield got
 
 
 def fingerprint_links(classes: DataFrame, most_bits: int = MOST_BITS, split_over: int = 1024) -> DataFrame:
     """Links (a, b) that connect the classes (fp, rep) as all pairs within ``most_bits`` would."""
-    if most_bits > MOST_BITS:
-        raise ValueError(f"the keys miss no link up to {MOST_BITS} bits only")
+    if not 0 <= most_bits < N_COORDINATES - 1:
+        raise ValueError(f"a group has at least one of {N_COORDINATES} coordinates")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp, rep = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for _, key in _keys(fp.view(np.uint64)):
+            for key in _keys(fp.view(np.uint64), most_bits):
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.array(rep)], names=["key", "fp", "rep"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, fp, rep = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for sub in _split_keys(fp.view(np.uint64), key):
+            for sub in _split_keys(fp.view(np.uint64), key, most_bits):
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sub), pa.array(fp), pa.array(rep)], names=["key", "sub", "fp", "rep"])
 
     rows = classes.select("fp", "rep").mapInArrow(keyed, "key long, fp long, rep long")

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
 import corpus_pipeline
@@ -78,17 +79,30 @@ def near_copies(seed, n):
     return sorted(fps)
 
 
-def test_links_by_brute_force_with_and_without_splitting(spark):
-    fps = near_copies(1, 150)
-    want = plain_components(list(range(len(fps))), fps)
+@pytest.mark.parametrize("most", [0, 1, 2, 3, 5, 11])
+def test_links_by_brute_force_with_and_without_splitting(spark, most):
+    fps = near_copies(1, 150 if most == 2 else 60)
+    want = plain_components(list(range(len(fps))), fps, most)
     rows = [(int(np.uint64(f).astype(np.int64)), i) for i, f in enumerate(fps)]
     classes = spark.createDataFrame(rows, "fp long, rep long")
     for over in (4, 1024):
-        links = simhash.fingerprint_links(classes, split_over=over)
+        links = simhash.fingerprint_links(classes, most, split_over=over)
         found = {r.node: r.component for r in components.components(links).collect()}
         assert {i: found.get(i, i) for i in want} == want
 
 
+def test_links_of_a_run_over_many_batches():
+    fps = np.array(near_copies(2, 80), np.uint64).view(np.int64)
+    key = np.repeat([1, 2, 3, 4], [1, 150, 2, len(fps) - 153]).astype(np.int64)
+    cols = [key, np.zeros_like(key), fps, np.arange(len(fps))]
+
+    def links(size):
+        batches = (pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in cols], names=["key", "sub", "fp", "rep"]) for i in range(0, len(fps), size))
+        return [pair for b in simhash._linked(batches, 2) for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+
+    assert sorted(links(7)) == sorted(links(1)) == sorted(links(10_000)) != []
+
+
 def test_components_of_a_path_and_of_nothing(spark):
     n = 200
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(5, 5), (900, 901), (901, 900)], "a long, b long")
