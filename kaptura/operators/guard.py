@@ -193,26 +193,25 @@ def profile_of(row) -> Profile:
 
 
 def verified(original: Column, corrected: Column, profile: Column | None = None, variant: str = "service", syllables: Syllables | None = None, compat: bool = False) -> Column:
-    """struct<accepted, reason> of each pair; only pairs that ``native_reason`` leaves open travel
-    to Python, the others as nulls."""
+    """struct<accepted, reason> of each pair; of pairs that ``native_reason`` decides only the
+    reason travels to Python."""
     guard = Guard(variant, syllables)
     known = native_reason(original, corrected, variant)
-    pair = [F.when(known.isNull(), F.coalesce(c, F.lit(""))) for c in (original, corrected)]
+    inputs = [known, *(F.when(known.isNull(), F.coalesce(c, F.lit(""))) for c in (original, corrected))]
 
-    def judged(old, new, profiles) -> pd.DataFrame:
-        rows = [(None, None) if a is None else guard.safely(a, b, p, compat) for a, b, p in zip(old, new, profiles, strict=True)]
-        return pd.DataFrame(rows, columns=["accepted", "reason"], dtype="object")
+    def judged(reasons, old, new, profiles) -> pd.DataFrame:
+        rows = [guard.safely(a, b, p, compat) if k is None else (k != "empty_output", k) for k, a, b, p in zip(reasons, old, new, profiles, strict=True)]
+        return pd.DataFrame(rows, columns=["accepted", "reason"])
 
     @F.pandas_udf(RESULT)
-    def run(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-        return judged(old, new, [Profile()] * len(old))
+    def run(reasons: pd.Series, old: pd.Series, new: pd.Series) -> pd.DataFrame:
+        return judged(reasons, old, new, [Profile()] * len(old))
 
     @F.pandas_udf(RESULT)
-    def run_with(old: pd.Series, new: pd.Series, profiles: pd.DataFrame) -> pd.DataFrame:
-        return judged(old, new, [profile_of(r) for r in profiles.to_dict("records")])
+    def run_with(reasons: pd.Series, old: pd.Series, new: pd.Series, profiles: pd.DataFrame) -> pd.DataFrame:
+        return judged(reasons, old, new, [profile_of(r) for r in profiles.to_dict("records")])
 
-    asked = run(*pair) if profile is None else run_with(*pair, profile)
-    return F.when(known.isNull(), asked).otherwise(F.struct((known != "empty_output").alias("accepted"), known.alias("reason")))
+    return run(*inputs) if profile is None else run_with(*inputs, profile)
 
 
 def native_reason(original: Column, corrected: Column, variant: str = "service") -> Column:
