@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kaptura.llm import bpe, decontamination, html_text, licenses, pii, quality, simhash, sstable, suffix_dedup, token_counts
+from kaptura.llm import bpe, centroids, decontamination, fill_middle, html_text, licenses, neighbours, pii, quality, simhash, sstable, suffix_dedup, token_counts
 from kaptura.llm.common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -54,10 +55,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.restored(fill_middle.transform(table(spark, sf_dir, "documents")))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_bpe, op3_quality_rules, op4_license_scan, op5_decontamination, op6_token_ids, op7_html_text, op8_token_counts, op9_private_data, op10_suffix_dedup)
+    found = (op1_simhash, op2_bpe, op3_quality_rules, op4_license_scan, op5_decontamination, op6_token_ids, op7_html_text, op8_token_counts, op9_private_data, op10_suffix_dedup, op11_nearest, op12_fill_middle, op13_centroids)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.ORACLE, "op5_decontamination": decontamination.ORACLE}
+    return {"op3_quality_rules": quality.ORACLE, "op5_decontamination": decontamination.ORACLE, "op12_fill_middle": fill_middle.ORACLE, "op13_centroids": centroids.ORACLE}
