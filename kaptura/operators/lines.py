@@ -377,6 +377,16 @@ def caption(tokens: Sequence[dict] | None, full_text: str | None, tokenizer: Cal
     return [{"id": i, "start_time": a, "end_time": b, "text": t} for i, (a, b, t) in numbered if t.strip()]
 
 
+def captioned_words(docs: DataFrame, style: Style = Style(), words: str = "words", output: str = "lines") -> DataFrame:  # noqa: B008
+    """Caption lines of documents whose words are known: an array of text, start, end and flags."""
+
+    def apply(rows: Sequence[dict] | None) -> list[dict]:
+        found = timed(segment([Word(r["text"], r["start"], r["end"], bool(r["sentence_end"]), bool(r["clause_end"])) for r in rows or []], style), style)
+        return [{"id": i, "start_time": a, "end_time": b, "text": t} for i, (a, b, t) in enumerate(found, 1) if t.strip()]
+
+    return map_documents(docs, [words], output, T.ArrayType(LINE), apply)
+
+
 def captioned(docs: DataFrame, tokenizer: Callable[[str], list[str]] | None = None, style: Style = Style(), tokens: str = "tokens", full_text: str = "full_text", output: str = "lines") -> DataFrame:  # noqa: B008
     """Each document's caption lines as an array; one map, no shuffle."""
     return map_documents(docs, [tokens, full_text], output, T.ArrayType(LINE), lambda t, f: caption(t, f, tokenizer, style))

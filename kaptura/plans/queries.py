@@ -739,8 +739,15 @@ def even_sampling(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    _others()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _others()
     return dict(SQL)
+
+
+def _others() -> None:
+    """The modules whose queries join these."""
+    from kaptura.plans import cjk_queries  # noqa: F401
