@@ -1,8 +1,8 @@
 """Words of clauses without blanks, from a dictionary counted in a table: joins, windows and folds only.
 
 A clause is cut into units: a run of Latin letters or digits, or any other character. Runs of up to
-``longest`` CJK units that the dictionary holds, and every single unit, are edges from one place to
-another; the words are the path of least cost, where a word that is seen n times of a total of N costs
+``longest`` CJK units that the dictionary holds, and every single unit, lead from one place to another;
+the words are the path of least cost, where a word that is seen n times of a total of N costs
 ln(N / n), in millionths, and an unknown unit as much as a word seen once. Of paths that cost the same
 the one whose first word is longest is taken, then the one whose second is, and so on.
 
@@ -48,8 +48,9 @@ def clause_tokens(tokens: DataFrame, key: str = "doc_id", order: str = "pos") ->
     return rows.withColumn("at", F.coalesce(F.sum(F.char_length("text")).over(before), F.lit(0))).withColumn("cjk", F.max(tx.has_cjk(F.col("text"))).over(clause))
 
 
-def edges(clauses: DataFrame, words: DataFrame, key: list[str], longest: int = LONGEST, common: int = COMMON) -> DataFrame:
-    """key, i, n, unit and cost of every unit (n is 1) and of every known word at its place."""
+def places(clauses: DataFrame, words: DataFrame, key: list[str], longest: int = LONGEST, common: int = COMMON) -> DataFrame:
+    """key, i, at and unit of every unit of a clause, and c1, c2, ...: the cost of the word of so many
+    units that begins there, null where the dictionary has none; a single unit always has one."""
     words = written(words, "dictionary")
     total = F.lit((words.agg(F.max("total")).first()[0] or 1)).cast("double")
     priced = words.select(F.col("word").alias("gram"), _cost(F.col("n"), F.col("total")).alias("cost"), F.col("n").alias("_n"))
@@ -57,31 +58,39 @@ def edges(clauses: DataFrame, words: DataFrame, key: list[str], longest: int = L
     few = longer.limit(common + 1).count() <= common
     head = longer if few else longer.orderBy(F.desc("_n"), "gram").limit(common)
     head = head.unionByName(priced.filter(F.char_length("gram") == 1)).drop("_n")
-    gram = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("units") - i)), lambda n: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice("units", i + 1, n), "").alias("gram")))
-    units = clauses.select(*key, F.regexp_extract_all("text", F.lit(_UNIT), F.lit(0)).alias("units"))
-    grams = units.select(*key, F.inline(F.flatten(F.transform(F.sequence(F.lit(0), F.size("units") - 1), gram))))
-    grams = grams.filter((F.col("n") == 1) | F.col("gram").rlike(CJK_WORD))
-    found = grams.join(F.broadcast(head), "gram", "left").filter(F.col("cost").isNotNull() | (F.col("n") == 1))
+    clause = Window.partitionBy(*key).orderBy("i")
+    rows = clauses.select(*key, F.posexplode(F.regexp_extract_all("text", F.lit(_UNIT), F.lit(0))).alias("i", "unit"))
+    at = F.coalesce(F.sum(F.char_length("unit")).over(clause.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    following = [F.lead("unit", n).over(clause) for n in range(1, longest)]
+    rows = rows.select("*", at.alias("at"), *(f.alias(f"_{n}") for n, f in enumerate(following, 1)))
+    grams = [F.concat("unit", *(f"_{m}" for m in range(1, n))) for n in range(1, longest + 1)]
+    rows = rows.select(*key, "i", "unit", "at", *(F.when(g.rlike(CJK_WORD), g).alias(f"g{n}") for n, g in enumerate(grams, 1)))
+    for n in range(1, longest + 1):
+        own = F.broadcast(head.select(F.col("gram").alias(f"g{n}"), F.col("cost").alias(f"c{n}")))
+        rows = rows.join(own, f"g{n}", "left")
     if not few:
         rare = longer.join(F.broadcast(head), "gram", "left_anti").drop("_n")
-        found = found.unionByName(grams.filter("n > 1").join(rare, "gram"))
-    return found.select(*key, "i", "n", "gram", F.coalesce("cost", _cost(F.lit(1.0), total)).alias("cost"))
+        missed = F.array(*(F.struct(F.lit(n).alias("n"), F.when(F.col(f"c{n}").isNull(), F.col(f"g{n}")).alias("gram")) for n in range(2, longest + 1)))
+        asked = rows.select(*key, "i", F.inline(missed)).filter("gram is not null")
+        found = asked.join(rare, "gram").groupBy(*key, "i").agg(*(F.max(F.when(F.col("n") == n, F.col("cost"))).alias(f"r{n}") for n in range(2, longest + 1)))
+        rows = rows.join(found, [*key, "i"], "left").withColumns({f"c{n}": F.coalesce(f"c{n}", f"r{n}") for n in range(2, longest + 1)})
+    costs = [F.coalesce("c1", _cost(F.lit(1.0), total)).alias("c1"), *(f"c{n}" for n in range(2, longest + 1))]
+    return rows.select(*key, "i", "at", "unit", *costs)
 
 
 def best_path(found: DataFrame, key: list[str], longest: int = LONGEST) -> DataFrame:
-    """key, at, beyond and text of the words on the path of least cost through the edges."""
-    option = F.struct("n", "cost")
-    places = found.groupBy(*key, "i").agg(F.collect_list(option).alias("options"), F.max(F.col("i") + F.col("n")).alias("reach"), F.max(F.when(F.col("n") == 1, F.col("gram"))).alias("unit"))
-    before = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = F.coalesce(F.max("reach").over(before) <= F.col("i"), F.lit(True))
-    places = places.withColumn("_cut", cut.cast("int")).withColumn("at", F.coalesce(F.sum(F.char_length("unit")).over(before), F.lit(0)).cast("int"))
-    places = places.withColumn("stretch", F.sum("_cut").over(upto))
-    stretches = places.groupBy(*key, "stretch").agg(F.array_sort(F.collect_list(F.struct("i", "at", "unit", "options"))).alias("p"))
+    """key, at, beyond and text of the words on the path of least cost through ``places``."""
+    sizes = range(1, longest + 1)
+    reach = F.col("i") + F.coalesce(*(F.when(F.col(f"c{n}").isNotNull(), F.lit(n)) for n in reversed(sizes)))
+    clause = Window.partitionBy(*key).orderBy("i")
+    cut = F.coalesce(F.max(reach).over(clause.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("i"), F.lit(True))
+    rows = found.withColumn("_cut", cut.cast("int"))
+    rows = rows.withColumn("stretch", F.sum("_cut").over(clause.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    stretches = rows.groupBy(*key, "stretch").agg(F.array_sort(F.collect_list(F.struct("i", "at", "unit", *(f"c{n}" for n in sizes)))).alias("p"))
 
     def step(acc: Column, place: Column) -> Column:
-        priced = F.transform(place["options"], lambda o: F.struct((o["cost"] + F.get(acc["costs"], o["n"] - 1)).alias("cost"), (-o["n"]).alias("less")))
-        best = F.array_min(priced)
+        ways = [F.when(place[f"c{n}"].isNotNull(), F.struct((place[f"c{n}"] + F.get(acc["costs"], F.lit(n - 1))).alias("cost"), F.lit(-n).alias("less"))) for n in sizes]
+        best = F.least(*ways) if longest > 1 else ways[0]
         return F.struct(F.slice(F.concat(F.array(best["cost"]), acc["costs"]), 1, longest).alias("costs"), F.concat(F.array(-best["less"]), acc["steps"]).alias("steps"))
 
     start = F.struct(F.array(F.lit(0).cast("long")).alias("costs"), F.array().cast("array<int>").alias("steps"))
@@ -127,10 +136,10 @@ def segmented(tokens: DataFrame, words: DataFrame, key: str = "doc_id", order: s
     Clauses without CJK characters have their tokens as words. ``words``: what ``dictionary`` gives;
     an empty one makes every unit a word. No tokens, no words. Columns beside those read are dropped.
     """
-    rows = clause_tokens(tokens, key, order)
+    rows = written(clause_tokens(tokens, key, order), "clause-tokens")
     keys, cjk = [key, "clause"], rows.filter("cjk")
     clauses = cjk.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda t: t["text"]), "").alias("text"))
-    path = best_path(edges(clauses, words, keys, longest, common), keys, longest)
+    path = best_path(written(places(clauses, words, keys, longest, common), "places"), keys, longest)
     named = [*keys, "at", *WORDS]
     return rows.filter("not cjk").select(*named).unionByName(timed_words(path, cjk, keys).select(*named))
 
