@@ -13,7 +13,8 @@ scan over the buckets. A window repeats if its common prefix with a neighbour is
 
 Copies of a whole text count once, with their number. Equal runs of a group are one before the
 sort; a group in which every run has an equal one is not sorted at all. A group of more than
-``most_bytes`` isn't gathered: its windows are counted by 128-bit hashes instead. Texts are dealt
+``most_bytes`` isn't gathered: its windows are counted by fingerprints of 124 bits with bases drawn at
+random for each run, of which two different windows agree with a probability below 2 ** -89. Texts are dealt
 to buckets of bounded size; a bucket sends each of its windows once, with its number, and gets
 back those that repeat, so a passage that a third of all documents hold is one row a bucket.
 
@@ -27,6 +28,7 @@ copies of each other and lose everything if long enough; a null doc_id is carrie
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -45,6 +47,7 @@ MOST_BYTES = 1 << 19
 BUCKET = 1 << 22
 #: Words of a shared passage, and of the strings whose smallest hash names a window of so many.
 PASSAGE, WORD_GRAM = 51, 8
+PRIME = np.uint64((1 << 31) - 1)
 _NULL_ID = -(1 << 63)
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -72,6 +75,43 @@ def string_hashes(data: np.ndarray, length: int, seed: int) -> np.ndarray:
     return out
 
 
+def _modular(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    for _ in range(2):
+        x = (x & PRIME) + (x >> np.uint64(31))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def fingerprints(data: np.ndarray, length: int, bases: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for every substring of ``length`` numbers below PRIME: of four polynomials modulo a prime, two each.
+
+    Two different strings agree in one polynomial for fewer than ``length`` of the bases there are, so
+    four bases drawn at random after the texts were written tell any two strings apart but with a
+    probability of (length / 2 ** 31) ** 4; that has no structured exceptions, unlike powers modulo 2 ** 64.
+    """
+    found = []
+    for base in bases:
+        power, width = np.uint64(base), 1
+        level = data.astype(np.uint64)
+        total, done, left = None, 0, length
+        while left:
+            if left & 1:
+                part = level[done:]
+                total = part.copy() if total is None else _modular(total[: len(part)] * power + part[: len(total)])
+                done += width
+            left >>= 1
+            if left:
+                level = _modular(level[:-width] * power + level[width:])
+                power, width = np.uint64(int(power) ** 2 % int(PRIME)), width * 2
+        found.append(total[: len(data) - length + 1])
+    a, b, c, d = found
+    return ((a << np.uint64(32)) | b).view(np.int64), ((c << np.uint64(32)) | d).view(np.int64)
+
+
+def drawn_bases() -> tuple[int, ...]:
+    return tuple(secrets.randbelow(int(PRIME) - 1000) + 500 for _ in range(4))
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     got, n = x, 1
     while 2 * n <= width:
@@ -273,26 +313,30 @@ Windows = Callable[[dict], Iterator[tuple[int, np.ndarray, np.ndarray]]]
 
 
 def _byte_windows(length: int) -> Windows:
-    """First place and two hashes of every window of each crowded run."""
+    """First place and fingerprints of every window of each crowded run."""
+    bases = drawn_bases()
 
     def of(row: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         whole = np.frombuffer(row["text"].encode(), np.uint8)
         for r in row["runs"]:
             if r["crowded"]:
                 part = whole[r["a"] : r["b"] + length]
-                yield (r["a"], *(string_hashes(part, length, s).view(np.int64) for s in (1, 2)))
+                yield (r["a"], *fingerprints(part, length, bases))
 
     return of
 
 
 def _word_windows(passage: int) -> Windows:
     """The same, of each run of word windows whose value another text has."""
+    bases = drawn_bases()
 
     def of(row: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         whole, shared = word_codes(row["text"].encode()), set(row["shared"])
         for first, last, value, _ in zip(*value_runs(whole, passage, WORD_GRAM), strict=True):
             if value in shared:
-                yield (first, *(string_hashes(whole[first : last + passage], passage, s).view(np.int64) for s in (1, 2)))
+                halves = np.stack((whole[first : last + passage] % PRIME, whole[first : last + passage] >> np.uint64(34)), 1).ravel()
+                h, g = fingerprints(halves, 2 * passage, bases)
+                yield first, h[::2], g[::2]
 
     return of
 
@@ -364,11 +408,11 @@ def _bucket_places(batches: Iterator[pa.RecordBatch], windows: Windows) -> Itera
                 known, hashes = _pairs(*hashes, [np.zeros(len(c), np.int64) for c in hashes[0]])[:2], ([], [])
             for row in part.to_pylist():
                 for first, h, g in windows(row) if len(known[0]) else ():
-                    at = known[0].searchsorted(h)
+                    at, end = known[0].searchsorted(h), known[0].searchsorted(h, "right")
                     marks = np.zeros(len(h), np.bool_)
-                    for step in (0, 1):  # two windows of one h and different g: not to be expected
+                    for step in range(int((end - at).max(initial=0))):
                         place = np.minimum(at + step, len(known[0]) - 1)
-                        marks |= (known[0][place] == h) & (known[1][place] == g)
+                        marks |= (at + step < end) & (known[1][place] == g)
                     found += [(row["sha"], first + lo, first + hi) for lo, hi in true_runs(marks)]
             if len(found) >= 10_000:
                 yield out()

@@ -286,3 +286,47 @@ def test_runs_over_batches():
         parts = [t.to_pydict() for t in jaccard._runs(iter(batches))]
         assert [p for t in parts for p in t["place"]] == list(range(300))
         assert sum(len(set(t["key"])) for t in parts) == len(set(keys))
+
+
+def colliding(length=400):
+    """Two strings that agree in every polynomial with an odd base modulo 2 ** 64, whatever the base."""
+    product = np.array([1], np.int64)
+    for n in (1, 2, 4, 8, 16, 32, 64, 128, 128):
+        factor = np.zeros(n + 1, np.int64)
+        factor[0], factor[n] = -1, 1
+        product = np.convolve(product, factor)
+    product *= 4
+    a, b = (np.full(length, ord("a"), np.int64) for _ in range(2))
+    a[: len(product)] += np.maximum(product, 0)
+    b[: len(product)] += np.maximum(-product, 0)
+    a[-16:], b[-16:] = ord("h"), ord("h")
+    return "".join(map(chr, a)), "".join(map(chr, b))
+
+
+def test_strings_that_collide_are_no_repeats(spark):
+    a, b = colliding()
+    assert len(a) == len(b) == 400 and a != b
+    x, y = (np.frombuffer(t.encode(), np.uint8) for t in (a, b))
+    for seed in (1, 2):
+        assert (suffix_dedup.string_hashes(x, 400, seed) == suffix_dedup.string_hashes(y, 400, seed)).all()
+    bases = suffix_dedup.drawn_bases()
+    assert not any((p == q).all() for p, q in zip(suffix_dedup.fingerprints(x, 400, bases), suffix_dedup.fingerprints(y, 400, bases), strict=True))
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("bcdfgjkl") for _ in range(n))
+    for most in (suffix_dedup.MOST_BYTES, 1):
+        rows = [(0, a), (1, b)] + [(i, noise(250) + a[:300] + noise(250)) for i in range(2, 1502)]
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), most_bytes=most)
+        assert got.filter("n_removed > 0").count() == 0
+
+
+def test_fingerprints_are_polynomials_modulo_the_prime():
+    data = np.random.default_rng(1).integers(0, 256, 700).astype(np.uint8)
+    bases = (5, 2**31 - 3, 123456789, 7)
+    for length in (1, 8, 31, 400):
+        h, g = (x.view(np.uint64) for x in suffix_dedup.fingerprints(data, length, bases))
+        for at in (0, 17, 700 - length):
+            want = [0, 0, 0, 0]
+            for byte in data[at : at + length].tolist():
+                want = [(v * k + byte) % (2**31 - 1) for v, k in zip(want, bases, strict=True)]
+            assert [int(h[at] >> 32), int(h[at]) & 0xFFFFFFFF, int(g[at] >> 32), int(g[at]) & 0xFFFFFFFF] == want
+        assert len(h) == 701 - length
