@@ -750,4 +750,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _others() -> None:
     """The modules whose queries join these."""
-    from kaptura.plans import cjk_queries  # noqa: F401
+    from kaptura.plans import cjk_queries, term_queries  # noqa: F401
