@@ -9,8 +9,12 @@
 3. Every page is read again: its text is that of the elements at its host's winning path, or of
    its own best container if it has none there.
 
-Boilerplate elements and those whose class or id says so, scripts, styles and comments count for
-nothing in either pass. Time and memory grow with a page's length only, whatever its depth and
+Scripts, styles, comments, form fields and the like count for nothing in either pass. Navigation,
+forms, asides, headers and footers, and blocks that a whole word of their class, id or role marks, are
+under suspicion only: what the page's largest ``article`` or ``main`` stands in is cleared, if that has a quarter of the text, and so is what
+holds half of the page's text and few links, but for sections of comments; a paragraph, heading or item
+is out by its mark only as an advert or a notice, or if links are half of it; an inline element only
+as an advert, and never in preformatted text or code. Time and memory grow with a page's length only, whatever its depth and
 however many of its tags are not closed: paths are hashes of the path above and one step more, and
 open elements are found by their tag. A tag ends at the first ">" outside quotes; where none
 follows, quotes don't count from there on, and without any ">" there is no more markup.
@@ -45,11 +49,20 @@ _NEW_WORD = re.compile(r"(?<=[a-z])(?=[A-Z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript svg iframe object canvas math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
-BOILERPLATE = frozenset("nav header footer aside form button select option textarea input dialog menu head title".split()) | RAW
+BOILERPLATE = frozenset("button select option textarea input dialog menu head title".split()) | RAW
+#: Elements that are out unless the rest of the page clears them; of the second kind none is cleared by what it holds.
+SUSPECT, ALWAYS_OUT = frozenset("nav header footer aside form".split()), frozenset("nav header footer aside".split())
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td dd".split())
 #: Words of a class, id or role that mark an element as no part of the article.
 MARKS = frozenset(
     "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent copyright dialog disclaimer disqus footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Marks that hold for inline elements and for paragraphs, too, and those of sections that nothing clears.
+ADVERTS = frozenset("ad ads advert advertisement advertising adverts sponsor sponsored promo promoted promotion".split())
+NOTICES = ADVERTS | frozenset("banner consent cookie cookies newsletter notice notices popup subscribe subscription".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Words that say where and what a part is, not what it is about; with other words a mark says nothing.
+NEUTRAL = frozenset("area bar block body bottom box center col column container content global group holder inline inner item left list main middle mobile outer page panel primary right row secondary section side site slot small sticky the theme thread top unit wrap wrapper".split())
 #: With one of these words beside it, "header" is the article's own.
 OWN_HEADER = frozenset("article content entry post story".split())
 #: What may stand in a page's head; anything else ends it.
@@ -68,18 +81,25 @@ def _raw_end(tag: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
 
 
-def marked(attributes: str) -> tuple[str, bool]:
-    """The classes in general form, and whether a word of them, the id or the role is a mark."""
-    classes, odd = "", False
+def marks(token: str) -> set[str]:
+    """The marks that a class, id or role consists of, with neutral words; none if there are others."""
+    words = set(_WORD.findall(_NEW_WORD.sub(" ", token).lower()))
+    found = words & MARKS
+    if "header" in found and not OWN_HEADER.isdisjoint(words):
+        found.discard("header")
+    return found if found and words <= MARKS | NEUTRAL else set()
+
+
+def marked(attributes: str) -> tuple[str, set[str]]:
+    """The classes in general form, and the marks among the class, the id and the role."""
+    classes, found = "", set()
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value = a or b or c
         if name.lower() == "class":
             classes = ".".join(sorted(_DIGITS.sub("#", x) for x in value.lower().split()))
-        found = set(_WORD.findall(_NEW_WORD.sub(" ", value).lower()))
-        if "header" in found and not OWN_HEADER.isdisjoint(found):
-            found.discard("header")
-        odd = odd or not MARKS.isdisjoint(found)
-    return classes, odd
+        for token in value.split():
+            found |= marks(token)
+    return classes, found
 
 
 def top(worth: dict[int, float]) -> int:
@@ -119,8 +139,11 @@ class Page:
         self.paths: list[int] = []  # hash of each element's generalised path
         self.parents: list[int] = []
         self.tags: list[str] = []
+        self.suspects: dict[int, set[str]] = {}  # elements under suspicion, and their marks
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._read(html)
+        if self.suspects:
+            self._clear()
 
     @staticmethod
     def _tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
@@ -230,18 +253,54 @@ class Page:
                 if other > stack.last(*STOPS[tag]):
                     stack.close(other)
         parent, _, outer = stack.open[-1]
-        classes, odd = marked(attributes) if attributes else ("", False)
-        inside_article = tag == "header" and bool(stack.places["article"])
-        junk = outer or tag not in ARTICLE and (odd or tag in BOILERPLATE and not inside_article)
+        classes, found = marked(attributes) if attributes else ("", set())
         if inline:
-            stack.push(parent, tag, junk)
+            advert = not ADVERTS.isdisjoint(found) and not (stack.places["pre"] or stack.places["code"])
+            stack.push(parent, tag, outer or advert)
             return
+        junk = outer or tag in BOILERPLATE
+        inside_article = tag == "header" and bool(stack.places["article"])
+        if tag not in ARTICLE and (found or tag in SUSPECT and not inside_article):
+            self.suspects[len(self.paths)] = found
         step = f"{self.paths[parent] if parent >= 0 else 0}/{tag}" + ("." + classes if classes else "")
         self.paths.append(xxhash.xxh64_intdigest(step) >> 1)
         self.parents.append(parent)
         self.tags.append(tag)
         stack.push(len(self.paths) - 1, tag, junk)
 
+    def _clear(self) -> None:
+        """Takes the blocks out of suspects that nothing clears."""
+        n = len(self.paths)
+        size, links = [0] * n, [0] * n
+        for e, text, linked in self.blocks:
+            if e >= 0:
+                size[e] += len(text)
+                links[e] += linked
+        for e in range(n - 1, -1, -1):
+            if (parent := self.parents[e]) >= 0:
+                size[parent] += size[e]
+                links[parent] += links[e]
+        whole = sum(len(text) for _, text, _ in self.blocks)
+        cleared = set()
+        main = max((e for e in range(n) if self.tags[e] in ("article", "main") and size[e]), key=lambda e: (size[e], -e), default=-1)
+        while main >= 0 and 4 * size[main] > whole:
+            cleared.add(main)
+            main = self.parents[main]
+        out = [False] * n
+        for e in range(n):
+            found = self.suspects.get(e)
+            out[e] = self.parents[e] >= 0 and out[self.parents[e]]
+            if found is None or out[e]:
+                continue
+            few_links = 2 * links[e] < size[e]
+            if self.tags[e] in LEAVES:
+                out[e] = not (NOTICES.isdisjoint(found) and few_links)
+            elif self.tags[e] in ALWAYS_OUT or not COMMENTS.isdisjoint(found):
+                out[e] = True
+            else:
+                out[e] = e not in cleared and not (few_links and 2 * size[e] > whole)
+        self.blocks = [b for b in self.blocks if b[0] < 0 or not out[b[0]]]
+
     def scores(self) -> dict[int, float]:
         """A block's worth goes to its element's parent, and half of it to the one above."""
         worth: dict[int, float] = defaultdict(float)

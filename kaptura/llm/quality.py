@@ -3,8 +3,11 @@
 Each document is measured without a shuffle: windows of words are hashed in place, and only a
 document in which two hashes meet is looked at again, with 128 bits a window. Failures of each
 rule are then counted by host (``source``), a beta prior is fitted to the hosts' rates by the
-method of moments, and each host's rate is shrunk towards it. A host whose shrunk rate of some
-rule is over ``most`` loses its documents that pass on their own, too.
+method of moments, and each host's rate is shrunk towards it. That decides how strictly the host's
+documents are judged by the rules that don't reject one by themselves (all but the base rules): where
+the shrunk rate is not below the prior's mean, documents that fail the rule go; a host that is better
+than that has the benefit of the doubt. A host whose shrunk rate of some rule is over ``most`` loses
+all its documents.
 
 Null texts have no words and fail; a null host is a host of its own; a null doc_id is carried.
 Host counts are summed within tasks before they move, and verdicts are broadcast only if there
@@ -31,6 +34,7 @@ RULES = {
     "lines": "n_dup_lines > 0 and 2 * n_dup_lines > n_lines",
 }
 BASE_RULES = ("short", "repeats")
+HOST_RULES = tuple(name for name in RULES if name not in BASE_RULES)
 _WORDS_OF = re.compile(r"\b(n_\w+)")
 
 
@@ -104,7 +108,8 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def host_verdicts(measured: DataFrame, most: float = 0.5) -> DataFrame:
-    """host, each rule's shrunk rate ``rate_<rule>``, and ``host_failed``.
+    """host, each rule's shrunk rate ``rate_<rule>``, ``host_failed``, and ``strict_<rule>`` of the
+    rules that only the host makes count.
 
     With m and v the mean and variance of the hosts' rates, the prior is beta(m k, (1 - m) k)
     with k = m (1 - m) / v - 1, held between 1 and 1000 (no variance: 1000).
@@ -122,19 +127,24 @@ def host_verdicts(measured: DataFrame, most: float = 0.5) -> DataFrame:
         m, v = F.col(f"m_{name}"), F.col(f"v_{name}")
         k = F.when(v > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), m * (1 - m) / v - 1))).otherwise(F.lit(1000.0))
         rates.append(((F.col(f"fails_{name}") + m * k) / (F.col("n") + k)).alias(f"rate_{name}"))
-    rated = rated.select("host", "n", *rates)
+    strict = [(F.round(F.col(f"rate_{name}"), 9) >= F.round(F.col(f"m_{name}"), 9)).alias(f"strict_{name}") for name in HOST_RULES]
+    rated = rated.select("*", *rates).select("host", "n", *(f"rate_{name}" for name in RULES), *strict)
     return rated.withColumn("host_failed", F.greatest(*[F.col(f"rate_{name}") for name in RULES]) > most)
 
 
 def _verdict(measured: DataFrame, most: float, few_hosts: int) -> tuple[DataFrame, Column, Column]:
     """``measured`` with its host's verdict beside it, and the columns base_failed and kept."""
-    verdicts = stored(host_verdicts(measured.select("m.*"), most).filter("host_failed").select(F.col("host").alias("_failed_host"), "host_failed"), "hosts")
+    verdict = F.struct("host_failed", *(f"strict_{name}" for name in HOST_RULES)).alias("_verdict")
+    verdicts = stored(host_verdicts(measured.select("m.*"), most).select(F.col("host").alias("_verdict_host"), verdict), "hosts")
     small = verdicts.limit(few_hosts + 1).count() <= few_hosts  # a count on the driver, no rows
-    joined = measured.join(F.broadcast(verdicts) if small else verdicts, F.col("m.host").eqNullSafe(F.col("_failed_host")), "left")
-    base = F.lit(False)
+    joined = measured.join(F.broadcast(verdicts) if small else verdicts, F.col("m.host").eqNullSafe(F.col("_verdict_host")), "left")
+    fails = lambda rule: F.expr(_WORDS_OF.sub(r"m.\1", RULES[rule]))
+    base, gone = F.lit(False), F.col("_verdict.host_failed")
     for rule in BASE_RULES:
-        base = base | F.expr(_WORDS_OF.sub(r"m.\1", RULES[rule]))
-    return joined, base, ~base & F.col("host_failed").isNull()
+        base = base | fails(rule)
+    for rule in HOST_RULES:
+        gone = gone | F.col(f"_verdict.strict_{rule}") & fails(rule)
+    return joined, base, ~base & ~gone
 
 
 def judge(docs: DataFrame, host: str = "source", most: float = 0.5, few_hosts: int = 50_000) -> DataFrame:
@@ -168,7 +178,7 @@ h as (select host, count(*) n, count(*) filter (short) a, count(*) filter (repea
 p as (select avg(a / n) ma, var_pop(a / n) va, avg(b / n) mb, var_pop(b / n) vb, avg(c / n) mc, var_pop(c / n) vc, avg(e / n) me, var_pop(e / n) ve from h),
 k as (select ma, mb, mc, me, case when va > 0 then greatest(1, least(1000, ma * (1 - ma) / va - 1)) else 1000 end ka, case when vb > 0 then greatest(1, least(1000, mb * (1 - mb) / vb - 1)) else 1000 end kb,
   case when vc > 0 then greatest(1, least(1000, mc * (1 - mc) / vc - 1)) else 1000 end kc, case when ve > 0 then greatest(1, least(1000, me * (1 - me) / ve - 1)) else 1000 end ke from p),
-v as (select host, greatest((a + ma * ka) / (n + ka), (b + mb * kb) / (n + kb), (c + mc * kc) / (n + kc), (e + me * ke) / (n + ke)) > 0.5 host_failed from h, k)
-select doc_id, f.host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short or repeats base_failed, not (short or repeats) and not host_failed kept
+v as (select host, greatest((a + ma * ka) / (n + ka), (b + mb * kb) / (n + kb), (c + mc * kc) / (n + kc), (e + me * ke) / (n + ke)) > 0.5 host_failed, round((c + mc * kc) / (n + kc), 9) >= round(mc, 9) strict_symbols, round((e + me * ke) / (n + ke), 9) >= round(me, 9) strict_lines from h, k)
+select doc_id, f.host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short or repeats base_failed, not (short or repeats) and not host_failed and not (strict_symbols and symbols) and not (strict_lines and lines) kept
 from f join v on f.host is not distinct from v.host
 """

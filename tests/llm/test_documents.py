@@ -157,6 +157,17 @@ def test_spans_point_into_the_original(spark):
     assert kept.columns == docs.columns and kept.count() == 1
 
 
+def test_a_hosts_rate_decides_on_its_odd_documents(spark):
+    clean, odd = "word " * 30, "a#$% b*&| " * 20
+    rows = [(i, odd if i % 10 == 0 else clean, "bad") for i in range(200)] + [(i, odd if i == 500 else clean, "good") for i in range(300, 700)] + [(i, clean, None) for i in range(800, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    verdicts = {r.host: r for r in quality.host_verdicts(quality.measure(docs)).collect()}
+    assert verdicts["bad"].strict_symbols and not verdicts["good"].strict_symbols and not verdicts["bad"].host_failed
+    gone = {r.doc_id for r in quality.judge(docs).filter("not kept").collect()}
+    assert gone == {i for i in range(0, 200, 10)}
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {r[0] for r in rows} - gone
+
+
 # ------------------------------------------------------------------ pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{}</style><script>var t="</p><p>x";</script></head><body class="layout">
@@ -179,6 +190,40 @@ def test_main_text(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+AROUND = '<html><body><header>Site</header><nav><a href="/">Home</a></nav>%s<footer>End of site</footer></body></html>'
+STORY = "<p>The story begins here and has a long first part.</p><p>It goes on, and ends.</p>"
+TOLD = "The story begins here and has a long first part. It goes on, and ends."
+KEPT = {
+    '<div class="content has-sidebar"><article>%s</article></div>': TOLD,
+    '<div class="layout sidebar-right"><div class="text">%s</div></div>': TOLD,
+    '<div class="layout sidebar-right"><article>%s</article><div class="sidebar"><article><p>Read also</p></article></div></div>': TOLD,
+    '<form id="aspnetForm"><article>%s</article></form>': TOLD,
+    '<form id="aspnetForm"><div class="text">%s</div></form>': TOLD,
+    '<article>%s<pre>x = 1 <span class="hljs-comment"># one</span> <span class="comment">two</span></pre></article>': TOLD + " x = 1 # one two",
+    '<article>%s<p class="related">Related to this is that.</p></article>': TOLD + " Related to this is that.",
+    '<main>%s<div class="cookie-recipe"><p>Take some flour.</p></div></main>': TOLD + " Take some flour.",
+    '<article>%s<p>A <span class="notice">noticed</span> word</p></article>': TOLD + " A noticed word",
+}
+OUT = [
+    '<p class="related"><a href="/b">Read this next</a></p>', '<div class="cookie-notice"><p>We use cookies</p></div>', '<p class="ad">Buy this</p>', '<span class="ad">Buy this</span>', '<div class="related"><article><p>Other</p></article></div>',
+    '<form><label>Name</label> <input></form>', '<aside><p>Aside</p></aside>', '<div class="social-share"><a href="/x">Share</a></div>', '<div id="comments"><article><p>' + "I have read it and liked it. " * 20 + "</p></article></div>",
+]
+
+
+@pytest.mark.parametrize("page", KEPT)
+def test_marks_lose_no_article(spark, page):
+    whole = AROUND % page.replace("%s", STORY)
+    assert html_text.Page(whole).text(None) == KEPT[page]
+    rows = spark.createDataFrame([(i, "http://h/x", whole) for i in range(3)], "page_id long, url string, html string")
+    assert [r.text for r in html_text.extract_text(rows).collect()] == [KEPT[page]] * 3
+
+
+@pytest.mark.parametrize("part", OUT)
+@pytest.mark.parametrize("holder", ["article", "main", 'div class="post"'])
+def test_marks_of_parts_that_are_out(part, holder):
+    assert html_text.Page(AROUND % f"<{holder}>{STORY}{part}</{holder.split()[0]}>").text(None) == TOLD
+
+
 def test_the_host_decides(spark):
     usual = '<body><div class="story s%d"><p>' + "text of the story goes on and on here " * 4 + '</p></div><div class="other"><p>short</p></div></body>'
     odd = '<body><div class="story s77"><p>brief story</p></div><div class="other"><p>' + "much longer text that is no part of the story " * 5 + "</p></div></body>"
