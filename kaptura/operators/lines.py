@@ -264,53 +264,64 @@ def transition(words: Sequence[Word]) -> bool:
     return bool(words) and len(line) <= 12 and all(w.text in lex.DISCOURSE_MARKERS or w.trails for w in words)
 
 
+def moved(words: Sequence[Word], lo: int, cut: int, hi: int) -> int:
+    """Where the cut between the lines [lo, cut) and [cut, hi) belongs, a word or two to a side."""
+    if words[cut - 1].trails and cut - lo > 1 and not transition(words[lo:cut]):
+        cut -= 1
+    if cut - lo > 1 and words[cut - 1].open:
+        cut -= 1
+    if hi - cut > 1 and words[cut].bound:
+        cut += 1
+    return cut
+
+
 def shifted(words: Sequence[Word], cuts: list[int]) -> list[int]:
     """Each cut moved so that no connector or open word ends a line and no bound one begins it."""
     cuts = list(cuts)
     for n in range(1, len(cuts) - 1):
         lo, cut, hi = cuts[n - 1], cuts[n], cuts[n + 1]
-        if cut == lo or cut == hi:
-            continue
-        if words[cut - 1].trails and cut - lo > 1 and not transition(words[lo:cut]):
-            cut -= 1
-        if cut - lo > 1 and words[cut - 1].open:
-            cut -= 1
-        if hi - cut > 1 and words[cut].bound:
-            cut += 1
-        cuts[n] = cut
+        if lo < cut < hi:
+            cuts[n] = moved(words, lo, cut, hi)
     return sorted(set(cuts))
 
 
+CARRY, JOIN, KEEP = "carry", "join", "keep"
+
+
+def fate(words: Sequence[Word], before: int | None, lo: int, hi: int, beyond: int | None, style: Style) -> str:
+    """What becomes of the line [lo, hi): carried on to the next, which ends at ``beyond``, joined to the
+    one that begins at ``before``, or kept."""
+    line = words[lo:hi]
+    shown = printed(line)
+    columns = width(shown)
+    if beyond is not None and (len(line) == 1 and (line[0].open or line[0].bound) or transition(line)):
+        return CARRY
+    if before is not None:
+        prev = words[before:lo]
+        both = width(printed(prev)) + columns
+        pause, lasts = line[0].start - prev[-1].end, line[-1].end - prev[0].start
+        if shown.strip("？?！!，,。.") in lex.TAG_QUESTIONS and both <= style.widest + 6 and lasts <= style.longest and pause < 0.8:
+            return JOIN
+    if beyond is not None and len(shown) <= 2:
+        follows = words[hi:beyond]
+        if follows[0].start - line[-1].end < style.long_pause and width(printed(follows)) <= style.widest - 4:
+            return CARRY
+    if before is not None:
+        short = [c <= 14 and not w.sentence_end for c, w in ((both - columns, prev[-1]), (columns, line[-1]))]
+        if any(short) and not line[0].leads and not line[-1].trails and pause < style.long_pause and both <= style.widest and lasts <= style.longest:
+            return JOIN
+    return KEEP
+
+
 def merged(words: Sequence[Word], cuts: list[int], style: Style = Style()) -> list[int]:  # noqa: B008
     """Cuts left when fragments have joined the line before or behind them."""
-    kept, lo = [0], 0  # the line [lo, hi) is judged; kept ends with where it begins
-    for n in range(1, len(cuts)):
-        hi = cuts[n]
-        line = words[lo:hi]
-        shown = printed(line)
-        columns = width(shown)
-        more = n + 1 < len(cuts)
-        if more:
-            if len(line) == 1 and (line[0].open or line[0].bound) or transition(line):
-                continue
-        if len(kept) > 1:
-            prev = words[kept[-2] : lo]
-            both = width(printed(prev)) + columns
-            pause, lasts = line[0].start - prev[-1].end, line[-1].end - prev[0].start
-            if shown.strip("？?！!，,。.") in lex.TAG_QUESTIONS and both <= style.widest + 6 and lasts <= style.longest and pause < 0.8:
-                kept[-1] = lo = hi
-                continue
-        if more and len(shown) <= 2:
-            follows = words[hi : cuts[n + 1]]
-            if follows[0].start - line[-1].end < style.long_pause and width(printed(follows)) <= style.widest - 4:
-                continue
-        if len(kept) > 1:
-            short = [c <= 14 and not w.sentence_end for c, w in ((both - columns, prev[-1]), (columns, line[-1]))]
-            if any(short) and not line[0].leads and not line[-1].trails and pause < style.long_pause and both <= style.widest and lasts <= style.longest:
-                kept[-1] = lo = hi
-                continue
-        kept.append(hi)
-        lo = hi
+    kept = [0]  # ends with where the line begins that is judged
+    for hi, beyond in zip(cuts[1:], [*cuts[2:], None], strict=False):
+        what = fate(words, kept[-2] if len(kept) > 1 else None, kept[-1], hi, beyond, style)
+        if what == JOIN:
+            kept[-1] = hi
+        elif what == KEEP:
+            kept.append(hi)
     return kept
 
 
@@ -322,30 +333,45 @@ def segment(words: Sequence[Word], style: Style = Style()) -> list[Sequence[Word
 # ---------------------------------------------------------------------------- timing
 
 
+def displayed(line: Sequence[Word]) -> tuple[float, float, str] | None:
+    """Start, end and text of a line; None if nothing of it is shown."""
+    text = printed(line)
+    return (line[0].start, line[-1].end if line[-1].end > line[0].start else line[0].start + 0.1, text) if text else None
+
+
+def placed(last: list | None, shown: tuple[float, float, str], follows: float, style: Style) -> list:
+    """Start, stop and text of a line before one that begins at ``follows``; may cut ``last``, the one before it."""
+    start, end, text = shown
+    reading = max(style.least_shown, width(text) / style.per_second)
+    stop = min(max(end + style.tail, start + reading), start + style.most_shown)
+    if follows > start + 0.1:
+        stop = min(stop, follows - style.gap)
+    if stop <= start:
+        stop = start + style.least_shown
+    if last and start < last[1] + style.gap:
+        last[1] = max(last[0] + 0.5, start - style.gap)
+        if start < last[1]:
+            start = last[1] + style.gap
+            stop = stop if stop > start else start + 0.5
+    if stop <= start:
+        stop = start + style.least_shown
+    return [round(start, 3), round(stop, 3), text]
+
+
+FAR = 3600.0
+
+
 def timed(lines: Sequence[Sequence[Word]], style: Style = Style()) -> list[tuple[float, float, str]]:  # noqa: B008
     """Lines with times: long enough to read, not beyond what follows, no overlaps.
 
     A line begins with its first word. If it begins before the one before it ends, that one is
     cut to half a second at least, and only what then still overlaps moves the line itself.
     """
-    shown = [(line[0].start, line[-1].end if line[-1].end > line[0].start else line[0].start + 0.1, text) for line in lines if (text := printed(line))]
+    shown = [s for line in lines if (s := displayed(line))]
     out: list[list] = []
-    for n, (start, end, text) in enumerate(shown):
-        follows = shown[n + 1][0] if n + 1 < len(shown) else start + 3600.0
-        reading = max(style.least_shown, width(text) / style.per_second)
-        stop = min(max(end + style.tail, start + reading), start + style.most_shown)
-        if follows > start + 0.1:
-            stop = min(stop, follows - style.gap)
-        if stop <= start:
-            stop = start + style.least_shown
-        if out and start < out[-1][1] + style.gap:
-            out[-1][1] = max(out[-1][0] + 0.5, start - style.gap)
-            if start < out[-1][1]:
-                start = out[-1][1] + style.gap
-                stop = stop if stop > start else start + 0.5
-        if stop <= start:
-            stop = start + style.least_shown
-        out.append([round(start, 3), round(stop, 3), text])
+    for n, line in enumerate(shown):
+        follows = shown[n + 1][0] if n + 1 < len(shown) else line[0] + FAR
+        out.append(placed(out[-1] if out else None, line, follows, style))
     return [(a, round(b, 3), t) for a, b, t in out]
 
 

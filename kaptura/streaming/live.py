@@ -1,26 +1,37 @@
 """Progress and captions as streams.
 
 Progress: snapshots keyed by file; each batch keeps the newest of a file and upserts it, so a
-batch that runs again changes nothing. Captions: tokens by document in a keyed state; lines are
-given out as they become final, with two lines held back for what may still move between them.
+batch that runs again changes nothing. Captions: lines are given out as they become final, from a
+keyed state that holds what may still change and doesn't grow with the document.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from kaptura.operators import lines as ln
+from kaptura.operators.lines import Word
+from kaptura.operators.resume import Resumable
 
-HELD = 2
-LINES = "doc_id long, id int, start_time double, end_time double, text string"
-STATE = "words binary, given int"
+KINDS = {"boolean": BooleanType(), "double": DoubleType(), "int": IntegerType(), "long": LongType(), "string": StringType()}
+
+
+def fields(ddl: str) -> StructType:
+    """A schema that needs no session: workers read it, too."""
+    return StructType([StructField(name, KINDS[kind]) for name, kind in (f.split() for f in ddl.split(","))])
+
+
+LINES = fields("doc_id long, id int, start_time double, end_time double, text string")
+PLACE = fields("ended double, at_sentence boolean, base int, line int, columns int, cut int, moved int, end int, before int, start int, given int, next int")
+WORDS = fields("kind string, text string, start double, end double, sentence_end boolean, clause_end boolean")
+WAITING = fields("kind string, start double, end double, text string")
+EARLY = fields("pos int, text string, start double, end double, sentence_end boolean, last boolean")
 
 
 def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -61,30 +72,85 @@ def snapshot_then_updates(snapshot: DataFrame, path: str) -> DataFrame:
     return snapshot.unionByName(snapshot.sparkSession.read.parquet(path)).distinct()
 
 
-def live_captions(tokens: DataFrame, tokenizer: Callable[[str], list[str]] | None = None) -> DataFrame:
-    """Final lines of a stream of tokens (doc_id, pos, text, start, end, sentence_end, last).
-
-    A document is over when a token with ``last`` has come; then all its lines are given out.
-    """
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, given = (pickle.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)  # noqa: S301  own state
-        over = False
-        for p in parts:
-            held += list(p.sort_values("pos")[["pos", "text", "start", "end", "sentence_end"]].itertuples(index=False, name=None))
-            over |= bool(p["last"].any())
-        held.sort(key=lambda t: t[0])
-        tokens_ = [{"text": t, "start": a, "end": b, "jump": False, "sentence_end": bool(s), "clause_end": False} for _, t, a, b, s in held]
-        timed = ln.timed(ln.segment(ln.words_of(tokens_, tokenizer)))
-        final = timed if over else timed[:-HELD]
-        rows = [(key[0], i, a, b, t) for i, (a, b, t) in enumerate(final, 1) if i > given]
+class Captions(StatefulProcessor):
+    """A document's state in typed parts: where the segmentation stands, the words that a line may still
+    change, lines that wait for the next, and tokens that came before their turn. Words of some lines
+    only are kept, however long the document; a clause is kept whole where a tokenizer has to see it,
+    and a run of words that may not begin a line as long as it goes on."""
+
+    def __init__(self, tokenizer: Callable[[str], list[str]] | None = None, idle: float | None = None):
+        self.tokenizer, self.idle = tokenizer, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", PLACE)
+        self.words = handle.getListState("words", WORDS)
+        self.lines = handle.getListState("lines", WAITING)
+        self.early = handle.getListState("early", EARLY)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        told, place = self._load()
+        waiting = {t[0]: t for t in self.early.get()}
+        for part in rows:
+            part = part[["pos", "text", "start", "end", "sentence_end", "last"]]
+            for pos, text, start, end, sentence_end, last in part.itertuples(index=False, name=None):
+                if pos >= place:
+                    waiting[int(pos)] = (int(pos), text, float(start), float(end), bool(sentence_end) and sentence_end == sentence_end, bool(last) and last == last)
+        out, over = [], False
+        while not over and place in waiting:
+            _, text, start, end, sentence_end, over = waiting.pop(place)
+            out += told.token(Word(text, start, end, sentence_end), self.tokenizer) if text else ()
+            place += 1
+        yield from self._told(key, out, told, place, list(waiting.values()), over)
+        for timer in list(self.handle.listTimers()) if self.idle else ():
+            self.handle.deleteTimer(timer)
+        if self.idle and not over:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.idle * 1000))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """No token has come for so long that the document is over."""
+        told, place = self._load()
+        out = []
+        for _, text, start, end, sentence_end, _ in sorted(self.early.get()):
+            out += told.token(Word(text, start, end, sentence_end), self.tokenizer) if text else ()
+        yield from self._told(key, out, told, place, [], True)
+
+    def _load(self) -> tuple[Resumable, int]:
+        told, place = Resumable(), 0
+        if self.place.exists():
+            told.ended, told.at_sentence, told.base, told.line, told.columns, told.cut, told.moved, told.end, told.before, told.start, told.given, place = self.place.get()
+            for kind, *word in self.words.get():
+                (told.held if kind == "held" else told.words).append(Word(*word))
+            for kind, start, end, text in self.lines.get():
+                told.shown += [(start, end, text)] if kind == "shown" else []
+                told.last += [[start, end, text]] if kind == "last" else []
+        return told, place
+
+    def _told(self, key: tuple, out: list, told: Resumable, place: int, early: list, over: bool) -> Iterator[pd.DataFrame]:
         if over:
-            state.remove()
+            out += told.finish(self.tokenizer)
+            for state in (self.place, self.words, self.lines, self.early):
+                state.clear()
         else:
-            state.update((pickle.dumps(held), max(given, len(final))))
-        yield pd.DataFrame(rows, columns=["doc_id", "id", "start_time", "end_time", "text"])
+            self.place.update((told.ended, told.at_sentence, told.base, told.line, told.columns, told.cut, told.moved, told.end, told.before, told.start, told.given, place))
+            words = [(kind, w.text, w.start, w.end, w.sentence_end, w.clause_end) for kind, part in (("held", told.held), ("word", told.words)) for w in part]
+            lines = [("shown", *s) for s in told.shown] + [("last", *s) for s in told.last]
+            for state, rows in ((self.words, words), (self.lines, lines), (self.early, early)):
+                state.put(rows) if rows else state.clear()
+        yield pd.DataFrame([(key[0], *line) for line in out], columns=["doc_id", "id", "start_time", "end_time", "text"])
+
 
-    return tokens.groupBy("doc_id").applyInPandasWithState(step, LINES, STATE, "append", GroupStateTimeout.NoTimeout)
+def live_captions(tokens: DataFrame, tokenizer: Callable[[str], list[str]] | None = None, idle: float | None = None) -> DataFrame:
+    """Final lines of a stream of tokens (doc_id, pos, text, start, end, sentence_end, last).
+
+    ``pos`` counts a document's tokens from 0; one that comes early waits, one that comes again is
+    passed over. A document is over with its token ``last``, or when none has come for ``idle`` seconds
+    of processing time; then its other lines are given out and its state goes. The session's state store
+    becomes RocksDB, which keyed state with timers needs.
+    """
+    tokens.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    mode = "ProcessingTime" if idle else "None"
+    return tokens.groupBy("doc_id").transformWithStateInPandas(Captions(tokenizer, idle), LINES, "Append", mode)
 
 
 def normalise_stream(lines: DataFrame, glossary_path: str, sink: Callable[[DataFrame, int], None], checkpoint: str, text: str = "text") -> StreamingQuery:

@@ -166,6 +166,92 @@ def test_live_captions_are_those_of_a_batch(spark, tmp_path):
         assert [r.text for r in got] == [t for _, _, t in want]
 
 
+TOKEN_ROWS = "doc_id long, pos int, text string, start double, end double, sentence_end boolean, last boolean"
+
+
+def long_document(rng, doc, n):
+    """Rows of a document of n tokens, some of them cut off, bound, or letters one by one."""
+    pool = ["a", "b", "word", "longerword", "Hi.", "的", "了", "然后", "但是", "对吧", "在", "关于", "好", "网络", "x" * 30]
+    at, rows = 0.0, []
+    for i in range(n):
+        at = round(at + rng.choice([0, 0.02, 0.1, 0.2, 0.3, 0.5, 1.0]), 3)
+        end = round(at + rng.choice([0.1, 0.3, 0.8]), 3)
+        rows.append((doc, i, rng.choice(pool), at, end, rng.random() < 0.1, i == n - 1))
+        at = end
+    return rows
+
+
+def batch_lines(rows):
+    from kaptura.operators import lines as ln
+
+    tokens = [{"text": t, "start": a, "end": b, "jump": False, "sentence_end": s, "clause_end": False} for _, _, t, a, b, s, _ in rows]
+    return [(i, a, b, t) for i, (a, b, t) in enumerate(ln.timed(ln.segment(ln.words_of(tokens))), 1)]
+
+
+def test_resumed_lines_are_those_of_the_whole():
+    import random
+
+    from kaptura.operators import lines as ln
+    from kaptura.operators import resume
+
+    in_twos = lambda text: [text[i : i + 2] for i in range(0, len(text), 2)]
+    for seed in range(200):
+        rows = long_document(random.Random(seed), 1, seed if seed < 199 else 5000)
+        tokens = [{"text": t, "start": a, "end": b, "jump": False, "sentence_end": s, "clause_end": False} for _, _, t, a, b, s, _ in rows]
+        for tokenizer in (None, in_twos):
+            told, got, most = resume.Resumable(), [], 0
+            for t in tokens:
+                got += told.token(ln.Word(t["text"], t["start"], t["end"], t["sentence_end"]), tokenizer)
+                most = max(most, len(told.words) + len(told.held))
+            got += told.finish(tokenizer)
+            assert got == [(i, a, b, x) for i, (a, b, x) in enumerate(ln.timed(ln.segment(ln.words_of(tokens, tokenizer))), 1)]
+            assert most < 150
+
+
+def test_live_state_stays_flat_over_a_restart(spark, tmp_path):
+    """A long document in parts, some tokens early and some twice, the query started anew half-way; the
+    state's rows don't grow."""
+    import random
+
+    rng = random.Random(3)
+    rows = long_document(rng, 1, 1200)
+    parts = [rows[i : i + 200] for i in range(0, 1200, 200)]
+    parts[1].append(parts[2].pop(50))
+    parts[3] += parts[2][10:20]
+    sizes, folder = [], str(tmp_path / "in")
+
+    def run():
+        stream = spark.readStream.schema(TOKEN_ROWS).option("maxFilesPerTrigger", 1).parquet(folder)
+        q = live.live_captions(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(300)
+        sizes.extend(p["stateOperators"][0]["numRowsTotal"] for p in map(json.loads, (x.json for x in q.recentProgress)) if p["numInputRows"])
+
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, TOKEN_ROWS).coalesce(1).write.mode("append").parquet(folder)
+        if n in (2, 5):
+            run()
+    got = sorted(tuple(r)[1:] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == batch_lines(rows)
+    assert len(sizes) == 6 and max(sizes) < 150
+
+
+def test_an_idle_document_is_over(spark, tmp_path):
+    import random
+    import time
+
+    rows = [r[:6] + (False,) for r in long_document(random.Random(5), 7, 60)]
+    spark.createDataFrame(rows, TOKEN_ROWS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(TOKEN_ROWS).parquet(str(tmp_path / "in"))
+    q = live.live_captions(stream, idle=1.0).writeStream.format("memory").queryName("idle_lines").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 120
+        while time.time() < until and spark.sql("select * from idle_lines").count() < len(batch_lines(rows)):
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert sorted(tuple(r)[1:] for r in spark.sql("select * from idle_lines").collect()) == batch_lines(rows)
+
+
 def test_progress_table(spark, tmp_path):
     schema = "file_id string, seq long, progress double, status string"
     for part in ([("f", 1, 10.0, "run"), ("g", 2, 5.0, "run")], [("f", 3, 60.0, "run"), ("f", 4, 50.0, "fix")]):
