@@ -158,7 +158,8 @@ def test_spans_point_into_the_original(spark):
 
 
 def test_a_hosts_rate_decides_on_its_odd_documents(spark):
-    clean, odd = "word " * 30, "a#$% b*&| " * 20
+    clean = " ".join(f"word{i}" for i in range(30))
+    odd = " ".join(f"a{i}#$%" for i in range(30))
     rows = [(i, odd if i % 10 == 0 else clean, "bad") for i in range(200)] + [(i, odd if i == 500 else clean, "good") for i in range(300, 700)] + [(i, clean, None) for i in range(800, 900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     verdicts = {r.host: r for r in quality.host_verdicts(quality.measure(docs)).collect()}
