@@ -147,19 +147,80 @@ def ask_batches(batches: DataFrame, provider: Provider, tries: int = 1) -> DataF
 
     @F.pandas_udf("string")
     def run(system: pd.Series, user: pd.Series) -> pd.Series:
-        def one(s: str, u: str) -> str | None:
-            for _ in range(tries):
-                try:
-                    return provider.answer(s, u)
-                except Exception:  # noqa: BLE001, S112  tried again, then left unanswered
-                    continue
-            return None
-
-        return pd.Series([one(s, u) for s, u in zip(system, user, strict=True)], dtype="object")
+        return pd.Series([_answer(provider, s, u, tries) for s, u in zip(system, user, strict=True)], dtype="object")
 
     return batches.withColumn("answer", run("system", "user"))
 
 
+def answers_logged(batches: DataFrame, provider: Provider, log: str, every: int = 10, tries: int = 1) -> DataFrame:
+    """``answer`` of each row's (system, user) by a log in the folder ``log``, which outlives the run.
+
+    A prompt is its own key. What the log holds isn't asked again; each task puts down its answers after
+    ``every`` of them, as a file that appears whole, so a run that is killed has lost that many a task at
+    most, and the next one asks for the rest. A prompt that stands in several rows is asked once. Between
+    two prompts a task looks for the mark that ``stop_asking`` sets, and ends with what it has put down;
+    prompts that weren't asked, or failed every try, have a null answer and no place in the log.
+    """
+    spark = batches.sparkSession
+    keyed = batches.withColumn("_prompt", F.sha2(F.concat_ws("\x00", "system", "user"), 256))
+    files, root = filesystem(log)
+    files.create_dir(f"{root}/answers", recursive=True)
+    known = lambda: spark.read.schema("prompt string, answer string").parquet(f"{log}/answers")
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = filesystem(log)
+        held: list[tuple[str, str]] = []
+        asked = 0
+
+        def put_down() -> None:
+            if held:
+                name = uuid.uuid4().hex
+                with fs.open_output_stream(f"{top}/_{name}") as out:
+                    pq.write_table(pa.table([pa.array(c) for c in zip(*held, strict=True)], names=["prompt", "answer"]), out)
+                fs.move(f"{top}/_{name}", f"{top}/answers/{name}.parquet")
+                held.clear()
+
+        for batch in rows:
+            for row in batch.to_pylist():
+                if fs.get_file_info(f"{top}/stop").type:
+                    break
+                answer = _answer(provider, row["system"], row["user"], tries)
+                asked += 1
+                if answer is not None:
+                    held.append((row["_prompt"], answer))
+                if len(held) >= every:
+                    put_down()
+        put_down()
+        yield pa.RecordBatch.from_arrays([pa.array([asked], pa.int64())], names=["asked"])
+
+    todo = keyed.select("_prompt", "system", "user").dropDuplicates(["_prompt"]).join(known().select(F.col("prompt").alias("_prompt")), "_prompt", "left_anti")
+    todo.mapInArrow(run, "asked long").agg(F.sum("asked")).collect()
+    answers = known().groupBy(F.col("prompt").alias("_prompt")).agg(F.min("answer").alias("answer"))
+    return keyed.join(answers, "_prompt", "left").drop("_prompt")
+
+
+def stop_asking(log: str) -> None:
+    """Tasks that ask for ``log`` end before their next prompt; ``ask_again`` takes the mark away."""
+    files, root = filesystem(log)
+    files.create_dir(root, recursive=True)
+    files.open_output_stream(f"{root}/stop").close()
+
+
+def ask_again(log: str) -> None:
+    files, root = filesystem(log)
+    if files.get_file_info(f"{root}/stop").type:
+        files.delete_file(f"{root}/stop")
+
+
+def _answer(provider: Provider, system: str, user: str, tries: int) -> str | None:
+    for _ in range(tries):
+        try:
+            return provider.answer(system, user)
+        except Exception:  # noqa: BLE001, S112  tried again, then left unanswered
+            continue
+    return None
+
+
 @dataclass
 class Corrected:
     lines: DataFrame
@@ -167,18 +228,19 @@ class Corrected:
     fresh: DataFrame
 
 
-def correct_lines(lines: DataFrame, provider: Provider, cache: DataFrame | None = None, profiles: DataFrame | None = None, variant: str = "service", store=None, at_once: int | None = None, compat: bool = False, tries: int = 2) -> Corrected:
+def correct_lines(lines: DataFrame, provider: Provider, cache: DataFrame | None = None, profiles: DataFrame | None = None, variant: str = "service", store=None, at_once: int | None = None, compat: bool = False, tries: int = 2, log: str | None = None) -> Corrected:
     """Every line with ``corrected``, ``accepted``, ``reason`` and ``source``; the grown cache.
 
     Cached candidates are judged again. Lines without one go to the provider in batches; answers
-    are written down by ``store`` (a function of a DataFrame, the identity if None) before they
-    are used, so no provider is asked twice for one answer. A rejected candidate is cached as it
+    are written down by ``store`` (a function of a DataFrame; a scratch table if None) before they
+    are used, so no provider is asked twice for one answer; with ``log``, a folder, they go to a log
+    that a run which is killed or stopped leaves to the next one (``answers_logged``). A rejected candidate is cached as it
     came, a line without answer isn't. ``at_once`` bounds how many tasks ask at the same time,
     ``tries`` how often a batch is asked until the provider doesn't fail. A text with line breaks
     is asked about as one line.
     """
     spark = lines.sparkSession
-    store = store or (lambda df: df)
+    store = store or (lambda df: written(df, "answers"))
     cache = cache if cache is not None else spark.createDataFrame([], CACHE)
     known = profiles if profiles is not None else lines.select("doc_id").distinct().withColumn("profile", F.lit(None).cast(PROFILE))
     todo = batched(uncached(lines, cache))
@@ -186,7 +248,10 @@ def correct_lines(lines: DataFrame, provider: Provider, cache: DataFrame | None
     batches = todo.groupBy("doc_id", "batch").agg(prompt.alias("user")).join(known, "doc_id", "left").withColumn("system", system_prompt(F.col("profile")))
     if at_once:
         batches = batches.repartition(at_once)
-    answers = store(ask_batches(batches, provider, tries).select("doc_id", "batch", "answer"))
+    if log:
+        answers = answers_logged(batches, provider, log, tries=tries).select("doc_id", "batch", "answer")
+    else:
+        answers = store(ask_batches(batches, provider, tries).select("doc_id", "batch", "answer"))
     numbered = todo.select("doc_id", "id", "text")
     fresh = answered_lines(answers, numbered)
     new = fresh.join(numbered, ["doc_id", "id"]).select("doc_id", "id", "text", "candidate")

@@ -41,3 +41,10 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     path = scratch(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def filesystem(path: str):
+    """(filesystem, root) of a folder that every executor can reach, for what tasks write themselves."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)

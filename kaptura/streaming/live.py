@@ -40,18 +40,22 @@ def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max("progress").alias("progress"), F.max_by(F.struct(*others), order).alias("s")).select(key, "progress", "s.*").select(*rows.columns)
 
 
-def publish(progress: DataFrame, path: str, checkpoint: str, key: str = "file_id", order: str = "seq", every: str | None = None) -> StreamingQuery:
-    """Keep a table of the newest snapshots under ``path``, one version for each batch."""
+def publish(progress: DataFrame, path: str, checkpoint: str, key: str = "file_id", order: str = "seq", every: str | None = None, kept: int = 100) -> StreamingQuery:
+    """Keep a table of the newest snapshots under ``path``: a version for each batch, and beside it, in
+    ``changes``, the rows that it has changed. The last ``kept`` versions stay for those who subscribe."""
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old = f"{path}/v{number - 1}"
         rows = batch
         if number and _exists(spark, old):
-            rows = batch.unionByName(spark.read.parquet(old))
+            rows = batch.unionByName(spark.read.schema(batch.schema).parquet(old))
         newest(rows, key, order).write.mode("overwrite").parquet(f"{path}/v{number}")
-        if number > 1:  # a batch that runs again needs the version before it, no older one
-            _remove(spark, f"{path}/v{number - 2}")
+        now = spark.read.schema(batch.schema).parquet(f"{path}/v{number}")
+        changed = now.join(batch.select(key).distinct().withColumnRenamed(key, "_changed"), F.col(key).eqNullSafe(F.col("_changed")), "left_semi")
+        changed.write.mode("overwrite").parquet(f"{path}/changes/v{number}")  # last: with it the version is there
+        if number > kept:
+            _remove(spark, f"{path}/v{number - kept - 1}")
 
     writer = progress.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
@@ -67,11 +71,6 @@ def _remove(spark, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def snapshot_then_updates(snapshot: DataFrame, path: str) -> DataFrame:
-    """What a subscriber sees: the table as it stands, with what has come since."""
-    return snapshot.unionByName(snapshot.sparkSession.read.parquet(path)).distinct()
-
-
 class Captions(StatefulProcessor):
     """A document's state in typed parts: where the segmentation stands, the words that a line may still
     change, lines that wait for the next, and tokens that came before their turn. Words of some lines

@@ -259,11 +259,64 @@ def test_progress_table(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = live.publish(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
-    last = sorted(p.name for p in (tmp_path / "out").iterdir())[-1]
+    last = sorted(p.name for p in (tmp_path / "out").glob("v*"))[-1]
     got = {r.file_id: (r.seq, r.progress, r.status) for r in spark.read.parquet(str(tmp_path / "out" / last)).collect()}
     assert got == {"f": (4, 60.0, "fix"), "g": (2, 5.0, "run")}
-    snapshot = spark.createDataFrame([("h", 0, 1.0, "run")], schema)
-    assert live.snapshot_then_updates(snapshot, str(tmp_path / "out" / last)).count() == 3
+
+
+def test_subscribers_see_the_snapshot_and_every_change_once(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from kaptura.streaming import progress
+
+    schema = "file_id string, seq long, progress double, status string"
+    source, out, seen = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "seen")
+
+    def published(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+        live.publish(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "cp")).awaitTermination(120)
+
+    def read():
+        stream = progress.subscribed(spark, out, StructType.fromDDL(schema))
+        stream.writeStream.format("parquet").option("path", seen).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination(120)
+        return sorted((tuple(r)[:3] for r in spark.read.schema(schema).parquet(seen).collect()), key=str)
+
+    published(("f", 1, 10.0, "run"), ("g", 2, 5.0, "run"))
+    published(("f", 3, 20.0, "run"), ("f", 4, 30.0, "run"))
+    first = read()
+    assert first == [("f", 4, 30.0), ("g", 2, 5.0)]
+    assert read() == first
+    published(("g", 5, 50.0, "run"))
+    published(("f", 6, 25.0, "fix"), (None, 7, 1.0, "run"))
+    assert sorted(map(str, read())) == sorted(map(str, [*first, ("g", 5, 50.0), ("f", 6, 30.0), (None, 7, 1.0)]))
+
+
+def test_a_files_snapshots_are_throttled(spark, tmp_path):
+    import time
+
+    from kaptura.streaming import progress
+
+    schema, source = "file_id string, seq long, progress double, done boolean", str(tmp_path / "in")
+    put = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+    put(("f", 1, 1.0, False), ("f", 2, 2.0, False), ("g", 1, 1.0, False))
+    q = progress.throttled(spark.readStream.schema(schema).parquet(source), every=6.0).writeStream.format("memory").queryName("throttled").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+
+    def until(condition):
+        end = time.time() + 120
+        while time.time() < end:
+            got = sorted(tuple(r)[:2] for r in spark.sql("select * from throttled").collect())
+            if condition(got):
+                return got
+            time.sleep(0.3)
+        raise AssertionError(got)
+
+    try:
+        until(lambda got: got == [("f", 2), ("g", 1)])
+        put(("f", 3, 3.0, False), ("f", 4, 4.0, False), ("g", 2, 9.0, True))
+        got = until(lambda got: ("g", 2) in got)  # the last is sent at once
+        until(lambda got: got == [("f", 2), ("f", 4), ("g", 1), ("g", 2)])  # the newest once the time is over
+    finally:
+        q.stop()
 
 
 def test_glossary_of_each_batch(spark, tmp_path):
