@@ -8,16 +8,20 @@ A line's number, times and place never change.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kaptura.functions import text as tx
 from kaptura.operators.guard import verified
+from kaptura.session import filesystem, written
 
 BATCH = 25
 PROFILE = "struct<domain:string,topic:string,jargon_list:array<string>,confusion_rules:map<string,string>,style_notes:string>"
@@ -278,6 +282,13 @@ def correction_summary(corrected: DataFrame) -> DataFrame:
     return corrected.groupBy("doc_id").agg(F.count("*").alias("n_lines"), made.alias("corrections"), hits.alias("cache_hits"), F.round(hits / F.count("*"), 4).alias("hit_rate"))
 
 
+def summaries_and_total(corrected: DataFrame) -> DataFrame:
+    """The summary of every document and, with a null doc_id and ``is_total``, that of all, in one pass."""
+    made, hits = F.count_if(F.col("corrected") != F.col("text")), F.count_if(F.col("source") == "cache")
+    rows = corrected.rollup("doc_id").agg(F.grouping("doc_id").cast("int").alias("is_total"), F.count("*").alias("n_lines"), made.alias("corrections"), hits.alias("cache_hits"), F.round(hits / F.count("*"), 4).alias("hit_rate"))
+    return rows.select("doc_id", "is_total", "n_lines", "corrections", "cache_hits", "hit_rate")
+
+
 def read_cache_files(spark, path: str) -> DataFrame:
     """Caches as JSON objects, one file for each document, named by its number."""
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"(\d+)[^/]*$", 1).try_cast("long").alias("doc_id"), "value")

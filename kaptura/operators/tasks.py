@@ -48,9 +48,16 @@ def totals(files: DataFrame, duration: str = "duration") -> DataFrame:
     return files.agg(F.count("*").alias("n_files"), F.round(F.sum(duration), 2).alias("total_sec"), F.round(F.sum(duration) / 60, 1).alias("total_min"))
 
 
-def folders_and_totals(files: DataFrame, duration: str = "duration") -> DataFrame:
-    """Every folder's row and, with a null folder and ``is_total``, that of all, in one pass."""
-    return files.rollup("folder").agg(F.count("*").alias("n_files"), F.round(F.sum(duration), 2).alias("duration_sec"), F.grouping("folder").cast("int").alias("is_total"))
+def folders_and_totals(files: DataFrame, duration: str = "duration", segments: str | None = None) -> DataFrame:
+    """Every folder's row and, with a null folder and ``is_total``, that of all, in one pass; with
+    ``segments``, a column of numbers, their totals too."""
+    more = [F.sum(F.coalesce(segments, F.lit(0))).alias("segments_total")] if segments else []
+    return files.rollup("folder").agg(F.count("*").alias("n_files"), F.round(F.sum(duration), 2).alias("duration_sec"), *more, F.grouping("folder").cast("int").alias("is_total"))
+
+
+def task_totals(files: DataFrame, duration: str = "duration") -> DataFrame:
+    """task_id, total_files, total_audio_duration: files without a duration count as files."""
+    return files.groupBy("task_id").agg(F.count("*").alias("total_files"), F.round(F.coalesce(F.sum(duration), F.lit(0.0)), 2).alias("total_audio_duration"))
 
 
 def progress(files: DataFrame) -> DataFrame:

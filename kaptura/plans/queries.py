@@ -565,6 +565,12 @@ def correction_summary(spark, sf_dir):
     return correct.correction_summary(done.lines)
 
 
+@query(f"select doc_id, grouping(doc_id)::int is_total, count(*) n_lines, count(*) filter (corrected <> text) corrections, count(*) filter (source = 'cache') cache_hits, round(count(*) filter (source = 'cache') / count(*), 4) hit_rate from {_CORRECTED} group by rollup(doc_id)")
+def correction_totals(spark, sf_dir):
+    """The summary of each file and, last, of all."""
+    return correct.summaries_and_total(correct.correct_lines(turns(spark, sf_dir), correct.IdentityProvider(), turn_cache(spark, sf_dir)).lines)
+
+
 @query(f"select conv_id doc_id, turn::int + 1 id, candidate from (select *, case when text like '% %' then replace(text, ' ', '') || '!' end candidate from conversations)")
 def cache_fallback(spark, sf_dir):
     """Lines found by a second form of their text, here without blanks."""
@@ -618,6 +624,16 @@ def folder_totals(spark, sf_dir):
     return tasks.folders_and_totals(page_files(spark, sf_dir))
 
 
+_SEGMENTS = "len(regexp_extract_all(html, '<p[ >]'))"
+
+
+@query(f"select folder, count(*) n_files, round(sum(duration), 2)::double duration_sec, sum(n_segments)::bigint segments_total, grouping(folder)::int is_total from {_FILES} join (select page_id, {_SEGMENTS} n_segments from pages) using (page_id) group by rollup(folder)")
+def folder_segments(spark, sf_dir):
+    """Folders with the segments of their files, here the paragraphs of pages."""
+    counted = table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<p[ >]"), F.lit(0))).cast("long").alias("n_segments"))
+    return tasks.folders_and_totals(page_files(spark, sf_dir).join(counted, "page_id"), segments="n_segments")
+
+
 @query(f"select count(*) n_files, round(sum(duration), 2)::double total_sec, round(sum(duration) / 60, 1)::double total_min from {_FILES}")
 def file_totals(spark, sf_dir):
     return tasks.totals(page_files(spark, sf_dir))
@@ -648,6 +664,13 @@ def task_progress(spark, sf_dir):
     return tasks.progress(task_files(spark, sf_dir))
 
 
+@query(f"select task_id, count(*) total_files, round(coalesce(sum(case when event_id % 3 > 0 then processed end), 0), 2)::double total_audio_duration from {_TASKS} group by task_id")
+def task_totals(spark, sf_dir):
+    """Files and their length by task; a third of the files has no length."""
+    files = task_files(spark, sf_dir).withColumn("duration", F.when(F.col("event_id") % 3 > 0, F.col("processed")))
+    return tasks.task_totals(files)
+
+
 @query(f"select task_id, round(sum(processed) / nullif(max(elapsed), 0), 2)::double rtf from {_TASKS} group by task_id")
 def task_rtf(spark, sf_dir):
     return tasks.real_time_factor(task_files(spark, sf_dir))
