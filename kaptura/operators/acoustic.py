@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import itertools
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -102,14 +102,13 @@ def letter_runs(tokens: DataFrame, key: list[str], order: str) -> DataFrame:
 QUIET_WINDOW, QUIET_HOP, CUT_SLACK, FROM_LAST_CUT, FROM_END = 0.2, 0.05, 3.0, 60.0, 1.0
 
 
-def quiet_place(level: np.ndarray, first: float, last: float, rate: int) -> float | None:
-    """Middle of the first of the quietest windows between two times; None if none fits."""
+def quiet_place(heard: np.ndarray, rate: int) -> float | None:
+    """Seconds to the middle of the first of the quietest windows; None if none fits."""
     width, hop = int(QUIET_WINDOW * rate), int(QUIET_HOP * rate)
-    heard = level[int(first * rate) : int(last * rate)]
     if not hop or len(heard) < width + hop:
         return None
     means = np.lib.stride_tricks.sliding_window_view(heard, width)[: len(heard) - width - (len(heard) - width) % hop : hop].mean(axis=1)
-    return first + (int(means.argmin()) * hop + width / 2) / rate
+    return (int(means.argmin()) * hop + width / 2) / rate
 
 
 def quiet_places(media: DataFrame, samples: str, rate: int) -> DataFrame:
@@ -117,28 +116,36 @@ def quiet_places(media: DataFrame, samples: str, rate: int) -> DataFrame:
 
     def find(wave: Sequence[float] | None) -> float | None:
         level = np.abs(np.asarray(wave if wave is not None else [], np.float32))
-        return quiet_place(level, 0.0, len(level) / rate, rate)
+        return quiet_place(level, rate)
 
     return map_documents(media, [samples], "quiet", T.DoubleType(), find, [c for c in media.columns if c != samples]).drop("quiet_error")
 
 
-def _cut_times(total: float, level: np.ndarray | None, rate: int, longest: float) -> Iterator[float]:
+def _cut_times(total: float, hear: Callable[[float, float], np.ndarray] | None, rate: int, longest: float) -> Iterator[float]:
     last = 0.0
     while (due := last + longest) < total:
-        span = max(last + FROM_LAST_CUT, due - CUT_SLACK), min(total - FROM_END, due + CUT_SLACK)
-        quiet = quiet_place(level, *span, rate) if level is not None and span[0] < span[1] else None
-        last = due if quiet is None else quiet
+        a, b = max(last + FROM_LAST_CUT, due - CUT_SLACK), min(total - FROM_END, due + CUT_SLACK)
+        quiet = quiet_place(hear(a, b), rate) if hear and a < b else None
+        last = due if quiet is None else a + quiet
         yield last
 
 
-def chunk_bounds(total: float, samples: Sequence[float] | None = None, rate: int = 16_000, longest: float = 300.0) -> list[tuple[float, float]]:
-    """Chunks of about ``longest`` seconds at most; with samples, each cut lies in a quiet place."""
-    level = np.abs(np.asarray(samples, np.float32)) if samples is not None and rate > 0 else None
-    cuts = [round(c, 2) for c in _cut_times(total, level, rate, longest)]
+def cuts_into_chunks(total: float, hear: Callable[[float, float], np.ndarray] | None, rate: int, longest: float = 300.0) -> list[tuple[float, float]]:
+    """Chunks of about ``longest`` seconds at most; ``hear`` gives the levels between two times and is
+    asked for what lies around the cuts only, so that each lies in a quiet place."""
+    cuts = [round(c, 2) for c in _cut_times(total, hear, rate, longest)]
     edges = [0.0, *cuts, round(total, 2) if cuts else total]
     return [pair for pair in itertools.pairwise(edges) if not cuts or pair[0] < pair[1]]
 
 
+def chunk_bounds(total: float, samples: Sequence[float] | None = None, rate: int = 16_000, longest: float = 300.0) -> list[tuple[float, float]]:
+    """Chunks of a sound whose samples are at hand, or of one of which only the length is known."""
+    if samples is None or rate <= 0:
+        return cuts_into_chunks(total, None, rate, longest)
+    level = np.abs(np.asarray(samples, np.float32))
+    return cuts_into_chunks(total, lambda a, b: level[int(a * rate) : int(b * rate)], rate, longest)
+
+
 def chunks(media: DataFrame, duration: str = "duration", samples: str | None = None, rate: int = 16_000) -> DataFrame:
     """One row for each chunk of each row of ``media``: chunk, chunk_start, chunk_end."""
     kind = T.ArrayType(T.StructType([T.StructField("chunk_start", T.DoubleType()), T.StructField("chunk_end", T.DoubleType())]))

@@ -12,7 +12,7 @@ from kaptura.functions.spoken import Glossary, normalised
 from kaptura.operators import acoustic, classic, correct, lines
 from kaptura.plans.captions import caption_rows
 from kaptura.sources import recogniser as rec
-from kaptura.sources import sinks, srt, transcripts
+from kaptura.sources import sinks, srt, transcripts, wave
 
 
 @dataclass
@@ -77,14 +77,15 @@ def correct_srt(files: DataFrame, provider: correct.Provider, cache: DataFrame |
     return Job(final, written, done.cache)
 
 
-def transcribe(media: DataFrame, decoder: rec.Decoder, recogniser: rec.Recogniser, language: str | None = None, longest: float = classic.LONGEST, pause: float = classic.PAUSE, at_once: int | None = None) -> DataFrame:
+def transcribe(media: DataFrame, decoder: rec.Decoder | None, recogniser: rec.Recogniser, language: str | None = None, longest: float = classic.LONGEST, pause: float = classic.PAUSE, at_once: int | None = None) -> DataFrame:
     """Media (doc_id, path, duration) to documents: full_text, tokens, lines of all chunks.
 
-    Chunks of a file are recognised on their own, their times moved to the file's, and their
+    Without a decoder the files are WAV: they are cut at quiet places, and nobody needs to know their
+    length; with one, chunks of the length that ``duration`` leaves. Chunks of a file are recognised on their own, their times moved to the file's, and their
     lines finished together.
     """
-    cuts = acoustic.chunks(media)
-    heard = rec.recognised(rec.chunk_samples(cuts, decoder), recogniser, language, at_once)
+    sound = rec.chunk_samples(acoustic.chunks(media), decoder) if decoder else wave.heard(wave.planned(media))
+    heard = rec.recognised(sound, recogniser, language, at_once)
     at = F.col("chunk_start")
     moved = F.transform("result.tokens", lambda t: F.struct(t["text"].alias("text"), F.round(t["start"] + at, 3).alias("start"), F.round(F.greatest(t["end"], t["start"] + 0.05) + at, 3).alias("end")))
     each = heard.select("doc_id", "chunk", F.col("result.text").alias("full_text"), F.col("result.tokens").alias("own"), moved.alias("tokens"), "chunk_start")

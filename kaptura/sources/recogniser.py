@@ -22,8 +22,8 @@ class Probe(Protocol):
 
 
 class Decoder(Protocol):
-    def samples(self, path: str) -> list[float]:
-        """16 kHz mono samples."""
+    def samples(self, path: str, first: float, last: float) -> list[float]:
+        """16 kHz mono samples between two times; what lies outside isn't to be decoded."""
 
 
 class Recogniser(Protocol):
@@ -39,23 +39,15 @@ def probed(files: DataFrame, probe: Probe) -> DataFrame:
     return map_documents(files, ["path"], "duration", T.DoubleType(), probe.duration)
 
 
-def decoded(files: DataFrame, decoder: Decoder) -> DataFrame:
-    """``samples`` of each path. A row holds one file, so long media are cut into chunks after."""
-    return map_documents(files, ["path"], "samples", T.ArrayType(T.FloatType()), decoder.samples)
-
-
-def chunk_samples(chunks: DataFrame, decoder: Decoder, rate: int = 16_000) -> DataFrame:
-    """``samples`` of rows (path, chunk_start, chunk_end), one chunk in a row."""
-
-    def cut(path: str, start: float, end: float) -> list[float]:
-        return list(decoder.samples(path)[int(start * rate) : int(end * rate)])
-
-    return map_documents(chunks, ["path", "chunk_start", "chunk_end"], "samples", T.ArrayType(T.FloatType()), cut)
+def chunk_samples(chunks: DataFrame, decoder: Decoder) -> DataFrame:
+    """``samples`` of rows (path, chunk, chunk_start, chunk_end), one chunk in a row, a file's chunks by
+    different tasks."""
+    return map_documents(chunks.repartition("path", "chunk"), ["path", "chunk_start", "chunk_end"], "samples", T.ArrayType(T.FloatType()), decoder.samples)
 
 
 def recognised(chunks: DataFrame, recogniser: Recogniser, language: str | None = None, at_once: int | None = None) -> DataFrame:
     """``result`` of each chunk's samples; ``at_once`` bounds how many tasks ask at a time."""
-    rows = chunks.coalesce(at_once) if at_once else chunks
+    rows = chunks.repartition(at_once) if at_once else chunks  # not coalesced: reading stays as wide as it is
     return map_documents(rows, ["samples"], "result", RESULT, lambda s: recogniser.transcribe(s, language), [c for c in chunks.columns if c != "samples"])
 
 

@@ -13,7 +13,7 @@ class Sounds:
             raise OSError("gone")
         return 700.0
 
-    def samples(self, path):
+    def samples(self, path, first, last):
         return [0.1] * 1000
 
     def transcribe(self, samples, language):
