@@ -216,7 +216,7 @@ class LibraryIds:
             plain = word.isascii() and word.isprintable()
             shown = word if plain else "".join(map(self.symbols.__getitem__, word.encode()))
             got = self._pack([t.id for t in self.model.tokenize(shown)])
-            if len(self.words) < self.cache_words:
+            if len(self.words) < self.cache_words and len(word) <= LONGEST_KEPT:
                 self.words[word] = got
         return got
 
@@ -251,18 +251,23 @@ class LibraryIds:
 def write_shards(docs: DataFrame, vocabulary: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text") -> list[dict]:
     """Write ``docs`` as shards under ``folder``; returns one entry for each shard, in key order.
 
-    Rows are dealt to shards by ranges of the key before they are encoded, so only texts move.
+    Rows are dealt to shards by ranges of the key before they are encoded, so only texts move; rows of
+    one key, a null or repeated one, by their texts' hashes and, where these are equal too, by their
+    places in the input, so that they go to as many shards as they fill.
     Each attempt of a task writes a file of its own and only the finished attempt's name comes
     back, so lost executors leave no half-written shard behind a name in use.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key", "text")
+    rows = rows.withColumn("of_text", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "key", "of_text", "place")
+    ordered = dealt.sortWithinPartitions("key", "of_text", "place").select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = LibraryIds.load(vocabulary)
         end = ids._pack([end_id])
         writer = sink = first = None
-        path = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"
+        part = TaskContext.get().partitionId()
+        path = f"{folder}/shard-{part:06d}-{uuid.uuid4().hex}.sst"
         for batch in batches:
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if writer is None:
@@ -274,10 +279,10 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int, folder: str, key
         if writer is not None:
             writer.close()
             sink.close()
-            yield pa.RecordBatch.from_pydict({"path": [path], "first": [first], "n_docs": [len(writer.digests)], "n_ids": [writer.n_ids]}, schema=pa.schema([("path", pa.string()), ("first", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"path": [path], "part": [part], "first": [first], "n_docs": [len(writer.digests)], "n_ids": [writer.n_ids]}, schema=pa.schema([("path", pa.string()), ("part", pa.int64()), ("first", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    found = ordered.mapInArrow(run, "path string, first long, n_docs long, n_ids long").collect()
-    shards = sorted((r.asDict() for r in found), key=lambda r: key_of(r["first"]))
+    found = ordered.mapInArrow(run, "path string, part long, first long, n_docs long, n_ids long").collect()
+    shards = sorted((r.asDict() for r in found), key=lambda r: r["part"])  # ranges are numbered in order
     start = 0
     for s in shards:
         s["start"] = start

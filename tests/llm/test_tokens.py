@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from kaptura.llm import bpe, sstable, token_counts
+from kaptura.llm import bpe, common, sstable, token_counts
 from kaptura.llm.common import table
 
 WORDS, BYTES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -124,3 +124,17 @@ def test_shards_of_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(3, "b"), (None, "a"), (3, "a"), (-1, None)], "doc_id long, text string")
     got = sstable.token_id_table(docs, WORDS).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(None, 0, 2), (-1, 2, 1), (3, 3, 2), (3, 5, 2)]
+
+
+def test_rows_of_one_id_fill_several_shards(spark):
+    rows = spark.range(20_000, numPartitions=6).selectExpr("case when id % 10 = 0 then id when id % 3 = 0 then null else 7 end as doc_id", "case when id % 4 = 0 then concat('text ', id) else 'the same text' end as text")
+    shards = sstable.write_shards(rows, WORDS, 1, f"{common.scratch_path(spark, 'sst')}")
+    assert len(shards) == 8 and max(s["n_docs"] for s in shards) < 20_000 / 8 * 2
+    got = sstable.read_shards(spark, shards).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in rows.collect())
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
