@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kaptura.functions import spoken
 from kaptura.operators import lines, segmenter
 from kaptura.plans.captions import caption_rows
 from kaptura.plans.queries import query
@@ -86,3 +87,45 @@ def cjk_clause_words(spark, sf_dir):
 def cjk_caption_lines(spark, sf_dir):
     """Caption lines of all documents as CJK text, cut between the words found."""
     return caption_rows(lines.captioned_words(segmenter.word_arrays(clause_words(spark, sf_dir))))
+
+
+# ---------------------------------------------------------------------------- numbers and letters
+
+_DIGIT = "零一二三四五六七八九"
+#: Units of the list, one of them in other letters than there.
+_UNITS = ("微秒", "字节", "mbps", "分贝", "Hz")
+
+
+def _spoken(digits: Column, one: str = "一") -> Column:
+    return F.translate(digits, "0123456789", _DIGIT.replace("一", one))
+
+
+def _section(x: Column) -> Column:
+    """A number below 10,000 in Chinese; nothing for zero."""
+    thousands, hundreds, tens, ones = (F.floor(x / p) % 10 for p in (1000, 100, 10, 1))
+    part = lambda d, mark, gap: F.when(d > 0, F.concat(_spoken(d.cast("string")), F.lit(mark))).when(gap, "零").otherwise("")
+    return F.concat(part(thousands, "千", F.lit(False)), part(hundreds, "百", (thousands > 0) & (x % 100 > 0)), part(tens, "十", (hundreds > 0) & (ones > 0)), F.when(ones > 0, _spoken(ones.cast("string"))).otherwise(""))
+
+
+def numeral(n: Column) -> Column:
+    """A number from 1 to 99,999,999 as it is spoken."""
+    high, low = F.floor(n / 10_000), n % 10_000
+    return F.concat(F.when(high > 0, F.concat(_section(high), F.lit("万"))).otherwise(""), F.when((high > 0) & (low > 0) & (low < 1000), "零").otherwise(""), _section(low))
+
+
+_N = "(n_chars * 9973 + doc_id) % 99999999 + 1"
+
+
+@query(
+    f"""select doc_id, '延迟 ' || n || case when unit in ('mbps', 'Hz') then unit else ' ' || unit end || '，端口 ' || lpad((doc_id % 10000)::varchar, 4, '0') || ' 号，标准 802.' || doc_id % 97 || ' 协议，用 X' || chr(65 + (doc_id % 26)::int) || 'Z 传，HTTP 重点' normal,
+  'xaz, 用 b ' || chr(97 + (doc_id % 26)::int) joined
+from (select doc_id, {_N} n, {list(_UNITS)}[(doc_id % {len(_UNITS)} + 1)::int] unit from documents)"""
+)
+def spoken_numbers(spark, sf_dir):
+    """A sentence for each document, with numbers made of its fields as they are spoken, normalised."""
+    letter = F.char(F.lit(97) + F.col("doc_id") % 26)
+    unit = F.element_at(F.array(*map(F.lit, _UNITS)), (F.col("doc_id") % len(_UNITS) + 1).cast("int"))
+    port = _spoken(F.lpad((F.col("doc_id") % 10_000).cast("string"), 4, "0"), "幺")
+    said = F.concat(F.lit("延迟"), numeral(F.expr(_N)), unit, F.lit("，端口"), port, F.lit("号，标准八零二点"), _spoken((F.col("doc_id") % 97).cast("string")), F.lit("协议，用x "), letter, F.lit(" z传，h t t p*重点*"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", said.alias("said"), F.concat(F.lit("x a  z, 用 *b* "), letter).alias("letters"))
+    return rows.select("doc_id", spoken.normalised(F.col("said")).alias("normal"), spoken.letters_joined(F.col("letters")).alias("joined"))
