@@ -778,4 +778,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _others() -> None:
     """The modules whose queries join these."""
-    from kaptura.plans import audio_queries, cjk_queries, term_queries  # noqa: F401
+    from kaptura.plans import audio_queries, cjk_queries, file_queries, term_queries  # noqa: F401

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kaptura.functions import text as tx
+from kaptura.session import filesystem
 
 
 def _in_order(key: str, order: str, value: Column) -> Column:
@@ -59,9 +60,7 @@ def write_each(rows: DataFrame, name: str, value: str, folder: str, suffix: str)
     again leaves the same files."""
 
     def write(part: Iterable) -> None:
-        from pyarrow import fs
-
-        files, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        files, base = filesystem(folder)
         files.create_dir(base, recursive=True)
         for row in part:
             at = f"{base}/{row[name]}{suffix}"
