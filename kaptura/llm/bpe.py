@@ -160,8 +160,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep: list[str], text: st
     One row out for each row in, repeated rows included; null and empty texts give empty ids and
     an empty string. Columns not in ``keep`` are not read.
     """
-    kept = docs.select(*keep, docs[text].alias("_text"))
-    schema = kept.drop("_text").schema.add("ids", "binary", False).add("decoded", "string", False)
+    kept = docs.select(*keep, docs[text].alias(max([*keep, ""], key=len) + "_text"))  # a name that none of them has
+    schema = docs.select(*keep).schema.add("ids", "binary", False).add("decoded", "string", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.load(vocabulary)

@@ -205,8 +205,8 @@ def score(found: dict) -> float:
 
 def license_places(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """One row for each phrase found: ``keep``, label, start_word, start and stop in code points."""
-    kept = docs.select(*keep, docs[text].alias("_text"))
-    schema = kept.drop("_text").schema.add("label", "string").add("start_word", "long").add("start", "long").add("stop", "long")
+    kept = docs.select(*keep, docs[text].alias(max([*keep, ""], key=len) + "_text"))  # a name that none of them has
+    schema = docs.select(*keep).schema.add("label", "string").add("start_word", "long").add("start", "long").add("stop", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner.load()

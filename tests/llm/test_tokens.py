@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from kaptura.llm import bpe, common, sstable, token_counts
+from kaptura.llm import bpe, common, licenses, sstable, token_counts
 from kaptura.llm.common import table
 
 WORDS, BYTES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -138,3 +138,10 @@ def test_rows_of_one_id_fill_several_shards(spark):
         at += r.n_tokens
     ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
+def test_kept_columns_may_have_any_name(spark):
+    docs = frame(spark, ["one two", None]).selectExpr("*", "'x' as _text")
+    assert sorted((r.doc_id, r._text, len(r.ids) // 4) for r in bpe.encode_documents(docs, WORDS, ["doc_id", "_text"]).collect()) == [(0, "x", 2), (1, "x", 0)]
+    found = licenses.license_places(frame(spark, ["the MIT License"]).selectExpr("*", "'x' as _text"), ["doc_id", "_text"])
+    assert [(r._text, r.label, r.start_word) for r in found.collect()] == [("x", "mit", 1)]
