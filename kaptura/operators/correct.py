@@ -104,10 +104,13 @@ def with_cached(lines: DataFrame, cache: DataFrame, fallback: Column | None = No
     first = lines.join(cache.select("doc_id", "text", "candidate"), ["doc_id", "text"], "left")
     if fallback is None:
         return first
-    second = cache.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t"), F.col("candidate").alias("_c"))
-    keyed = first.withColumn("_key", fallback)
-    joined = keyed.join(second, (F.col("doc_id") == F.col("_d")) & (F.col("_key") == F.col("_t")), "left")
-    return joined.withColumn("candidate", F.coalesce("candidate", "_c")).drop("_key", "_d", "_t", "_c")
+    own = "_"  # before the helper columns, so often that no column of the lines begins like them
+    while any(c.startswith(own) for c in lines.columns):
+        own += "_"
+    second = cache.select(F.col("doc_id").alias(f"{own}d"), F.col("text").alias(f"{own}t"), F.col("candidate").alias(f"{own}c"))
+    keyed = first.withColumn(f"{own}key", fallback)
+    joined = keyed.join(second, (F.col("doc_id") == F.col(f"{own}d")) & (F.col(f"{own}key") == F.col(f"{own}t")), "left")
+    return joined.withColumn("candidate", F.coalesce("candidate", f"{own}c")).select(*lines.columns, "candidate")
 
 
 def uncached(lines: DataFrame, cache: DataFrame) -> DataFrame:

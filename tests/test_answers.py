@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from kaptura.operators import correct
 
@@ -74,3 +75,10 @@ def test_lines_are_corrected_by_the_log(spark, tmp_path):
         done = correct.correct_lines(lines, Told(folder), log=log)
         assert sorted(tuple(r) for r in done.lines.collect()) == want and done.cache.count() == 120
         assert calls(folder) <= n
+
+
+def test_helper_columns_clash_with_none_of_the_lines(spark):
+    lines = spark.createDataFrame([(1, 1, "a b"), (1, 2, "c")], "doc_id long, id int, text string").selectExpr("*", "'x' as _d", "'x' as _t", "'x' as _c", "'x' as __key")
+    cache = spark.createDataFrame([(1, "ab", "AB"), (1, "c", "C")], correct.CACHE)
+    found = correct.with_cached(lines, cache, F.replace("text", F.lit(" ")))
+    assert sorted((r.id, r.candidate, r._d) for r in found.collect()) == [(1, "AB", "x"), (2, "C", "x")]
