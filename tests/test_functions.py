@@ -91,6 +91,12 @@ def test_guard_with_phonetics_profile_and_variants():
     assert g.initials_alike("布", "配") and not guard.Guard().initials_alike("布", "配")
 
 
+def test_guard_counts_frequent_letters_in_long_texts():
+    text = "nnn" + "ana" * 100
+    assert guard.Guard("cli").verify("n" + text, text) == (False, "non_phonetic_change_n->")
+    assert list(guard.changes(text + "x" + text, text + "yz" + text)) == [(303, 304, 303, 305)]
+
+
 def test_guard_columns(spark):
     rows = spark.createDataFrame([(a, b, ok, why) for a, b, ok, why in SERVICE if a != "一百千赫"] + [(None, None, False, "empty_output")], "a string, b string, ok boolean, why string")
     for r in rows.select("*", guard.verified(F.col("a"), F.col("b")).alias("g"), guard.native_reason(F.col("a"), F.col("b")).alias("c")).collect():
