@@ -1,5 +1,7 @@
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from kaptura.operators import acoustic
 from kaptura.operators.documents import PART_BYTES, PART_ROWS, parts, python_rows
 
 TOKENS = pa.list_(pa.struct([("text", pa.string()), ("start", pa.float64()), ("jump", pa.bool_())]))
@@ -17,3 +19,13 @@ def test_a_batch_is_taken_in_small_parts():
     found = list(parts(batch))
     assert pa.Table.from_batches(found).column(0).to_pylist() == column.to_pylist()
     assert max(p.nbytes for p in found) <= PART_BYTES and max(p.num_rows for p in found) <= PART_ROWS
+
+
+def test_letters_come_together_within_the_row(spark):
+    texts = ["a b c word d e", "x", "", "ab c d\u2028 e f.", "1 2 é 3 4", "t c p i p"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("w", F.filter(F.split("text", " "), lambda w: w != ""))
+    got = rows.select("doc_id", F.posexplode(acoustic.letters_together(F.col("w"))).alias("pos", "text"))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    tokens = rows.select("doc_id", F.posexplode("w").alias("pos", "text")).withColumns({"start": F.lit(0.0), "end": F.lit(0.0)})
+    want = acoustic.letter_runs(tokens, ["doc_id"], "pos").select("doc_id", (F.col("run") - 1).cast("int"), "text")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
