@@ -1,7 +1,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from kaptura.operators import acoustic
+from kaptura.operators import acoustic, align
 from kaptura.operators.documents import PART_BYTES, PART_ROWS, parts, python_rows
 
 TOKENS = pa.list_(pa.struct([("text", pa.string()), ("start", pa.float64()), ("jump", pa.bool_())]))
@@ -29,3 +29,14 @@ def test_letters_come_together_within_the_row(spark):
     tokens = rows.select("doc_id", F.posexplode("w").alias("pos", "text")).withColumns({"start": F.lit(0.0), "end": F.lit(0.0)})
     want = acoustic.letter_runs(tokens, ["doc_id"], "pos").select("doc_id", (F.col("run") - 1).cast("int"), "text")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_symbols_between_words_need_no_search(monkeypatch):
+    words = "the # quick # brown # fox # jumps # over # a # lazy # dog".split(" ")
+    a, b = list("".join(words)), list("".join(w for w in words if w != "#"))
+    own = align.common_runs(a, b)
+    monkeypatch.setattr(align, "_longest", None)  # would fail if it were called
+    assert align.common_runs(a, b) == own and sum(n for _, _, n in own) == len(b)
+    monkeypatch.undo()
+    monkeypatch.setattr(align, "_own_runs", lambda a, b: None)
+    assert align.common_runs(a, b) == own
