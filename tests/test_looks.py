@@ -1,6 +1,6 @@
 """Steps of captions that must not grow with what they print or send."""
 
-from kaptura.operators import acoustic, classic, lines
+from kaptura.operators import acoustic, classic, lines, terms
 from kaptura.operators.documents import map_documents
 from kaptura.operators.lines import Word
 from pyspark.sql import types as T
@@ -41,3 +41,16 @@ def test_a_kept_column_goes_to_python_once(spark):
     out = map_documents(docs, ["text", "text"], "n", T.IntegerType(), lambda a, b: len(a + b))
     assert out.first().n == 6 and "_in" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert map_documents(docs, ["text"], "text", T.StringType(), str.upper).first().text == "A B"
+
+
+def test_texts_are_not_shuffled_to_replace_terms(spark, monkeypatch):
+    table = [(i, f"w{i}x", f"w{i + 1}x" if i % 3 else f"<{i}>") for i in range(500)]
+    docs = spark.createDataFrame([(1, "w1x w400x w0x"), (2, None)], "doc_id long, text string")
+    schema = "order int, wrong string, right string"
+    done = terms.replaced(docs, spark.createDataFrame(table, schema).repartition(7))
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+    want = [(1, "<3> <402> <0>"), (2, None)]
+    assert sorted(map(tuple, done.collect())) == want
+    monkeypatch.setattr(terms, "BROADCAST", 0)
+    assert [w for b in terms.blocks(spark.createDataFrame(table, schema).repartition(7)) for w, _ in b] == [w for _, w, _ in table]
+    assert sorted(map(tuple, terms.replaced(docs, spark.createDataFrame(table, schema)).collect())) == want
