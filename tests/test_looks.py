@@ -1,6 +1,6 @@
 """Steps of captions that must not grow with what they print or send."""
 
-from kaptura.operators import acoustic, classic, lines, terms
+from kaptura.operators import acoustic, classic, lines, segmenter, terms
 from kaptura.operators.documents import map_documents
 from kaptura.operators.lines import Word
 from pyspark.sql import types as T
@@ -54,3 +54,22 @@ def test_texts_are_not_shuffled_to_replace_terms(spark, monkeypatch):
     monkeypatch.setattr(terms, "BROADCAST", 0)
     assert [w for b in terms.blocks(spark.createDataFrame(table, schema).repartition(7)) for w, _ in b] == [w for _, w, _ in table]
     assert sorted(map(tuple, terms.replaced(docs, spark.createDataFrame(table, schema)).collect())) == want
+
+
+def test_widths_of_mixed_words_are_added_up(monkeypatch):
+    line = [Word(t, i / 3, (i + 0.8) / 3) for i, t in enumerate("用 TCP 协议 a1的 鿕 x 一b /c龥 2 。好 9 第".split())]
+    want = [(lines.width(lines.printed(line[:k])), lines.width(lines.printed(line[k:]))) for k in range(1, len(line))]
+    monkeypatch.setattr(lines, "printed", None)  # would fail if it were called
+    assert lines.shown_widths(line) == want
+
+
+def test_documents_are_segmented_without_a_shuffle(spark):
+    words = segmenter.dictionary(spark.createDataFrame([("甲乙",)] * 3 + [("丙丁",)], "word string"))
+    kind = "doc_id long, tokens array<struct<text:string,start:double,end:double,jump:boolean,sentence_end:boolean,clause_end:boolean>>"
+    token = lambda i, c: (c, i * 0.2, i * 0.2 + 0.1, False, i % 3 == 2, False)
+    docs = spark.createDataFrame([(1, [token(i, c) for i, c in enumerate("甲乙丙丁x")]), (1, None)], kind)
+    found = segmenter.segmented_documents(docs, words)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = [(1, []), (1, ["甲乙", "丙丁", "x"])]
+    assert sorted((r.doc_id, [w.text for w in r.words]) for r in found.collect()) == want
+    assert sorted((r.doc_id, [w.text for w in r.words]) for r in segmenter.segmented_documents(docs, words, common=0).collect()) == want
