@@ -1,5 +1,9 @@
 """Near copies by the Jaccard similarity of their sets of word shingles, all of them.
 
+First come SimHash fingerprints of the sets and their tables of distances to pivots: texts within
+``NEAR_BITS`` differing bits are candidates. As two texts of similarity 4/5 differ in ten bits on average
+and no number of bits is a bound, what fingerprints leave is found by keys.
+
 A text's set holds the XXH64 values of its shingles (words as for SimHash). Two sets of similarity
 4/5 or more share over four fifths of each, so they share one of the first n - ceil(4n/5) + 1
 shingles of each in any order that holds for all texts: these are a text's *keys*, and no pair is
@@ -9,8 +13,8 @@ sample; the sample decides how many texts meet in a key, never which pairs are f
 Texts of a key are compared by a table of 64 counts each (for long texts one count for 4 to 8
 shingles), of the shingles that fall to each of 64 or more reference sets: the differences add up
 to no more than the sets' symmetric difference, which at 4/5 is at most a ninth of both sizes.
-Pairs beyond that are discarded; the rest leave the task as a spanning forest, so rows grow with
-texts and not with pairs. The texts of a component of these links then meet in one task, once
+Pairs beyond that are discarded, those that fingerprints have connected aren't compared; the rest leave
+the task as a spanning forest, so rows grow with texts and not with pairs. The texts of a component of these links then meet in one task, once
 each, and only pairs of true similarity 4/5 or more link.
 
 Nothing is gathered that grows with the table. A key of more than ``CROWD`` texts is dealt to
@@ -37,11 +41,13 @@ from pyspark.sql import functions as F
 
 from kaptura.llm.common import few_rows, shuffle_partitions, stored
 from kaptura.llm.components import components
-from kaptura.llm.simhash import first_of_groups, numbered_rows, shingle_hashes
+from kaptura.llm.simhash import fingerprint_links, first_of_groups, majority_bits, numbered_rows, shingle_hashes
 
 #: Words of a shingle, and the least similarity as a fraction.
 WIDTH, LEAST = 5, (4, 5)
 N_COUNTS = 64
+#: Differing bits of fingerprints that are candidates; with more, the pivots' keys hardly tell texts apart.
+NEAR_BITS = 3
 #: A shingle found in so many texts of the sample goes behind all others.
 SAMPLED, COMMON, MOST_COMMON = 1 / 64, 16, 200_000
 #: Texts of a key that one task compares, and shingles of a component or chunk that one task holds.
@@ -115,12 +121,13 @@ def _may_be_similar(n: np.ndarray, counts: Counts, a: np.ndarray, b: np.ndarray,
     return out
 
 
-def _forest(rep: np.ndarray, n: np.ndarray, counts: Counts, least: tuple[int, int]) -> list[tuple[int, int]]:
-    """A spanning forest of the open pairs among the classes of one key."""
+def _forest(rep: np.ndarray, n: np.ndarray, counts: Counts, near: np.ndarray, least: tuple[int, int]) -> list[tuple[int, int]]:
+    """A spanning forest of the open pairs among the classes of one key; those of one ``near`` are connected already."""
     order = np.lexsort((rep, n))
     rep, n, counts = rep[order], n[order], counts.of(order)
     p, q = least
-    parent, links = np.arange(len(rep)), []
+    _, first, of = np.unique(near[order], return_index=True, return_inverse=True)
+    parent, links = first[of], []
     for step in range(1, len(rep)):
         a = np.arange(len(rep) - step)
         if not ((q + p) * (n[step:] - n[:-step]) <= (q - p) * (n[step:] + n[:-step])).any():
@@ -209,34 +216,44 @@ def common_shingles(texts: DataFrame, width: int = WIDTH) -> np.ndarray:
 
 
 def shingle_sets(texts: DataFrame, common: np.ndarray, width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
-    """row, class (the set's hash), n, counts and keys of every row (row, text)."""
+    """row, class (the set's hash), n, fp (its fingerprint), counts and keys of every row (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             classes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            fps = np.array([majority_bits(s) for s in sets], np.uint64).view(np.int64)
             keys = [keys_of(s, common, least).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(classes), pa.array([len(s) for s in sets], pa.int64()), pa.array([counts_of(s).tobytes() for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["row", "class", "n", "counts", "keys"],
+                [batch.column(0), pa.array(classes), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), pa.array([counts_of(s).tobytes() for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["row", "class", "n", "fp", "counts", "keys"],
             )
 
-    return texts.select("row", "text").mapInArrow(run, "row long, class long, n long, counts binary, keys array<long>")
+    return texts.select("row", "text").mapInArrow(run, "row long, class long, n long, fp long, counts binary, keys array<long>")
+
+
+def near_fingerprints(classes: DataFrame, most_bits: int = NEAR_BITS) -> DataFrame:
+    """Links (a, b) of classes (rep, fp) that connect all whose fingerprints differ in ``most_bits`` or fewer."""
+    heads = stored(classes.groupBy("fp").agg(F.min("rep").alias("rep")), "fingerprints")
+    same = classes.select("fp", F.col("rep").alias("b")).join(heads.select("fp", F.col("rep").alias("a")).hint("merge"), "fp").filter("a <> b")
+    return fingerprint_links(heads, most_bits).unionByName(same.select("a", "b"))
 
 
 def _open_links(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Links within the runs of rows (key, rep, n, counts), of which no run is long."""
+    """Links within the runs of rows (key, rep, n, counts, near), of which no run is long."""
     for part in _runs(batches):
         key, rep, n = (part.column(i).to_numpy() for i in range(3))
+        near = part.column(4).to_numpy()
         counts = Counts([np.frombuffer(c, np.uint8) for c in part.column(3).to_pylist()])
         edges = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
         sizes = np.diff(edges)
         two = edges[:-1][sizes == 2]  # most keys have two: those pairs at once
+        two = two[near[two] != near[two + 1]]
         two = two[_may_be_similar(n, counts, two, two + 1, least)]
         links = list(zip(rep[two].tolist(), rep[two + 1].tolist(), strict=True))
         for g in np.flatnonzero(sizes > 2):
             x, y = edges[g], edges[g + 1]
-            links += _forest(rep[x:y], n[x:y], counts.of(np.arange(x, y)), least)
+            links += _forest(rep[x:y], n[x:y], counts.of(np.arange(x, y)), near[x:y], least)
         a, b = zip(*set(links), strict=True) if links else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -338,8 +355,10 @@ def near_copies(texts: DataFrame, width: int = WIDTH, least: tuple[int, int] = L
     spark = texts.sparkSession
     n = shuffle_partitions(spark)
     sets = stored(shingle_sets(texts, common_shingles(texts, width), width, least), "shingle-sets")
-    first = [F.first(c).alias(c) for c in ("n", "counts", "keys")]
+    first = [F.first(c).alias(c) for c in ("n", "fp", "counts", "keys")]
     classes = stored(sets.groupBy("class").agg(F.min("row").alias("rep"), *first), "shingle-classes")
+    alike = stored(near_fingerprints(classes.select("rep", "fp")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "fingerprint-links")
+    near = stored(components(alike).select(F.col("node").alias("rep"), F.col("component").alias("near")), "fingerprint-groups")
     keyed = classes.select(F.explode("keys").alias("key"), "rep", "n")
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("texts"), F.min("rep").alias("head")).filter("texts > 1"), "shared-keys")
     # Merged by hint at every size: what a small table would broadcast grows with the input.
@@ -347,9 +366,11 @@ def near_copies(texts: DataFrame, width: int = WIDTH, least: tuple[int, int] = L
     # Texts of up to a quarter more words share a block of a crowded key, in as many parts as it needs.
     like = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
     block = F.when(F.col("texts") <= crowd, F.lit(0).cast("long")).otherwise(F.xxhash64(like, F.pmod(F.xxhash64("rep"), F.ceil(F.col("texts") / crowd))))
-    rows = met.select(F.xxhash64("key", block).alias("key"), "rep").join(classes.select("rep", "n", "counts").hint("merge"), "rep").select("key", "rep", "n", "counts")
+    known = classes.select("rep", "n", "counts").join(F.broadcast(near) if few_rows(near) else near, "rep", "left").withColumn("near", F.coalesce("near", "rep"))
+    rows = met.select(F.xxhash64("key", block).alias("key"), "rep").join(known.hint("merge"), "rep").select("key", "rep", "n", "counts", "near")
     rows = rows.repartition(n, "key").sortWithinPartitions("key")
-    links = stored(rows.mapInArrow(lambda batches: _open_links(batches, least), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "open-links")
+    opened = rows.mapInArrow(lambda batches: _open_links(batches, least), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = stored(opened.unionByName(alike).distinct(), "open-links")
     heads = met.filter(F.col("texts") > crowd).select(F.col("head").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     found = stored(components(links.unionByName(heads)), "open-components")
     totals = found.join(classes.select(F.col("rep").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("total"))

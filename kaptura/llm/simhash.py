@@ -59,7 +59,10 @@ def shingle_hashes(text: str | None, width: int = SHINGLE) -> list[int]:
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    hashes = np.array(shingle_hashes(text, width), np.uint64)
+    return majority_bits(np.array(shingle_hashes(text, width), np.uint64))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)

@@ -278,6 +278,27 @@ def test_pipeline_drops_copies_that_differ_by_more_than_two_bits(spark, sf_dir):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, texts), sf_dir).collect()) == [0, 2]
 
 
+def test_near_copies_come_from_fingerprints_first(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = edited_texts(4)
+    for _ in range(12):  # long texts with one word changed: few bits differ
+        words = [f"w{rng.randrange(5000)}" for _ in range(900)]
+        texts += [" ".join(words), " ".join([*words[:400], "other", *words[401:]])]
+    # With no keys only fingerprints can find anything.
+    monkeypatch.setattr(jaccard, "common_shingles", lambda texts, width: np.zeros(0, np.uint64))
+    monkeypatch.setattr(jaccard, "keys_of", lambda found, common, least: found[:0])
+    fps = [jaccard.majority_bits(jaccard.shingle_set(t)) for t in texts]
+    sets, bits = plain_sets(texts), plain_components(list(range(len(texts))), fps, jaccard.NEAR_BITS)
+    near = {(i, j) for i in bits for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= jaccard.NEAR_BITS and sets[i] != sets[j]}
+    assert sum(9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) for i, j in near) > 5
+    got = {r.row: r.component_id for r in jaccard.near_copies(spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect()}
+    for i, j in near:
+        if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+            assert got[i] == got[j]
+    # What fingerprints alone connect is still held to true similarity.
+    assert all(bits[i] == bits[got[i]] for i in bits if sets[i] != sets[got[i]])
+
+
 def test_runs_over_batches():
     rng = random.Random(3)
     keys = sorted(rng.choices(range(40), k=300))
