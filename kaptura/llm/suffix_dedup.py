@@ -19,7 +19,12 @@ to buckets of bounded size; a bucket sends each of its windows once, with its nu
 back those that repeat, so a passage that a third of all documents hold is one row a bucket.
 
 ``shared_passages`` looks for shorter repeats in the same way, with words for bytes: runs of
-``words`` words that another text holds too, whatever their length in bytes.
+``words`` words that another row holds too, whatever their length in bytes. Windows of words with a
+smallest hash that no other text has repeat nothing. Of texts with others, the first window of each run of
+longer strings settles those in which it has an equal; the rest, and what has a run's value in common with
+them, compare all windows, by fingerprints as above, of which two different ones agree with a probability
+below 2 ** -77. Words of over ``LONGEST_KEPT`` bytes stand as
+their SHA-256, so a window has at most 3,366 bytes.
 
 Null and empty texts have no bytes; shorter texts than ``length`` lose nothing; repeated rows are
 copies of each other and lose everything if long enough; a null doc_id is carried.
@@ -27,6 +32,7 @@ copies of each other and lose everything if long enough; a null doc_id is carrie
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import secrets
 from collections import defaultdict
@@ -34,21 +40,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kaptura.llm.common import shuffle_partitions, stored
+from kaptura.llm.common import LONGEST_KEPT, shuffle_partitions, stored
 
 LENGTH, GRAM = 400, 32
 BLOCK = 1 << 18
+#: Bytes of short texts, and windows of words, that are hashed side by side.
+TOGETHER, STEP = 1 << 15, 1 << 12
 MOST_BYTES = 1 << 19
 #: Window starts of a bucket.
 BUCKET = 1 << 22
-#: Words of a shared passage, and of the strings whose smallest hash names a window of so many.
-PASSAGE, WORD_GRAM = 51, 8
+#: Words of a shared passage, and of the strings whose smallest hash names a window of so many: at first, and
+#: among texts that share such hashes.
+PASSAGE, WORD_GRAM, LONG_GRAM = 51, 8, 32
 PRIME = np.uint64((1 << 31) - 1)
 _NULL_ID = -(1 << 63)
+_SPACES = bytes.maketrans(b"\t\n\r\x0b\x0c", b" " * 5)
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -68,7 +77,10 @@ def string_hashes(data: np.ndarray, length: int, seed: int) -> np.ndarray:
         if left:
             level = level[:-width] * power + level[width:]
             power, width = np.uint64(int(power) ** 2 & (2**64 - 1)), width * 2
-    out = total[: len(data) - length + 1]
+    return _mixed(total[: len(data) - length + 1])
+
+
+def _mixed(out: np.ndarray) -> np.ndarray:
     out ^= out >> np.uint64(31)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(29)
@@ -121,27 +133,88 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(got[: len(got) - rest], got[rest:]) if rest else got
 
 
+def least_runs(hashes: np.ndarray, width: int, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of ``width`` hashes with one smallest hash: first, last, value.
+
+    ``owner`` names the text of each window, -1 for those that are none; runs end with their text.
+    """
+    least = sliding_min(hashes, width)
+    new = least[1:] != least[:-1]
+    if owner is not None:
+        new |= owner[1:] != owner[:-1]
+    cuts = np.flatnonzero(new) + 1
+    first = np.concatenate(([0], cuts))
+    last = np.concatenate((cuts, [len(least)])) - 1
+    if owner is not None:
+        real = owner[first] >= 0
+        first, last = first[real], last[real]
+    return first, last, least[first]
+
+
+def stands_twice(hashes: np.ndarray, width: int, first: np.ndarray, last: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the value of each run stands twice within it."""
+    if not len(values):
+        return np.zeros(0, np.bool_)
+    # Places of small hashes by hash, then place: those of a run's value within it are counted by two searches.
+    at = np.flatnonzero(hashes <= values.max())
+    known, number = np.unique(hashes[at], return_inverse=True)
+    size = len(hashes) + 1
+    places = np.sort(number * size + at)
+    base = np.searchsorted(known, values) * size
+    return np.searchsorted(places, base + last + width) - np.searchsorted(places, base + first) > 1
+
+
+def _byte_runs(whole: np.ndarray, length: int, gram: int, owner: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    hashes, width = string_hashes(whole, gram, 0), length - gram + 1
+    first, last, values = least_runs(hashes, width, owner)
+    return first, last, values.view(np.int64), stands_twice(hashes, width, first, last, values)
+
+
 def value_runs(whole: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[list[int], list[int], list[int], list[bool]]:
     """Runs of window starts: first, last, value, whether the value stands twice within."""
-    firsts: list[int] = []
-    lasts: list[int] = []
-    values: list[int] = []
-    twice: list[bool] = []
-    width = length - gram + 1
+    found: tuple[list, list, list, list] = ([], [], [], [])
     for at in range(0, len(whole) - length + 1, BLOCK):
-        part = whole[at : at + BLOCK + length - 1]
-        hashes = string_hashes(part, gram, 0)
-        least = sliding_min(hashes, width)
-        cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
-        a = np.concatenate(([0], cuts))
-        b = np.concatenate((cuts, [len(least)])) - 1
-        v = least[a]
-        for x, y, z in zip(a.tolist(), b.tolist(), v, strict=True):
-            twice.append(int(np.count_nonzero(hashes[x : y + width] == z)) > 1)
-        firsts += (a + at).tolist()
-        lasts += (b + at).tolist()
-        values += v.view(np.int64).tolist()
-    return firsts, lasts, values, twice
+        first, last, values, twice = _byte_runs(whole[at : at + BLOCK + length - 1], length, gram)
+        for c, x in zip(found, (first + at, last + at, values, twice), strict=True):
+            c += x.tolist()
+    return found
+
+
+def text_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """``value_runs`` of many texts: number of the text, first, last, value, twice, in order."""
+    found: list[tuple] = []
+    held: list[tuple[int, bytes]] = []
+
+    def flush() -> None:
+        if held:
+            sizes = np.array([len(t) for _, t in held])
+            begin = np.cumsum(sizes) - sizes
+            whole = np.frombuffer(b"".join(t for _, t in held), np.uint8)
+            owner = np.repeat(np.arange(len(held)), sizes)
+            windows = len(whole) - length + 1
+            owner = np.where(owner[:windows] == owner[length - 1 :], owner[:windows], -1)
+            first, last, values, twice = _byte_runs(whole, length, gram, owner)
+            of = owner[first]
+            found.append((np.array([i for i, _ in held])[of], first - begin[of], last - begin[of], values, twice))
+            held.clear()
+
+    size = 0
+    for i, text in enumerate(texts):
+        if len(text) < length:
+            continue
+        if size + len(text) > TOGETHER:
+            flush()
+            size = 0
+        if len(text) > TOGETHER:
+            runs = value_runs(np.frombuffer(text, np.uint8), length, gram)
+            found.append((np.full(len(runs[0]), i), *(np.array(c, k) for c, k in zip(runs, (np.int64, np.int64, np.int64, np.bool_), strict=True))))
+        else:
+            held.append((i, text))
+            size += len(text)
+    flush()
+    if not found:
+        return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.bool_))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def smaller_than_next(data: np.ndarray) -> np.ndarray:
@@ -264,26 +337,124 @@ def _grouped(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     yield out()
 
 
-def word_codes(data: bytes) -> np.ndarray:
-    """The hash of each word between ASCII white space."""
-    words = data.split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+def _listed(owner: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
+    """One list for each of n texts of the values that stand in order of their text."""
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+Words = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _words(texts: list[bytes]) -> Words:
+    """Words between ASCII white space, joined by one space: bytes, starts, ends, and the number of each one's text."""
+    raw = np.frombuffer(b"\n".join(texts).translate(_SPACES), np.uint8)
+    space = raw == 32
+    behind = np.concatenate(([True], space[:-1]))[: len(raw)]
+    data = raw[~(space & behind)]
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    owner = np.searchsorted(begin, np.flatnonzero(behind & ~space), "right") - 1
+    if len(data) and data[-1] == 32:
+        data = data[:-1]
+    ends = np.concatenate((np.flatnonzero(data == 32), [len(data)]))[: len(owner)]
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(owner)]
+    if (ends - starts).max(initial=0) > LONGEST_KEPT:
+        # No word of valid UTF-8 holds the byte 255.
+        words = [w if len(w) <= LONGEST_KEPT else b"\xff" + hashlib.sha256(w).hexdigest().encode() for w in data.tobytes().split(b" ")]
+        data = np.frombuffer(b" ".join(words), np.uint8)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+    return data, starts, ends, owner
+
+
+def word_parts(texts: list[bytes], passage: int) -> Iterator[Words]:
+    """Parts of so many texts' words: bytes, starts and ends of words, and the number of the text for each window of
+    ``passage`` words, -1 across texts."""
+    sizes = np.cumsum([len(t) for t in texts])
+    cuts = np.flatnonzero(np.diff(sizes // BLOCK)) + 1
+    for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
+        data, starts, ends, owner = _words(texts[x:y])
+        for at in range(0, len(owner) - passage + 1, STEP):
+            to = min(at + STEP + passage - 1, len(owner))
+            of = owner[at:to]
+            windows = np.where(of[: len(of) - passage + 1] == of[passage - 1 :], of[: len(of) - passage + 1] + x, -1)
+            yield data[starts[at] : ends[to - 1]], starts[at:to] - starts[at], ends[at:to] - starts[at], windows
+
+
+@functools.lru_cache(maxsize=16)
+def _powers(base: int, modulus: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    power, k = base, 1
+    while k < n:
+        more = out[: min(k, n - k)] * np.uint64(power)
+        out[k : k + len(more)] = _modular(more) if modulus == int(PRIME) else more
+        power, k = power * power % modulus, 2 * k
+    return out
+
+
+def _sums(data: np.ndarray, first: np.ndarray, end: np.ndarray, base: int, modulus: int, passage: int) -> np.ndarray:
+    """A polynomial of each string data[first:end] of a part, by differences of running sums.
+
+    The sums leave 64 bits, their differences modulo PRIME don't: a string has fewer than 2 ** 25 bytes.
+    """
+    # No part is longer, and equal strings of all parts are raised to one power.
+    n = (STEP + passage) * (LONGEST_KEPT + 2)
+    powers = _powers(base, modulus, n)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * powers[: len(data)], out=sums[1:])
+    got = sums[end] - sums[first]
+    if modulus == int(PRIME):
+        return _modular(_modular(got) * powers[n - 1 - first])
+    return got * powers[n - 1 - first]
+
+
+def word_runs(part: Words, passage: int, gram: int = WORD_GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First, last and value of the runs of windows of ``passage`` words."""
+    data, starts, ends, owner = part
+    gram = min(gram, passage)
+    hashes = _mixed(_sums(data, starts[: len(starts) - gram + 1], ends[gram - 1 :], 0x9E3779B97F4A7C15, 1 << 64, passage))
+    first, last, values = least_runs(hashes, passage - gram + 1, owner)
+    return first, last, values.view(np.int64)
+
+
+def word_fingerprints(part: Words, at: np.ndarray, passage: int, bases: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for the windows of ``passage`` words that begin with the words ``at``."""
+    data, starts, ends, _ = part
+    a, b, c, d = (_sums(data, starts[at], ends[at + passage - 1], base, int(PRIME), passage) for base in bases)
+    return ((a << np.uint64(32)) | b).view(np.int64), ((c << np.uint64(32)) | d).view(np.int64)
+
+
+def word_values(texts: list[bytes], passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of texts, in order, and the values of their windows, each once a text."""
+    found = []
+    for part in word_parts(texts, passage):
+        first, _, values = word_runs(part, passage)
+        found.append((part[3][first], values))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of, values = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((values, of))
+    of, values = of[order], values[order]
+    new = np.concatenate(([True], (of[1:] != of[:-1]) | (values[1:] != values[:-1])))
+    return of[new], values[new]
 
 
 def _measure(docs: DataFrame, length: int, gram: int, passage: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shas, sizes, words, cols = [], [], [], ([], [], [], [])
-            for text in batch.column(1).to_pylist():
-                data = text.encode() if text else b""
-                shas.append(hashlib.sha256(data).digest())
-                sizes.append(len(data))
-                for c, x in zip(cols, value_runs(np.frombuffer(data, np.uint8), length, gram), strict=True):
-                    c.append(x)
-                words.append(list(dict.fromkeys(value_runs(word_codes(data), passage, WORD_GRAM)[2])) if passage else [])
+            texts = [t.encode() if t else b"" for t in batch.column(1).to_pylist()]
+            n = len(texts)
+            of, *runs = text_runs(texts, length, gram)
+            words = word_values(texts, passage) if passage else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(shas, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(c, pa.list_(k)) for c, k in zip(cols, kinds, strict=True)), pa.array(words, pa.list_(pa.int64()))],
+                [
+                    batch.column(0),
+                    pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()),
+                    pa.array([len(t) for t in texts], pa.int64()),
+                    *(_listed(of, c, n, k) for c, k in zip(runs, kinds, strict=True)),
+                    _listed(*words, n, pa.int64()),
+                ],
                 names=["doc_id", "sha", "n_bytes", "firsts", "lasts", "vals", "twice", "word_vals"],
             )
 
@@ -327,20 +498,60 @@ def _byte_windows(length: int) -> Windows:
 
 
 def _word_windows(passage: int) -> Windows:
-    """The same, of each run of word windows whose value another text has."""
+    """The same, of windows of words by the values of longer strings that another text has; places are those among them."""
     bases = drawn_bases()
 
     def of(row: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        whole, shared = word_codes(row["text"].encode()), set(row["shared"])
-        for first, last, value, _ in zip(*value_runs(whole, passage, WORD_GRAM), strict=True):
-            if value in shared:
-                halves = np.stack((whole[first : last + passage] % PRIME, whole[first : last + passage] >> np.uint64(34)), 1).ravel()
-                h, g = fingerprints(halves, 2 * passage, bases)
-                yield first, h[::2], g[::2]
+        shared, n = np.array(row["shared"], np.int64), 0
+        for part in word_parts([row["text"].encode()], passage):
+            first, last, values = word_runs(part, passage, LONG_GRAM)
+            wanted = np.isin(values, shared)
+            sizes = (last - first + 1)[wanted]
+            at = np.repeat(first[wanted] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            if len(at):
+                yield n, *word_fingerprints(part, at, passage, bases)
+                n += len(at)
 
     return of
 
 
+def _first_windows(held: DataFrame, passage: int) -> DataFrame:
+    """sha, v, h, g of runs of longer strings that meet a run of ``shared`` values: value, and fingerprints of the
+    first window, each once a text."""
+    bases = drawn_bases()
+
+    def named(of: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """One number for a text and a value; equal ones only make more windows."""
+        return v.view(np.uint64) + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            values = named(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False))
+            found = [(np.zeros(0, np.int64),) * 4]
+            for part in word_parts([t.encode() for t in batch.column(1).to_pylist()], passage):
+                owner = part[3]
+                first, last, v = word_runs(part, passage)
+                wanted = np.isin(named(owner[first], v), values)
+                edges = np.zeros(len(owner) + 1, np.int64)
+                edges[first[wanted]] += 1
+                edges[last[wanted] + 1] -= 1
+                within = np.concatenate(([0], np.cumsum(np.cumsum(edges[:-1]))))
+                first, last, v = word_runs(part, passage, LONG_GRAM)
+                meets = within[last + 1] > within[first]
+                first = first[meets]
+                found.append((owner[first], v[meets], *word_fingerprints(part, first, passage, bases)))
+            of, v, h, g = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((g, h, of))
+            of, v, h, g = of[order], v[order], h[order], g[order]
+            if len(of):
+                new = np.concatenate(([True], (of[1:] != of[:-1]) | (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
+                of, v, h, g = of[new], v[new], h[new], g[new]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(v), pa.array(h), pa.array(g)], names=["sha", "v", "h", "g"])
+
+    return held.select("sha", "text", "shared").mapInArrow(run, "sha binary, v long, h long, g long")
+
+
 def _pairs(h: list[np.ndarray], g: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of hashes in order, each once, with the sum of its numbers."""
     x, y, z = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (h, g, n))
@@ -469,14 +680,27 @@ def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, ["rep", "sha"])
 
 
-def _shared(docs: DataFrame, texts: DataFrame, passage: int) -> DataFrame:
-    """sha of texts (sha, rep, copies, word_vals) that hold ``passage`` words another text holds too."""
-    values = texts.select("sha", "rep", F.explode("word_vals").alias("v"))
-    common = stored(values.groupBy("v").count().filter("count > 1").select("v", F.lit(True).alias("common")), "word-values")
-    suspect = values.join(common, "v").groupBy("sha", "rep").agg(F.collect_list("v").alias("shared"))
-    held = stored(_bodies(docs, suspect).select("sha", F.lit(1).cast("long").alias("copies"), "text", "shared"), "word-suspects")
-    n = held.agg(F.sum(F.length("text"))).first()[0] or 0
-    return _repeated_windows(held, _word_windows(passage), n // 6, once=True).select("sha").distinct()
+def _word_suspects(texts: DataFrame) -> DataFrame:
+    """sha, rep, copies and the values of word windows that another of ``texts`` has too."""
+    # Values travel with a short number of their text; equal numbers only make more suspects.
+    values = texts.select(F.xxhash64("sha").alias("k"), F.explode("word_vals").alias("v"))
+    common = stored(values.groupBy("v").count().filter("count > 1").select("v"), "word-values")
+    suspect = values.join(common, "v").groupBy("k").agg(F.collect_list("v").alias("shared"))
+    return texts.select("sha", "rep", "copies", F.xxhash64("sha").alias("k")).join(suspect, "k").drop("k")
+
+
+def _shared(held: DataFrame, passage: int) -> DataFrame:
+    """sha of texts (sha, text, shared) that hold ``passage`` words another text holds too."""
+    firsts = stored(_first_windows(held, passage), "first-windows")
+    equal = firsts.groupBy("h", "g").count().filter("count > 1").select("h", "g")
+    settled = stored(firsts.join(equal, ["h", "g"]).select("sha").distinct(), "settled")
+    open_values = firsts.join(settled, "sha", "left_anti").select("v").distinct()
+    met = firsts.select("sha", "v").join(open_values, "v").distinct()
+    common = met.groupBy("v").count().filter("count > 1").select("v")
+    shared = met.join(common, "v").groupBy("sha").agg(F.collect_list("v").alias("shared"))
+    rest = stored(held.select("sha", F.lit(1).cast("long").alias("copies"), "text").join(shared, "sha"), "unsettled")
+    n = rest.agg(F.sum(F.length("text"))).first()[0] or 0
+    return settled.union(_repeated_windows(rest, _word_windows(passage), n // 6, once=True).select("sha")).distinct()
 
 
 def shared_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
@@ -486,7 +710,8 @@ def shared_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
         raise ValueError(f"a passage has at least {WORD_GRAM} words")
     measured = stored(_measure(docs, LENGTH, GRAM, words), "runs")
     texts = stored(_distinct(measured), "texts")
-    flagged = _shared(docs, texts, words).withColumn("other", F.lit(True))
+    held = stored(_bodies(docs, _word_suspects(texts)).select("sha", "text", "shared"), "word-suspects")
+    flagged = _shared(held, words).withColumn("other", F.lit(True))
     rows = measured.select("doc_id", "sha").join(texts.select("sha", "copies", (F.size("word_vals") > 0).alias("long")), "sha").join(flagged, "sha", "left")
     return rows.select("doc_id", (F.coalesce("other", F.lit(False)) | (F.col("copies") > 1) & F.col("long")).alias("shares_passage"))
 
@@ -502,6 +727,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     words) also shares_passage, as ``shared_passages`` has it."""
     if length % 8 or gram > length:
         raise ValueError("length must be a multiple of 8 and at least the gram's")
+    if passage and passage < WORD_GRAM:
+        raise ValueError(f"a passage has at least {WORD_GRAM} words")
     spark = docs.sparkSession
     measured = stored(_measure(docs, length, gram, passage), "runs")
     texts = stored(_distinct(measured), "texts")
@@ -511,7 +738,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     values = stored(values.select("v", "size", (F.col("size") > most_bytes).alias("crowded")), "values")
     # A text of several copies goes as a whole; it only stands for its windows.
     suspect = runs.join(values.drop("size"), "v").groupBy("sha", "rep", "copies").agg(F.collect_list(F.struct("a", "b", "v", "crowded")).alias("runs"))
-    held = stored(_bodies(docs, suspect).select("sha", "copies", "text", "runs"), "suspects")
+    if passage:
+        suspect = suspect.join(_word_suspects(texts), ["sha", "rep", "copies"], "full_outer")
+    bodies = stored(_bodies(docs, suspect).select("sha", "copies", "text", "runs", *(["shared"] if passage else [])), "suspects")
+    held = bodies.filter("runs is not null").select("sha", "copies", "text", "runs")
     n = shuffle_partitions(spark)
     sorted_runs = _segments(held, length).repartition(n, "v").sortWithinPartitions("v")
     starts = sorted_runs.mapInArrow(lambda batches: _grouped(batches, length), "sha binary, lo long, hi long")
@@ -526,7 +756,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     more = []
     if passage:
-        out = out.join(_shared(docs, texts, passage).withColumn("other", F.lit(True)), "sha", "left")
+        flagged = _shared(bodies.filter("shared is not null"), passage)
+        out = out.join(flagged.withColumn("other", F.lit(True)), "sha", "left")
         more = [(F.coalesce("other", F.lit(False)) | (F.col("copies") > 1) & F.col("long")).alias("shares_passage")]
     return out.select(
         "doc_id",

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from kaptura.llm import components, jaccard, simhash, suffix_dedup
+from kaptura.llm import components, jaccard, queries, simhash, suffix_dedup
 from kaptura.llm.common import table
 
 
@@ -351,3 +351,37 @@ def test_fingerprints_are_polynomials_modulo_the_prime():
                 want = [(v * k + byte) % (2**31 - 1) for v, k in zip(want, bases, strict=True)]
             assert [int(h[at] >> 32), int(h[at]) & 0xFFFFFFFF, int(g[at] >> 32), int(g[at]) & 0xFFFFFFFF] == want
         assert len(h) == 701 - length
+
+
+def test_op10_shows_passages_shorter_than_its_strings(spark, tmp_path):
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in "bcdfgh" for b in "aeiou"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = text(51)
+    rows = [text(40) + f"  {passage}\n" + text(30), text(9) + f" {passage} " + text(90), text(120), passage[3:] + " " + text(60), None]
+    assert len(passage) < 400
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_removed, r.shares_passage) for r in queries.op10_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, True), 1: (0, True), 2: (0, False), 3: (0, False), 4: (0, False)}
+
+
+def test_parts_of_words_by_brute_force(monkeypatch):
+    rng = random.Random(1)
+    bases = suffix_dedup.drawn_bases()
+    for _ in range(60):
+        texts = ["".join(rng.choice(["a", "bé", "ccc", " ", "  ", "\n", "\t", "\x0b", "\x1c", "x" * 70, "x" * 71]) for _ in range(rng.randrange(60))).encode() for _ in range(rng.randrange(1, 6))]
+        monkeypatch.setattr(suffix_dedup, "BLOCK", rng.choice([8, 64, 1 << 18]))
+        got, numbers = [[] for _ in texts], {}
+        for step in (1, 3):
+            monkeypatch.setattr(suffix_dedup, "STEP", step)
+            got = [[] for _ in texts]
+            for part in suffix_dedup.word_parts(texts, 9):
+                data, starts, ends, owner = part
+                at = np.flatnonzero(owner >= 0)
+                for i, *pair in zip(at.tolist(), *(c.tolist() for c in suffix_dedup.word_fingerprints(part, at, 9, bases)), strict=True):
+                    window = bytes(data[starts[i] : ends[i + 8]])
+                    got[owner[i]].append(window)
+                    assert numbers.setdefault((step, window), pair) == pair
+            split = [[w if len(w) <= 64 else b"\xff" + hashlib.sha256(w).hexdigest().encode() for w in t.split()] for t in texts]
+            assert got == [[b" ".join(w[i : i + 9]) for i in range(len(w) - 8)] for w in split]
+        assert len({(s, *p) for (s, _), p in numbers.items()}) == len(numbers)
