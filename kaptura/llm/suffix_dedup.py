@@ -527,12 +527,13 @@ def _first_windows(held: DataFrame, passage: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
-            values = named(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False))
+            values = np.sort(named(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)))
             found = [(np.zeros(0, np.int64),) * 4]
             for part in word_parts([t.encode() for t in batch.column(1).to_pylist()], passage):
                 owner = part[3]
                 first, last, v = word_runs(part, passage)
-                wanted = np.isin(named(owner[first], v), values)
+                own = named(owner[first], v)
+                wanted = values.searchsorted(own, "right") > values.searchsorted(own)
                 edges = np.zeros(len(owner) + 1, np.int64)
                 edges[first[wanted]] += 1
                 edges[last[wanted] + 1] -= 1
